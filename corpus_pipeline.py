@@ -1,24 +1,58 @@
-"""Corpus pipeline: documents through the training-data operators, stage by stage."""
+"""Corpus pipeline: documents through five training-data operators, each stage on what the last one kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skarn.llm import simhash
+from skarn.llm import bpe, decontaminate, pii, simhash, toxicity
 from skarn.llm.common import table, written
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects (score 0.5 or more) go."""
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return docs.where(toxicity.score(F.col("text"), model) < 0.5)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group the document of least id stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash", near_duplicates)]
-#: Fingerprints, components and tokenizers are not SQL; tests hold the stages against brute force.
+def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; n_chars follows. All documents stay."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digest of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source", "n_chars"))
+    decoded = bpe.decode(encoded, path, keep=("lang", "source", "n_chars"))
+    return decoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", clean_language),
+    ("simhash", one_of_each),
+    ("decontamination", no_benchmarks),
+    ("pii", no_personal_data),
+    ("byte_bpe", token_ids),
+]
+#: Fingerprints, models and tokenizers are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``; each one's rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text
-
 #: Entries of each of the two generations that a worker remembers.
 REMEMBERED = 350_000
 #: Ids that are decoded at a time.
@@ -160,15 +158,15 @@ def _encoder(tokens: tuple[bytes, ...], pattern: str) -> Encoder:
     return Encoder(list(tokens), pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) for each row of ``docs``, without special tokens.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids array<int>, the columns ``keep``) for each row of ``docs``, without special tokens.
 
     Null and empty texts have no ids (an empty array). Rows come back as often as they came;
     null ids stay null; other columns are not read. The rank file is read on the driver only.
     The pattern must make a space that stands between two other characters start a pre-token.
     """
     tokens = tuple(read_ranks(ranks_path))
-    rows = id_text(docs, id_col, text_col)
+    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("__text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoder(tokens, pattern).encode
@@ -176,18 +174,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             found = [one(t) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *batch.columns[2:]], names=[id_col, "ids", *keep])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), *(rows.schema[k] for k in keep)]))
 
 
-def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``encoded`` (id, ids) with ``decoded``, the bytes that its ids stand for; no ids or null: empty. Unknown ids raise."""
+def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids, decoded, the columns ``keep``) of ``encoded``: decoded are the bytes that the ids stand for; no ids or null: empty.
+    Unknown ids raise."""
     tokens = read_ranks(ranks_path)
     book = np.frombuffer(b"".join(tokens), np.uint8)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.cumsum(sizes) - sizes
-    rows = encoded.select(id_col, F.coalesce(ids_col, F.array().cast("array<int>")).alias("ids"))
+    rows = encoded.select(id_col, F.coalesce(ids_col, F.array().cast("array<int>")).alias("ids"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +203,9 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
             ends = total[offsets - offsets[0]].astype(np.int64)
             raw = np.concatenate(blocks) if blocks else np.empty(0, np.uint8)
             text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, text], names=[id_col, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, text, *batch.columns[2:]], names=[id_col, "ids", "decoded", *keep])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], rows.schema["ids"], T.StructField("decoded", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], rows.schema["ids"], T.StructField("decoded", T.BinaryType()), *(rows.schema[k] for k in keep)]))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
