@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of each of the two generations that a worker remembers.
-REMEMBERED = 350_000
+#: Words, and pre-tokens, that each of the two generations of what a worker remembers holds: some 100 MB in all.
+WORDS, PIECES = 200_000, 120_000
+#: Texts encoded or decoded at a time.
+SLICE = 512
 #: Ids that are decoded at a time.
 DECODE_BLOCK = 1 << 19
 _TWO_SPACES = re.compile(r"\s\s")
@@ -115,7 +117,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Known(dict):
     """Words to their ids as bytes, resolved on first sight; when full, what wasn't used since the last time goes."""
 
-    def __init__(self, resolve: Callable[[str], bytes], most: int = REMEMBERED) -> None:
+    def __init__(self, resolve: Callable[[str], bytes], most: int) -> None:
         super().__init__()
         self.resolve, self.most, self.old = resolve, most, {}
 
@@ -135,8 +137,8 @@ class Encoder:
         self.whole = MinimalPerfectHash(tokens).get
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
-        self.piece = _Known(self._piece)
-        self.spaced = _Known(lambda word: self._pieces(" " + word))
+        self.piece = _Known(self._piece, PIECES)
+        self.spaced = _Known(lambda word: self._pieces(" " + word), WORDS)
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
@@ -170,7 +172,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoder(tokens, pattern).encode
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             found = [one(t) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
@@ -189,7 +191,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     rows = encoded.select(id_col, F.coalesce(ids_col, F.array().cast("array<int>")).alias("ids"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             column = batch.column(1)
             ids = column.flatten().to_numpy(zero_copy_only=False)
             if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes)):
