@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, simhash, spotsigs, toxicity
-from .common import table
+from . import bpe, decontaminate, huffman, pii, simhash, spotsigs, toxicity
+from .common import new_path, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, new_path(spark, "token-ids"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op6_decontaminate": op6_decontaminate, "op9_spotsigs": op9_spotsigs, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op5_huffman": op5_huffman, "op6_decontaminate": op6_decontaminate, "op9_spotsigs": op9_spotsigs, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
