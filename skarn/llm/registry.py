@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, pii, simhash, spotsigs, token_counts, toxicity, warc
+from . import bpe, decontaminate, huffman, pii, simhash, spotsigs, substrings, token_counts, toxicity, warc
 from .common import new_path, table
 
 
@@ -39,6 +39,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -52,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_merkle": op4_merkle, "op5_huffman": op5_huffman, "op6_decontaminate": op6_decontaminate, "op8_token_counts": op8_token_counts, "op9_spotsigs": op9_spotsigs, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_merkle": op4_merkle, "op5_huffman": op5_huffman, "op6_decontaminate": op6_decontaminate, "op7_suffix_array": op7_suffix_array, "op8_token_counts": op8_token_counts, "op9_spotsigs": op9_spotsigs, "op10_byte_bpe": op10_byte_bpe}
 
 
 _CRLF = "chr(13) || chr(10)"
