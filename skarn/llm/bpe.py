@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words, and pre-tokens, that each of the two generations of what a worker remembers holds: some 100 MB in all.
-WORDS, PIECES = 200_000, 120_000
+#: Words, and pre-tokens, that each of the two generations of what a worker remembers holds: some 150 MB in all.
+WORDS, PIECES = 280_000, 180_000
 #: Texts encoded or decoded at a time.
 SLICE = 512
 #: Ids that are decoded at a time.
@@ -63,11 +63,11 @@ class MinimalPerfectHash:
             elif members[b]:
                 d = 0
                 while True:
-                    slots = {((h & 0xFFFFF) + d * (h >> 20 & 0xFFFFF | 1)) % n for h in members[b]}
+                    slots = {(h * (2 * d + 1) >> 20 & 0xFFFFFFFF) % n for h in members[b]}
                     if len(slots) == len(members[b]) and not any(taken[s] for s in slots):
                         break
                     d += 1
-                    if d > 50 * n:
+                    if d > 1000 + 50 * n:
                         raise ValueError("keys repeat or share a hash")
                 for s in slots:
                     taken[s] = 1
@@ -80,7 +80,7 @@ class MinimalPerfectHash:
 
     def _slot(self, h: int) -> int:
         d = self.shift[(h >> 40) % self.buckets]
-        return ~d if d < 0 else ((h & 0xFFFFF) + d * (h >> 20 & 0xFFFFF | 1)) % self.n
+        return ~d if d < 0 else (h * (2 * d + 1) >> 20 & 0xFFFFFFFF) % self.n
 
     def get(self, key: bytes) -> int:
         """The key's number, -1 for a stranger."""
