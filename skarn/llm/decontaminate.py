@@ -33,8 +33,8 @@ SHARE = 0.5
 OVERLAP, SHINGLE = 0.8, 5
 #: Fewest words from one passage's start to the next; the longest item's if it is longer.
 STRIDE = 64
-#: Items in one index, which is what the tasks get; more items make more indexes, each queried in turn.
-SHARD_ITEMS = 1024
+#: Items, and words of items, in one index on average, which is what the tasks get; more make more indexes, each queried in turn.
+SHARD_ITEMS, SHARD_WORDS = 1024, 1_000_000
 #: Blocks of items in an index, and fewest items in one.
 BLOCKS, BLOCK_ITEMS = 256, 4
 #: Part of an item's words that are its answer where the table has no such column.
@@ -193,7 +193,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     if not total:
         return
     counted = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    shards = -(-total // SHARD_ITEMS)
+    shards = max(-(-total // SHARD_ITEMS), int(total * average) // SHARD_WORDS + 1)
     for k in range(shards):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k)
         counts = counted.join(own.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").toArrow()
