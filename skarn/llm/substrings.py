@@ -47,13 +47,13 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _TABLES: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
 
-def _grams(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes at each place."""
+def _grams(raw: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes at each place."""
     if not _TABLES:
         _TABLES.append(_powers())
     power, inverse, value = _TABLES[0]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[raw] * power[: len(raw)], dtype=np.uint64)))
-    h = (sums[GRAM:] - sums[:-GRAM]) * inverse[: len(raw) - GRAM + 1]
+    h = (sums[size:] - sums[:-size]) * inverse[: len(raw) - size + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -129,21 +129,41 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return _with(rows, wanted, F.struct("gram", "c1", "c2", "a", "run")).mapInArrow(run, "gram long, c1 long, c2 long, a int, run int, bytes binary")
 
 
-def _equal_windows(contexts: list[tuple[bytes, int]]) -> list[list[tuple[int, int]]]:
-    """For each (bytes, run) the ranges of its windows that another window among them equals."""
+def _equal_windows(contexts: list[bytes]) -> list[list[tuple[int, int]]]:
+    """For each context the ranges of its windows that another window among them equals.
+
+    Windows whose hash no other has can't be equal to any. What holds the others is sorted, and
+    equal windows follow each other in that order.
+    """
+    # all contexts at once; a window over the end of one counts for nothing
+    joined = np.frombuffer(b"".join(contexts), np.uint8)
+    runs = [len(raw) - LENGTH + 1 for raw in contexts]
+    ends = np.cumsum([len(raw) for raw in contexts])
+    inside = np.concatenate([np.arange(n) + e - len(raw) for raw, n, e in zip(contexts, runs, ends, strict=True)])
+    hashes = _grams(joined, LENGTH)[inside]
+    order = np.sort(hashes)
+    again = order[1:][order[1:] == order[:-1]]
+    some = np.isin(hashes, again)
+    found: list[list[tuple[int, int]]] = [[] for _ in contexts]
     symbols: list[int] = []
-    starts, text = {}, b""
-    for k, (raw, run) in enumerate(contexts):
-        starts |= {len(text) + i: (k, i) for i in range(run + 1)}
-        text += raw + b"\0"
-        symbols += [*(x + len(contexts) for x in raw), k]  # each end differs from all else
-    found: list[set[int]] = [set() for _ in contexts]
+    starts, text, at = {}, b"", 0
+    for k, (raw, n) in enumerate(zip(contexts, runs, strict=True)):
+        places = np.flatnonzero(some[at : at + n]).tolist()
+        at += n
+        if places:
+            starts |= {len(text) + i - places[0]: (k, i) for i in places}
+            part = raw[places[0] : places[-1] + LENGTH]
+            text += part + b"\0"
+            symbols += [*(x + len(contexts) for x in part), k]  # each end differs from all else
+    if not starts:
+        return found
+    equal: list[set[int]] = [set() for _ in contexts]
     order = [i for i in suffix_array(symbols) if i in starts]
     for x, y in zip(order, order[1:], strict=False):
         if text[x : x + LENGTH] == text[y : y + LENGTH]:
             for i in (x, y):
-                found[starts[i][0]].add(starts[i][1])
-    return [_ranges(sorted(f)) for f in found]
+                equal[starts[i][0]].add(starts[i][1])
+    return [_ranges(sorted(f)) for f in equal]
 
 
 def _ranges(places: list[int]) -> list[tuple[int, int]]:
@@ -161,7 +181,7 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
         rows = ((r["gram"], r) for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
         for gram, own in groupby(rows, lambda x: x[0]):
             group = [r for _, r in own]
-            found = _equal_windows([(r["bytes"], r["run"]) for r in group])
+            found = _equal_windows([r["bytes"] for r in group])
             out = [{"gram": gram, "c1": r["c1"], "c2": r["c2"], "first": x, "last": y} for r, ranges in zip(group, found, strict=True) for x, y in ranges]
             if out:
                 yield pa.RecordBatch.from_pylist(out, _PART_ARROW)
