@@ -1,8 +1,10 @@
 """Spark data source for SQLite scene files: ``spark.read.format("scene_sqlite").option("path", p).option("table", t)``.
 
-Reading splits a table by ranges of its row ids, one connection for each, and hands equality and
-range filters on whole-number columns to SQLite. Writing appends, one transaction a task. The file
-must be where every executor can open it; arrays are bytes here (``functions.blobs``).
+Reading splits a table by ranges of its row ids (the whole-number primary key), one connection for
+each; the options ``low`` and ``high`` read only that range of them. Filters are not pushed down: Spark
+4.1 keeps a Python reader with the filters of a DataFrame's first query for its later ones. Writing
+appends, one transaction a task. The file must be where every executor can open it; arrays are bytes
+here (``functions.blobs``).
 """
 
 from __future__ import annotations
@@ -12,11 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 _TYPES = {"INTEGER": LongType(), "INT": LongType(), "REAL": DoubleType(), "TEXT": StringType(), "BLOB": BinaryType()}
-_OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 # The tables of a scene file.
 DDL = """
@@ -54,19 +55,11 @@ class SceneReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]) -> None:
         self.schema, self.path, self.table = schema, options["path"], options["table"]
         self.parts = int(options.get("partitions", "8"))
-        self.where: list[tuple[str, str, int]] = []
-
-    def pushFilters(self, filters):  # noqa: N802  Spark's name
-        whole = {f.name for f in self.schema if isinstance(f.dataType, LongType)}
-        for f in filters:
-            if type(f) in _OPS and len(f.attribute) == 1 and f.attribute[0] in whole and isinstance(f.value, int):
-                self.where.append((f.attribute[0], _OPS[type(f)], f.value))
-            else:
-                yield f
+        self.bounds = int(options.get("low", -(1 << 63))), int(options.get("high", (1 << 63) - 1))
 
     def partitions(self):
         db = sqlite3.connect(self.path)
-        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+        low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?", self.bounds).fetchone()
         db.close()
         if low is None:
             return [_Range(0, -1)]
@@ -75,10 +68,9 @@ class SceneReader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         columns = ", ".join(_quoted(n) for n in self.schema.fieldNames())
-        where = "".join(f" AND {_quoted(c)} {op} ?" for c, op, _ in self.where)
         db = sqlite3.connect(self.path)
         try:
-            yield from db.execute(f"SELECT {columns} FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?{where}", (partition.low, partition.high, *(v for *_, v in self.where)))
+            yield from db.execute(f"SELECT {columns} FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
         finally:
             db.close()
 
@@ -125,5 +117,4 @@ class SceneSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SceneSource)

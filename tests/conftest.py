@@ -10,7 +10,6 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

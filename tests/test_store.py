@@ -200,6 +200,8 @@ def test_sqlite(spark, tmp_path):
     some = got.where("image_id >= 38").select("image_id", blobs.from_blob(F.col("data"), "<f4", 2).alias("kps")).collect()
     assert sorted((r["image_id"], r["kps"]) for r in some) == [(38, [[38.0, 2.0]]), (39, [[39.0, 2.0]])]
     assert got.count() == 39
+    part = spark.read.format("scene_sqlite").option("path", path).option("table", "keypoints").option("low", 5).option("high", 7).load()
+    assert sorted(r["image_id"] for r in part.collect()) == [5, 6, 7]
 
 
 def test_cli(spark, tmp_path):
