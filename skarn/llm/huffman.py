@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,8 @@ STRIDE = 256
 BLOCK_IDS = 1 << 16
 #: Documents whose ids a task orders, about.
 BUCKET = 1024
-#: Words that a worker remembers.
-WORDS = 400_000
+#: Words in each of the two generations that a worker remembers, and texts encoded at a time.
+WORDS, SLICE = 250_000, 2048
 _BLOCK = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("first_id", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("checkpoints", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
 
@@ -43,6 +45,8 @@ class _WordIds:
     """Ids of texts, by their words: white space always parts this tokenizer's input, so a word is encoded once."""
 
     def __init__(self, tokenizer_json: str) -> None:
+        # one task is one thread
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -54,7 +58,7 @@ class _WordIds:
         self.old: dict[str, bytes] = {}
 
     def _resolve(self, words: list[str]) -> list[bytes]:
-        found = [np.array(x.ids, np.int32).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        found = [array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         if len(self.young) + len(found) > WORDS:
             self.young, self.old = {}, self.young
         self.young.update(zip(words, found, strict=True))
@@ -68,8 +72,12 @@ class _WordIds:
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        of = [self.young.get(w) or self.old.get(w) for w in distinct]
+        of = list(map(self.young.get, distinct))
         missing = [i for i, x in enumerate(of) if x is None]
+        for i in missing:
+            if (x := self.old.get(distinct[i])) is not None:
+                of[i] = self.young[distinct[i]] = x
+        missing = [i for i in missing if of[i] is None]
         for at in range(0, len(missing), 8192):
             some = missing[at : at + 8192]
             for i, x in zip(some, self._resolve([distinct[i] for i in some]), strict=True):
@@ -79,8 +87,8 @@ class _WordIds:
         start = np.cumsum(size) - size
         at = coded.indices.to_numpy()
         n = size[at]
-        ids = book[np.arange(n.sum()) + np.repeat(start[at] - (np.cumsum(n) - n), n)]
         ends = np.concatenate(([0], np.cumsum(n)))
+        ids = book[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
         offsets = words.offsets.to_numpy()
         return np.diff(ends[offsets - offsets[0]]), ids
 
@@ -90,27 +98,43 @@ def _word_ids(tokenizer_json: str) -> _WordIds:
     return _WordIds(tokenizer_json)
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+def _packed(ids: np.ndarray, sizes: np.ndarray, width: int) -> pa.Array:
+    """Each row's ids as bytes."""
+    raw = ids.astype(f"<u{width}")
+    ends = (np.concatenate(([0], np.cumsum(sizes))) * width).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a column of packed ids."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return raw.view(f"<u{width}"), ((offsets - offsets[0]) // width).astype(np.int64)
+
+
+def id_width(tokenizer_path: str, end_id: int) -> int:
+    """Bytes that an id takes between the stages: 2 where all ids fit, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id + 1, Tokenizer.from_file(tokenizer_path).get_vocab_size()) <= 1 << 16 else 4
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): each row's ids and ``end_id``. Null texts are empty and have the end id only. The tokenizer's file is read on the driver."""
+    """(id, ids): each row's ids and ``end_id``, as bytes of ``id_width`` an id, least first. Null texts are empty and have
+    the end id only. The tokenizer's file is read on the driver."""
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
+    width = id_width(tokenizer_path, end_id)
     rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _word_ids(tokenizer_json).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                own = batch.slice(at, 1024)
-                sizes, ids = encode(own.column(1))
-                ends = np.cumsum(sizes)
-                ids = np.insert(ids, ends, end_id)
-                yield pa.RecordBatch.from_arrays([own.column(0), _lists(ids, sizes + 1)], names=[id_col, "ids"])
+        for own in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            sizes, ids = encode(own.column(1))
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            yield pa.RecordBatch.from_arrays([own.column(0), _packed(ids, sizes + 1, width)], names=[id_col, "ids"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("ids", T.BinaryType())]))
 
 
 # --- code ----------------------------------------------------------------------------------------
@@ -200,57 +224,53 @@ def unpack(bits: bytes, checkpoints: np.ndarray, count: int, symbol: np.ndarray,
 # --- file ----------------------------------------------------------------------------------------
 
 
-def counts(encoded: DataFrame, ids_col: str = "ids") -> dict[int, int]:
+def counts(encoded: DataFrame, width: int) -> dict[int, int]:
     """Global counts; each task sums its own first. At most one row for each id of the vocabulary reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            own = np.bincount(batch.column(0).flatten().to_numpy())
-            if len(own) > len(total):
-                own[: len(total)] += total
-                total = own
-            else:
-                total[: len(own)] += own
+            own = np.bincount(unpacked(batch.column(0), width)[0], minlength=len(total))
+            own[: len(total)] += total
+            total = own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    rows = encoded.select(ids_col).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip(rows["id"].to_pylist(), rows["n"].to_pylist(), strict=True))
 
 
-def write(encoded: DataFrame, path: str, id_col: str = "doc_id", longest: int = LONGEST) -> None:
-    """The file of ``encoded`` (id, ids) in ascending order of id, ties in the order of their ids.
+def write(encoded: DataFrame, path: str, width: int, id_col: str = "doc_id", longest: int = LONGEST) -> None:
+    """The file of ``encoded`` (id, packed ids) in ascending order of id, ties in the order of their bytes.
 
     ``path/code`` has the code's lengths, ``path/blocks`` the blocks. Null ids come first. A bucket
     holds neighbouring documents; where its ids stand in the whole follows from the sums of those
     before, which are a row for a bucket.
     """
     spark = encoded.sparkSession
-    lengths = code_lengths(counts(encoded), longest)
+    lengths = code_lengths(counts(encoded, width), longest)
     ids, sizes, codes = canonical(lengths)
     spark.createDataFrame(pa.table({"id": ids, "length": sizes}), "id long, length long").coalesce(1).write.parquet(f"{path}/code")
     size, code = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64), np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     size[ids], code[ids] = sizes, codes
     low, high, n = encoded.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    width = max(1, (high - low + 1) * BUCKET // max(1, n)) if n else 1
-    rows = encoded.select(F.coalesce(F.expr(f"({id_col} - {low or 0}) div {width}"), F.lit(-1)).cast("long").alias("bucket"), F.col(id_col).cast("long").alias("id"), "ids")
-    starts = _starts(rows.groupBy("bucket").agg(F.sum(F.size("ids")).alias("n")))
+    span = max(1, (high - low + 1) * BUCKET // max(1, n)) if n else 1
+    rows = encoded.select(F.coalesce(F.expr(f"({id_col} - {low or 0}) div {span}"), F.lit(-1)).cast("long").alias("bucket"), F.col(id_col).cast("long").alias("id"), "ids")
+    starts = _starts(rows.groupBy("bucket").agg(F.sum(F.expr(f"octet_length(ids) div {width}")).alias("n")))
     starts = starts.select(F.col("bucket").alias("b"), "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, block, before, held, docs, mine, first = None, 0, 0, 0, [], [], 0
 
         def out() -> pa.RecordBatch:
-            own = np.concatenate([m for m in mine]) if mine else np.empty(0, np.int32)
+            own = np.concatenate(mine)
             bits, checkpoints = pack(own, size, code)
             row = {"bucket": bucket, "block": block, "first_id": first, "doc_ids": docs, "sizes": [len(m) for m in mine], "checkpoints": checkpoints.tolist(), "bits": bits}
             return pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("first_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("checkpoints", pa.list_(pa.int64())), ("bits", pa.binary())]))
 
         for batch in batches:
-            columns, values = [batch.column(k).to_pylist() for k in (0, 1, 3)], batch.column(2)
-            flat, offsets = values.flatten().to_numpy(), values.offsets.to_numpy()
-            offsets = offsets - offsets[0]
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 3)]
+            flat, offsets = unpacked(batch.column(2), width)
             for k, (b, doc, start) in enumerate(zip(*columns, strict=True)):
                 if b != bucket or held >= BLOCK_IDS:
                     if mine:
@@ -278,8 +298,8 @@ def _starts(sums: DataFrame) -> DataFrame:
     return written(sums.withColumn("s", own).join(upper, "above").select("bucket", (F.col("s") + F.col("u")).alias("start")), "starts")
 
 
-def read(spark: SparkSession, path: str, id_col: str = "doc_id", longest: int = LONGEST) -> DataFrame:
-    """(id, start, ids) of the documents in the file: start is the number of ids before."""
+def read(spark: SparkSession, path: str, width: int, id_col: str = "doc_id", longest: int = LONGEST) -> DataFrame:
+    """(id, start, packed ids) of the documents in the file: start is the number of ids before."""
     rows = spark.read.parquet(f"{path}/code").toArrow()
     ids, sizes, codes = canonical(dict(zip(rows["id"].to_pylist(), rows["length"].to_pylist(), strict=True)))
 
@@ -290,10 +310,10 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", longest: int =
                 n = np.array(row["sizes"], np.int64)
                 own = unpack(row["bits"], np.array(row["checkpoints"], np.int64), int(n.sum()), symbol, size, longest)
                 start = row["first_id"] + np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start), _lists(own, n)], names=[id_col, "start", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start), _packed(own, n, width)], names=[id_col, "start", "ids"])
 
     # blocks are few and large: a batch holds few of them
-    return spark.read.schema(_BLOCK).parquet(f"{path}/blocks").mapInArrow(run, f"{id_col} long, start long, ids array<int>")
+    return spark.read.schema(_BLOCK).parquet(f"{path}/blocks").mapInArrow(run, f"{id_col} long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,15 +322,15 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_
     One row per row of ``docs``; null texts have the end id only; other columns are not read; an
     empty table makes an empty file.
     """
-    encoded = written(token_ids(docs, tokenizer_path, end_id, id_col, text_col), "ids")
-    write(encoded, path, id_col)
+    width = id_width(tokenizer_path, end_id)
+    write(written(token_ids(docs, tokenizer_path, end_id, id_col, text_col), "ids"), path, width, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
-            flat, offsets = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            offsets = (offsets - offsets[0]).tolist()
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
+            flat, offsets = unpacked(batch.column(2), width)
+            flat = flat.astype("<u4")
+            ends = offsets.tolist()
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return read(docs.sparkSession, path, id_col).mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
+    return read(docs.sparkSession, path, width, id_col).mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")

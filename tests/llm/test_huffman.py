@@ -45,7 +45,7 @@ def test_pack_and_unpack():
 def test_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(huffman, "BLOCK_IDS", 300)
     rng = random.Random(9)
-    texts = ["", None, "  ", "<|endoftext|> x", "ΟΔΟΣ İstanbul\u00a0é e\u0301 \u2028 x", "it's 12 tests!!", " ".join(rng.choice(["one", "Two", "three3", "¿qué?"]) for _ in range(2000)), "日本語 テスト"]
+    texts = ["", None, "  ", "<|endoftext|> x", "ΟΔΟΣ İstanbul\u00a0é e\u0301 \u2028 x", "it's 12 tests!! DON'T '''s a1b22-c x<|y \x1c<|startoftext|>z", " ".join(rng.choice(["one", "Two", "three3", "¿qué?"]) for _ in range(2000)), "日本語 テスト"]
     rows = [(i * 7 - 3, t, 0) for i, t in enumerate(texts * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(6)
     got = {r["doc_id"]: r for r in huffman.round_trip(docs, PATH, 1, str(tmp_path / "f")).collect()}
