@@ -27,6 +27,8 @@ LENGTH, GRAM = 400, 100
 SORTED_CONTEXTS = 48
 #: Texts that a broadcast of their keys (16 bytes each) may name; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: A key that more than one in so many rows hold is hot; there can't be more hot keys than this.
+HOT_KEYS = 1000
 #: Bytes searched for anchors at a time.
 BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -107,6 +109,18 @@ def _of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, rows["doc"].eqNullSafe(F.col("d")) & (rows["hash"] == F.col("h")), how)
 
 
+def _joined(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys`` (on, n: how many of ``rows`` hold the key, ...).
+
+    Hot keys, which ``keys`` must have once, are broadcast, ``HOT_KEYS`` rows at most whatever the
+    input; only the others' rows are shuffled, so no key fills a task.
+    """
+    hot = F.col("n") > F.lit(max(1, rows.count() // HOT_KEYS))
+    few, rest = F.broadcast(keys.where(hot).drop("n")), keys.where(~hot).drop("n")
+    cold = rows.join(F.broadcast(keys.where(hot).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(cold.join(rest, on))
+
+
 def _with(rows: DataFrame, found: DataFrame, what: str) -> DataFrame:
     """The texts in ``found`` with their list of ``what``; a text's own list is as long as the text at most."""
     lists = found.groupBy(F.col("doc").alias("d"), F.col("hash").alias("h")).agg(F.collect_list(what).alias("list"))
@@ -116,7 +130,7 @@ def _with(rows: DataFrame, found: DataFrame, what: str) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (doc, hash, gram, c1, c2, a, run) with the bytes of each context."""
+    """``wanted`` (doc, hash, gram, c1, c2, a, run, once, wide) with the bytes of each context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
@@ -124,9 +138,9 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = text.encode("utf-8")
                 out += [x | {"bytes": raw[x["a"] : x["a"] + x["run"] + LENGTH]} for x in own]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("a", pa.int32()), ("run", pa.int32()), ("bytes", pa.binary())]))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("run", pa.int32()), ("once", pa.bool_()), ("wide", pa.bool_()), ("bytes", pa.binary())]))
 
-    return _with(rows, wanted, F.struct("gram", "c1", "c2", "a", "run")).mapInArrow(run, "gram long, c1 long, c2 long, a int, run int, bytes binary")
+    return _with(rows, wanted, F.struct("gram", "c1", "c2", "a", "run", "once", "wide")).mapInArrow(run, "gram long, c1 long, c2 long, run int, once boolean, wide boolean, bytes binary")
 
 
 def _equal_windows(contexts: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -175,14 +189,15 @@ _PART_ARROW = pa.schema([("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int
 
 
 def _sorted_groups(contexts: DataFrame) -> DataFrame:
-    """(gram, c1, c2, first, last): windows, counted from the context's first, that another context of the anchor holds."""
+    """(gram, c1, c2, first, last): windows, counted from the context's first, that another context of the anchor holds.
+    Contexts that come more than once take part, but have no rows: all their windows are known to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((r["gram"], r) for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
         for gram, own in groupby(rows, lambda x: x[0]):
             group = [r for _, r in own]
             found = _equal_windows([r["bytes"] for r in group])
-            out = [{"gram": gram, "c1": r["c1"], "c2": r["c2"], "first": x, "last": y} for r, ranges in zip(group, found, strict=True) for x, y in ranges]
+            out = [{"gram": gram, "c1": r["c1"], "c2": r["c2"], "first": x, "last": y} for r, ranges in zip(group, found, strict=True) if r["once"] for x, y in ranges]
             if out:
                 yield pa.RecordBatch.from_pylist(out, _PART_ARROW)
 
@@ -197,30 +212,31 @@ def _hashed_groups(contexts: DataFrame) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 for i in range(r["run"] + 1):
-                    out.append({"gram": r["gram"], "c1": r["c1"], "c2": r["c2"], "place": i, "window": xxhash.xxh3_128_digest(r["bytes"][i : i + LENGTH])})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("place", pa.int32()), ("window", pa.binary())]))
+                    out.append({"gram": r["gram"], "c1": r["c1"], "c2": r["c2"], "once": r["once"], "place": i, "window": xxhash.xxh3_128_digest(r["bytes"][i : i + LENGTH])})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("once", pa.bool_()), ("place", pa.int32()), ("window", pa.binary())]))
 
-    windows = written(contexts.mapInArrow(run, "gram long, c1 long, c2 long, place int, window binary"), "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return windows.join(twice, "window", "left_semi").select("gram", "c1", "c2", F.col("place").alias("first"), F.col("place").alias("last"))
+    windows = written(contexts.mapInArrow(run, "gram long, c1 long, c2 long, once boolean, place int, window binary"), "windows")
+    twice = windows.groupBy("window").agg(F.count("*").alias("all"), F.count_if("once").alias("n"))
+    twice = written(twice.where("all > 1 and n > 0").select("window", "n"), "twice")
+    return _joined(windows.where("once"), twice, ["window"]).select("gram", "c1", "c2", F.col("place").alias("first"), F.col("place").alias("last"))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """(doc, hash, first, last): ranges of places at which a string of LENGTH bytes starts that starts elsewhere too."""
     every = written(anchors(rows), "anchors")
     shared = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("c1").alias("x"), F.max("c1").alias("y")).where("n > 1")
-    shared = shared.select("gram", (F.col("x") != F.col("y")).alias("several"))
-    some = written(every.join(shared, "gram"), "shared")
+    shared = written(shared.select("gram", "n", (F.col("x") != F.col("y")).alias("several")), "grams")
+    some = written(_joined(every, shared, ["gram"]), "shared")
     context = ["gram", "c1", "c2"]
     distinct = some.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "a", "run")).alias("one"), F.first("several").alias("several"))
     distinct = written(distinct.select(*context, "n", "one.*", "several"), "contexts")
-    whole = distinct.where("n > 1").select(*context, F.lit(0).alias("first"), F.col("run").alias("last"))
-    open_ = distinct.where("several")
-    sizes = open_.groupBy("gram").agg(F.count("*").alias("m"))
-    bytes_ = written(_contexts(rows, open_), "bytes").join(sizes, "gram")
-    few, many = (bytes_.where(c).drop("m") for c in (F.col("m") <= SORTED_CONTEXTS, F.col("m") > SORTED_CONTEXTS))
-    parts = written(whole.unionByName(_sorted_groups(few)).unionByName(_hashed_groups(many)), "parts")
-    return some.join(parts, context).select("doc", "hash", (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last"))
+    whole = distinct.where("n > 1").select(*context, "n", F.lit(0).alias("first"), F.col("run").alias("last"))
+    open_ = distinct.where("several").withColumn("once", F.col("n") == 1).drop("n", "several")
+    sizes = written(open_.groupBy("gram").agg(F.count("*").alias("n")).withColumn("wide", F.col("n") > SORTED_CONTEXTS), "sizes")
+    bytes_ = written(_contexts(rows, _joined(open_, sizes, ["gram"])), "bytes")
+    again = _sorted_groups(bytes_.where("not wide")).unionByName(_hashed_groups(bytes_.where("wide")))
+    parts = written(whole.unionByName(again.select(*context, F.lit(1).cast("long").alias("n"), "first", "last")), "parts")
+    return _joined(some, parts, context).select("doc", "hash", (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

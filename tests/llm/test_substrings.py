@@ -61,6 +61,12 @@ def test_many_contexts_go_by_hashes(spark, monkeypatch):
     check(spark)
 
 
+def test_no_key_is_hot(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_KEYS", 1)
+    monkeypatch.setattr(substrings, "SORTED_CONTEXTS", 3)
+    check(spark)
+
+
 def test_blocks(monkeypatch):
     raw = (b"abcdefg" * 3 + bytes(random.Random(3).randbytes(3000))) * 2
     whole = list(substrings._runs(raw))
