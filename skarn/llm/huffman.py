@@ -34,7 +34,11 @@ BLOCK_IDS = 1 << 16
 #: Documents whose ids a task orders, about.
 BUCKET = 1024
 #: Words in each of the two generations that a worker remembers, and texts encoded at a time.
-WORDS, SLICE = 250_000, 2048
+WORDS, SLICE = 250_000, 1024
+#: Words encoded as one text, and what stands between them there.
+JOINED, MARK = 256, "\x01"
+#: Texts whose capitals count before they are lowered: names of special tokens, and marks that compose with one case only.
+_CASED = r"<\||[\x{0300}-\x{036f}]"
 _BLOCK = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("first_id", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("checkpoints", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
 
 
@@ -54,11 +58,29 @@ class _WordIds:
         parts = json.dumps([rule["normalizer"], rule["pre_tokenizer"]])
         # sound where white space is normalised to one blank, then never part of a pre-token, and nothing looks across it
         self.by_word = '"invert": true' in parts and '"behavior": "Removed"' in parts and '"content": " "' in parts
+        self.lowered = self.by_word and '"Lowercase"' in parts
+        mark = self.tokenizer.encode(f" {MARK} ", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, of many in one text. Each mark between them has one id; if that id comes
+        oftener, a word holds it too, and the words are encoded one by one."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)] if self.mark is not None else [[w] for w in words]
+        found = []
+        for own, x in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.int32)
+            at = np.flatnonzero(ids == self.mark) if len(own) > 1 else []
+            if len(at) == len(own) - 1:
+                raw, ends = ids.tobytes(), [-4, *(4 * np.array(at, np.int64)).tolist(), 4 * len(ids)]
+                found += [raw[a + 4 : b] for a, b in zip(ends, ends[1:], strict=False)]
+            else:
+                found += [array("i", y.ids).tobytes() for y in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+        return found
+
     def _resolve(self, words: list[str]) -> list[bytes]:
-        found = [array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = self._together(words)
         if len(self.young) + len(found) > WORDS:
             self.young, self.old = {}, self.young
         self.young.update(zip(words, found, strict=True))
@@ -69,6 +91,8 @@ class _WordIds:
         if not self.by_word:
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([len(x) for x in ids], np.int64), np.array([y for x in ids for y in x], np.int32)
+        if self.lowered:  # a word and its capitalised form are then one
+            texts = pc.if_else(pc.match_substring_regex(texts, _CASED), texts, pc.ascii_lower(texts))
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
