@@ -5,7 +5,8 @@ in one. The query's score for an item is taken as a share of the score that the
 get, and block-max WAND retrieves every item whose share reaches the threshold: passages whose
 terms' greatest weights can't add up to it are dropped first, then blocks of items, and the rest
 are scored by pivoting on the posting lists. What is retrieved counts if the passage repeats the
-five-word shingles of both the item's question and its answer.
+five-word shingles of both the item's question and its answer, or as large a part of the item as a
+whole. What has fewer words than a shingle must stand in the passage word by word.
 """
 
 from __future__ import annotations
@@ -61,11 +62,35 @@ def parts(text: str | None, answer: str | None = None) -> tuple[list[bytes], lis
     return w[: len(w) - n], w[len(w) - n :]
 
 
+def overlap(want: set[bytes], held: set[bytes], text: bytes) -> float:
+    """Share of the shingles ``want`` that a passage holds; ``text``: its words with one blank before and after each."""
+    if not want:
+        return 1.0
+    # one shingle alone can be shorter than the passage's
+    return float(b" %b " % next(iter(want)) in text) if len(want) == 1 else len(held & want) / len(want)
+
+
+def nearly(part: list[bytes], passage: list[bytes]) -> bool:
+    """Whether a stretch of the passage is ``part`` but for one word in five (one, if it has three or more) put in, left out or replaced."""
+    most = max(len(part) >= 3, len(part) // 5)
+    edits = list(range(len(part) + 1))
+    for w in passage:
+        before, edits = edits, [0]
+        for i, p in enumerate(part):
+            edits.append(min(before[i] + (p != w), before[i + 1] + 1, edits[i] + 1))
+        if edits[-1] <= most:
+            return True
+    return False
+
+
 @dataclass
 class Index:
     """Posting lists of one shard: items by number, weights as shares of each item's own score."""
 
     ids: list[int]
+    questions: list[list[bytes]]
+    replies: list[list[bytes]]
+    own: list[bool]  # whether the answer is the item's own, not the end of its text
     asks: list[set[bytes]]
     answers: list[set[bytes]]
     stride: int
@@ -77,12 +102,33 @@ class Index:
     block_most: np.ndarray | None = None  # by term and block
 
 
-def build(rows: list[tuple[int, list[bytes], list[bytes]]], counts: dict[bytes, int], total: int, average: float) -> Index:
-    """``rows``: (id, question words, answer words). ``counts``, ``total``, ``average``: of all items, in whatever shard."""
+def verified(x: Index, item: int, passage: list[bytes], held: set[bytes], text: bytes) -> tuple[float, float] | None:
+    """Overlaps with an item's question and answer if the passage repeats it, else None.
+
+    Where the answer is the end of the item's text, the text as a whole counts as well, and it alone
+    if a part has fewer words than a shingle. An answer of its own must be there beside the question:
+    then the shingles of both count together if neither part has more than a few words changed.
+    """
+    ask, answer = overlap(x.asks[item], held, text), overlap(x.answers[item], held, text)
+    question, reply = x.questions[item], x.replies[item]
+    both = ask >= OVERLAP and answer >= OVERLAP
+    if not x.own[item]:
+        short = len(question) < SHINGLE or len(reply) < SHINGLE
+        found = (both and not short) or overlap(shingles([*question, *reply]), held, text) >= OVERLAP
+    else:
+        asks, answers = len(x.asks[item]), len(x.answers[item])
+        whole = ask * asks + answer * answers >= OVERLAP * (asks + answers) - 1e-9
+        found = both or whole and all(o >= OVERLAP or nearly(part, passage) for o, part in ((ask, question), (answer, reply)))
+    return (ask, answer) if found else None
+
+
+def build(rows: list[tuple], counts: dict[bytes, int], total: int, average: float) -> Index:
+    """``rows``: (id, question words, answer words, and whether the answer is the item's own; not if that is left out). ``counts``, ``total``, ``average``: of all items, in whatever shard."""
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1], r[2]))
-    x = Index([r[0] for r in rows], [shingles(r[1]) for r in rows], [shingles(r[2]) for r in rows], max([STRIDE, *(len(r[1]) + len(r[2]) for r in rows)]))
+    ids, asks, answers = ([r[k] for r in rows] for k in range(3))
+    x = Index(ids, asks, answers, [any(r[3:]) for r in rows], [*map(shingles, asks)], [*map(shingles, answers)], max([STRIDE, *(len(r[1]) + len(r[2]) for r in rows)]))
     x.block = max(BLOCK_ITEMS, -(-len(rows) // BLOCKS))
-    for n, (_, ask, answer) in enumerate(rows):
+    for n, (ask, answer) in enumerate(zip(asks, answers, strict=True)):
         tf, size = Counter([*ask, *answer]), len(ask) + len(answer)
         w = {t: np.log1p((total - counts[t] + 0.5) / (counts[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / average)) for t, f in tf.items()}
         own = sum(w.values())
@@ -173,10 +219,11 @@ def _query(x: Index, texts: list[str | None], share: float) -> Iterator[tuple[in
         n = p - int(first[t])
         held = None
         for item, s in wand(x, mine, share):
-            held = held or shingles(split[t][n * stride : (n + 2) * stride])
-            ask, answer = (len(held & want) / len(want) if want else 1.0 for want in (x.asks[item], x.answers[item]))
-            if ask >= OVERLAP and answer >= OVERLAP:
-                yield t, item, n, s, ask, answer
+            if held is None:
+                passage = split[t][n * stride : (n + 2) * stride]
+                held, joined = shingles(passage), b" %b " % b" ".join(passage)
+            if both := verified(x, item, passage, held, joined):
+                yield t, item, n, s, *both
 
 
 def _indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
@@ -198,7 +245,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k)
         counts = counted.join(own.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").toArrow()
         counts = dict(zip(counts["term"].to_pylist(), counts["n"].to_pylist(), strict=True))
-        got = [(r["id"], *parts(r["text"], r["answer"])) for r in own.select("id", "text", "answer").collect()]
+        got = [(r["id"], *parts(r["text"], r["answer"]), bool(words(r["answer"]))) for r in own.select("id", "text", "answer").collect()]
         if got:
             yield build(got, counts, total, average)
 
@@ -209,7 +256,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     passage: number of the stretch of words at which the best passage starts; score: its BM25 score
     as a share of the item's own. Null and empty texts and items have no words and match nothing;
     repeated rows count once; other columns are not read, but for a column ``answer`` of the items,
-    which then is what must be repeated beside the text. Empty tables give an empty result.
+    which then is what must be repeated beside the text. An overlap can be less than ``OVERLAP`` where
+    the item as a whole reaches it. Empty tables give an empty result.
     """
     rows = id_text(docs, id_col, text_col)
     schema = T.StructType([rows.schema[id_col], T.StructField(item_col, items.schema[item_col].dataType), *(T.StructField(n, t) for n, t in (("passage", T.LongType()), ("score", T.DoubleType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType())))])

@@ -77,6 +77,34 @@ def test_shards_and_answers(spark, monkeypatch):
     assert [r["doc_id"] for r in d.leaks(texts, own).collect()] == [2]
 
 
+def test_short_items_and_answers(spark):
+    def held(phrase, text):  # by words, without the module's shingles
+        p, t = phrase.lower().split(), text.lower().split()
+        k = min(5, len(p))
+        grams = {tuple(p[i : i + k]) for i in range(len(p) - k + 1)}
+        return len(grams & {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}) / len(grams)
+
+    rng = random.Random(3)
+    items = [(n, " ".join(f"{rng.choice('abc')}{n}x{i}" for i in range(n))) for n in range(1, 31)]
+    docs = []
+    for n, text in items:
+        w, lead, tail = text.split(), sentence(30), sentence(90)
+        for k in {0, n // 2, max(0, n - 2), n - 1}:  # one word changed, or none
+            for new in (w[k], "changed"):
+                docs.append((len(docs), f"{lead} {' '.join([*w[:k], new, *w[k + 1 :]])} {tail}"))
+        docs.append((len(docs), f"{lead} {' '.join(w[::-1])} {tail}"))
+    want = {(i, k) for i, t in docs for k, item in items if held(item, t) >= 0.8}
+    got = d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {k for _, k in want} == set(range(1, 31)) and {(r["doc_id"], r["item_id"]) for r in got} == want
+
+    question = sentence(12)
+    own = [(0, question, "zurich"), (1, question, "seven golden birds sang"), (2, "who was it", "a tall stranger from the far north coast of old thule")]
+    texts = [question, f"{question} zurich", f"{question} it was said zurich", f"{question} seven golden birds sing", f"{question} seven birds", "who was it a tall stranger from the far north coast of old thule", "a tall stranger from the far north coast of old thule"]
+    rows = spark.createDataFrame([(i, f"{sentence(20)} {t} {sentence(20)}") for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(own, "item_id long, text string, answer string")
+    assert {(r["doc_id"], r["item_id"]) for r in d.leaks(rows, bench).collect()} == {(1, 0), (2, 0), (3, 1), (5, 2)}
+
+
 def test_empty(spark):
     none, item = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert d.leaks(none, item).count() == 0
