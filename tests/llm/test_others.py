@@ -79,6 +79,37 @@ def test_near_duplicates_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
 
 
+def spots(text, anchors):
+    w, out = text.split(), set()
+    for i, x in enumerate(w):
+        if x in anchors and (after := [y for y in w[i + 1 :] if y not in anchors][:2]):
+            out.add((x, *after))
+        if i == 0 or x not in anchors and not anchors & set(w[max(0, i - spotsigs.SPARSE) : i]):
+            out.add(tuple(w[i : i + 3]))
+    return out
+
+
+def test_signatures_around_the_sparse_boundary(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    pairs = []
+    for gap in (3, 14, 15, 16, 17, 18, 40, 1000):
+        w = ["".join(rng.choice("bcdfghk") for _ in range(6)) for _ in range(400)]
+        w[::gap] = ["the"] * len(w[::gap])
+        edited = list(w)
+        edited[200 // gap * gap] = "edit"  # an anchor less
+        pairs += [(" ".join(w), " ".join(edited)), (" ".join(w), " ".join([*w[:270], *rng.sample(w[1:gap], min(gap - 1, 9)), *w[270:]]))]
+    pairs += [("the", "the the"), ("", "of"), ("one", "one the")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for anchors in (["of", "the"], []):
+        a, b = (spotsigs.signatures(F.col(c), anchors) for c in "ab")
+        for r in rows.select("i", F.size(a).alias("a"), F.size(b).alias("b"), spotsigs.jaccard(a, b).alias("near")).collect():
+            x, y = (spots(t, set(anchors)) for t in pairs[r["i"]])
+            assert (r["a"], r["b"]) == (len(x), len(y)) and abs(r["near"] - len(x & y) / len(x | y)) < 1e-9, pairs[r["i"]]
+            assert r["near"] > 0.5 or r["i"] >= len(pairs) - 3, pairs[r["i"]]
+
+
 # --- token counts ----------------------------------------------------------------------------------
 
 
