@@ -283,6 +283,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``docs`` without those that repeat an item; rows of null id stay."""
-    found = leaks(docs, items, id_col, text_col, item_col).select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(found, docs[id_col] == found["__leak"], "left_anti")
+    """``docs`` without the rows whose text repeats an item, whatever their ids; texts are told apart by a 64-bit hash."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = leaks(docs.select(key.alias("__leak"), text_col), items, "__leak", text_col, item_col).select("__leak").distinct()
+    rows = docs.withColumn("__hash", key)
+    return rows.join(found, rows["__hash"] == found["__leak"], "left_anti").drop("__hash")

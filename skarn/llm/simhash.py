@@ -174,6 +174,15 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _least(fps: DataFrame, of: Column, threshold: int) -> DataFrame:
+    """(f, least): for each distinct fingerprint the least ``of`` among the rows that links reach from it."""
+    distinct = written(fps.groupBy("fp").agg(F.min(of).alias("own")), "classes")
+    roots = components(links(distinct.select("fp"), threshold))
+    class_root = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", F.coalesce("m", "fp").alias("root"), "own")
+    least = class_root.groupBy("root").agg(F.min("own").alias("least"))
+    return class_root.join(least, "root").select(F.col("fp").alias("f"), "least")
+
+
 def groups(fps: DataFrame, id_col: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """``fps`` (id, fp) with component_id: the least id that links reach from the row's fingerprint.
 
@@ -181,11 +190,7 @@ def groups(fps: DataFrame, id_col: str = "doc_id", threshold: int = THRESHOLD) -
     copies cost nothing in the comparison. Null ids never become a component_id unless a
     component has no other.
     """
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    roots = components(links(distinct.select("fp"), threshold))
-    class_root = distinct.join(roots, distinct["fp"] == roots["v"], "left").select("fp", F.coalesce("m", "fp").alias("root"), "least")
-    least = class_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = class_root.join(least, "root").select(F.col("fp").alias("f"), "component_id")
+    named = _least(fps, F.col(id_col), threshold).withColumnRenamed("least", "component_id")
     return fps.join(named, fps["fp"] == named["f"]).drop("f")
 
 
@@ -201,9 +206,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but the document of least id of each group; rows that repeat an id are one document."""
-    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    lost = groups(fps, id_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
-    kept = docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
-    twice = fps.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if twice else kept
+    """``docs`` with one row of each group: that of least id, null being the greatest; of equal ids, that of least text hash.
+
+    Rows are told apart by id and a 64-bit hash of the text (null texts are empty), so that texts
+    which share an id, or have none, stay or go each by its own group.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    hashed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("hash")).alias("row"), text_col)
+    fps = written(fingerprints(hashed, "row", text_col), "fingerprints")
+    named = _least(fps, F.col("row"), THRESHOLD)
+    lost = fps.join(named, fps["fp"] == named["f"]).where(F.col("row") != F.col("least")).select(F.col("row.id").alias("__id"), F.col("row.hash").alias("__lost")).distinct()
+    rows = docs.withColumn("__hash", key)
+    kept = rows.join(lost, rows[id_col].eqNullSafe(lost["__id"]) & (rows["__hash"] == lost["__lost"]), "left_anti")
+    twice = fps.groupBy("row").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([id_col, "__hash"]) if twice else kept).drop("__hash")

@@ -105,6 +105,14 @@ def test_short_items_and_answers(spark):
     assert {(r["doc_id"], r["item_id"]) for r in d.leaks(rows, bench).collect()} == {(1, 0), (2, 0), (3, 1), (5, 2)}
 
 
+def test_clean_where_ids_are_null_or_repeat(spark):
+    item, other = sentence(30), sentence(30)
+    rows = [(None, f"{other} {item}"), (None, other), (4, f"{item} {other}"), (4, other), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = d.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([(None, other), (4, other), (5, None)], key=str)
+
+
 def test_empty(spark):
     none, item = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert d.leaks(none, item).count() == 0

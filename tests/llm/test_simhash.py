@@ -86,6 +86,16 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in simhash.keep_one(docs).collect()), key=str) == [1, 2, None]
 
 
+def test_keep_one_where_ids_are_null_or_repeat(spark):
+    one, two, three, four = "a b c d e", "quite another text of seven words", "the third of them is here", "a fourth one that all lack"
+    rows = [(None, one, "x"), (None, two, "x"), (None, two, "y"), (5, one, "x"), (1, three, "x"), (5, four, "x"), (7, three, None), (7, "the last text alone", None)]
+    docs = spark.createDataFrame([*rows, (1, three, "x")], "doc_id long, text string, kind string")
+    got = simhash.keep_one(docs.repartition(3))
+    assert got.columns == docs.columns
+    # one row for each text: of the least id, null last
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, two), (5, one), (1, three), (5, four), (7, "the last text alone")], key=str)
+
+
 def test_components_of_a_path(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long")
