@@ -1,7 +1,8 @@
 """Personal data: spans by four patterns, and bootstrapped contextual extraction of what they miss.
 
-The valid matches of the patterns are seeds. Identifier-like tokens (with four digits or more) and
-the words around them make a graph of patterns and instances. A pattern's confidence in a kind is
+The valid matches of the patterns are seeds, each with the words around it. They and tokens of a
+kind's rough shape (four digits or more, an at-sign, plain or spelled) make a graph of patterns of
+context and instances. A pattern's confidence in a kind is
 the sum of its distinct instances' scores over one more than their number; an instance that is no
 seed has the score of its surest pattern. After some rounds, the patterns that are sure enough and
 have seeds enough give their kind to the instances that they hold. DataFrame operations only.
@@ -9,6 +10,7 @@ have seeds enough give their kind to the instances that they hold. DataFrame ope
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +30,13 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 VALID_IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-#: What may be an identifier: phone and card numbers, which can hold blanks, else a token with four digits.
-CANDIDATE = rf"{PHONE}|{CARD}|(?<!\S)(?=(?:[^\s0-9]*+[0-9]){{4}})\S+"
-_WHOLE = {"email": rf"^{_NAME}+@{_HOST}+(?:\.{_HOST}+)+$", "ip": r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$", "card": r"^[0-9](?:[\x20-]?[0-9]){12,18}$", "phone": rf"^{PHONE}$"}
+_OPEN, _CLOSE = r"\x20?[(\[{]\x20?", r"\x20?[)\]}]\x20?"
+#: An address with its at-sign in brackets, or at-sign and dots in words.
+SPELLED = rf"(?<!{_NAME}){_NAME}++(?:{_OPEN}(?i:at|@){_CLOSE}{_HOST}++(?:(?:\.|{_OPEN}(?i:dot|\.){_CLOSE}|\x20(?i:dot)\x20){_HOST}++)++|\x20(?i:at)\x20{_HOST}++(?:\x20(?i:dot)\x20{_HOST}++)++)"
+#: What may be an identifier: phone and card numbers and spelled addresses, which can hold blanks, else a token with an at-sign or four digits.
+CANDIDATE = rf"{PHONE}|{CARD}|{SPELLED}|(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){{4}})\S+"
+#: What stands before a candidate in its token: punctuation, and a label (tel:, ip=).
+_LABEL = r"^[^A-Za-z0-9+]*(?:[A-Za-z]++[=:]++[^A-Za-z0-9+]*)?"
 
 ROUNDS = 3
 #: Confidence from which a pattern's instances are taken, and the distinct seeds that it then has at least.
@@ -77,41 +83,59 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """The spans of each kind: leftmost matches that don't overlap, without those that fail their check."""
+def _context(before: Column, after: Column) -> list[Column]:
+    """The two words before and the word after, in lower case, digits as 0, without the punctuation next to the instance."""
+    left = F.regexp_extract(F.regexp_replace(F.right(before, F.lit(120)), r"[(\[{<\"']+$", ""), r"(?:\S+\s+)?\S+\s*$", 0)
+    right = F.regexp_extract(F.regexp_replace(F.left(after, F.lit(60)), r"^\p{Punct}+", ""), r"^\s*\S+", 0)
+    return [F.lower(F.regexp_replace(F.trim(F.regexp_replace(w, r"\s+", " ")), "[0-9]", "0")) for w in (left, right)]
+
+
+def _matches(text: Column, pattern: str, one: Callable[[Column, Column, Column], Column], kind: str) -> Column:
+    """``one`` of each match, the text before and the text after it, up to the next matches; ``kind``: the array's type."""
+    between = F.split(text, pattern, -1)
+    pairs = F.zip_with(located(text, pattern), between, lambda x, before: F.struct(x.alias("x"), before.alias("before")))
+    each = F.zip_with(pairs, F.slice(between, 2, 1 << 30), lambda p, after: F.when(p["x"].isNotNull(), one(p["x"], p["before"], after)))
+    return F.when(text.rlike(pattern), F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast(kind))
+
+
+def seeds(text: Column) -> dict[str, Column]:
+    """array<struct<kind, start, end, core, left, right>> by kind: leftmost matches that don't overlap, without
+    those that fail their check, and the two words before and the word after."""
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 
     def of(kind: str) -> Column:
-        valid = F.filter(located(text, patterns[kind]), lambda x: _valid(kind, x["text"]))
-        return F.transform(valid, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+        def one(x: Column, before: Column, after: Column) -> Column:
+            left, right = _context(before, after)
+            full = F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("core"), left.alias("left"), right.alias("right"))
+            return F.when(_valid(kind, x["text"]), full)
+
+        return _matches(text, patterns[kind], one, "array<struct<kind:string,start:int,end:int,core:string,left:string,right:string>>")
 
     return {k: of(k) for k in KINDS}
 
 
 def _candidates(text: Column) -> Column:
-    """array<struct<start, end, core, left, right>>: identifier-like tokens without the punctuation around them,
-    the two words before and the word after."""
-    between, found = F.split(text, CANDIDATE, -1), located(text, CANDIDATE)
-
-    def one(x: Column, i: Column) -> Column:
-        core = F.regexp_extract(x["text"], r"[A-Za-z0-9+](?s:.*)[A-Za-z0-9]", 0)
-        start = x["start"] + F.length(F.regexp_extract(x["text"], "^[^A-Za-z0-9+]*", 0))
-        plain = [F.lower(F.regexp_replace(F.trim(F.regexp_replace(w, r"\s+", " ")), "[0-9]", "0")) for w in (F.regexp_extract(F.right(between[i], F.lit(120)), r"(?:\S+\s+)?\S+\s*$", 0), F.regexp_extract(F.left(between[i + 1], F.lit(60)), r"^\s*\S+", 0))]
-        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("core"), plain[0].alias("left"), plain[1].alias("right"))
-
-    return F.when(F.size(found) > 0, F.transform(found, one)).otherwise(F.array().cast("array<struct<start:int,end:int,core:string,left:string,right:string>>"))
+    """array<struct<start, end, core, left, right>>: identifier-like tokens without label and the punctuation around them,
+    the two words before (a label is one) and the word after."""
 
+    def one(x: Column, before: Column, after: Column) -> Column:
+        label = F.regexp_extract(x["text"], _LABEL, 0)
+        core = F.regexp_extract(F.substring(x["text"], F.length(label) + 1, F.length(x["text"])), r"[A-Za-z0-9+](?s:.*)[A-Za-z0-9]", 0)
+        start = x["start"] + F.length(label)
+        left, right = _context(F.concat(before, label), after)
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("core"), left.alias("left"), right.alias("right"))
 
-def _seed_kind(core: Column) -> Column:
-    return F.coalesce(*[F.when(core.rlike(_WHOLE[k]) & _valid(k, core), F.lit(k)) for k in KINDS])
+    return _matches(text, CANDIDATE, one, "array<struct<start:int,end:int,core:string,left:string,right:string>>")
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """(pattern, core, seed): the distinct edges of the graph, from rows with ``candidates``."""
-    each = found.select(F.explode("candidates").alias("c")).select("c.*").where("length(core) > 0")
+    """(pattern, core, seed): the distinct edges of the graph, from rows with ``seeds`` and ``candidates``."""
+    open_ = F.transform("candidates", lambda c: F.struct(c["core"].alias("core"), c["left"].alias("left"), c["right"].alias("right"), F.lit(None).cast("string").alias("seed")))
+    known = F.transform("seeds", lambda c: F.struct(c["core"].alias("core"), c["left"].alias("left"), c["right"].alias("right"), c["kind"].alias("seed")))
+    each = found.select(F.explode(F.concat(open_, known)).alias("c")).select("c.*").where("length(core) > 0")
     last = F.regexp_extract("left", r"\S+$", 0)
     patterns = F.array(F.when(F.col("left").contains(" "), F.concat(F.lit("before "), F.col("left"))), F.when((F.length(last) > 0) & (F.length("right") > 0), F.concat(F.lit("around "), last, F.lit(" _ "), F.col("right"))))
-    return each.select(F.explode(patterns).alias("pattern"), "core").where("pattern is not null").distinct().withColumn("seed", _seed_kind(F.col("core")))
+    return each.select(F.explode(patterns).alias("pattern"), "core", "seed").where("pattern is not null").distinct()
 
 
 def sure_patterns(graph: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:
@@ -129,17 +153,16 @@ def sure_patterns(graph: DataFrame, rounds: int = ROUNDS, confidence: float = CO
 
 
 def discovered(found: DataFrame, graph: DataFrame, sure: DataFrame) -> DataFrame:
-    """(key columns, more): spans array<struct<kind, start, end>> that sure patterns add, outside all base spans."""
+    """(key columns, more): spans array<struct<kind, start, end>> that sure patterns add; candidates lie outside all base spans."""
     taken = graph.where("seed is null").join(sure, "pattern")
     # numbers stay numbers: only an address may hold letters
     taken = taken.where((F.col("kind") == "email") | ~F.col("core").rlike("[A-Za-z]"))
     taken = taken.groupBy("core", "pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
-    each = found.select("__id", "__hash", "base", F.explode("candidates").alias("c"))
+    each = found.select("__id", "__hash", F.explode("candidates").alias("c"))
     last = F.regexp_extract("c.left", r"\S+$", 0)
     both = F.array(F.concat(F.lit("before "), F.col("c.left")), F.concat(F.lit("around "), last, F.lit(" _ "), F.col("c.right")))
     each = each.withColumn("pattern", F.explode(both)).withColumn("core", F.col("c.core"))
     hit = each.join(taken, ["core", "pattern"])
-    hit = hit.where(~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"])))
     hit = hit.groupBy("__id", "__hash", F.col("c.start").alias("start"), F.col("c.end").alias("end")).agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     return hit.groupBy("__id", "__hash").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
 
@@ -158,10 +181,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     told apart by id and a 64-bit hash of the text.
     """
     rows = _keyed(docs.select(id_col, text_col), id_col, text_col)
-    kinds = base_spans(F.col("__text"))
-    found = rows.select("__id", "__hash", *[c.alias(k) for k, c in kinds.items()], _candidates(F.col("__text")).alias("candidates"))
-    base = F.concat(*KINDS)
-    found = written(found.select("__id", "__hash", base.alias("base"), "candidates"), "pii")
+    found = rows.select("__id", "__hash", F.concat(*seeds(F.col("__text")).values()).alias("seeds"), _candidates(F.col("__text")).alias("candidates"))
+    found = written(found, "pii")
+    base = F.transform("seeds", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    # what a seed lies in is no instance of its own
+    apart = F.filter("candidates", lambda c: ~F.exists("seeds", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = found.select("__id", "__hash", "seeds", base.alias("base"), apart.alias("candidates"))
     graph = written(edges(found), "graph")
     more = discovered(found, graph, sure_patterns(graph)).select(F.col("__id").alias("i"), F.col("__hash").alias("h"), "more")
     joined = found.join(more, found["__id"].eqNullSafe(F.col("i")) & (found["__hash"] == F.col("h")), "left")

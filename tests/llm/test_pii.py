@@ -62,6 +62,21 @@ def test_contexts_find_what_the_patterns_miss(spark):
     assert by[12] == f"phone:{at}:{at + 11}" and by[13] == "" and by[None] == ""
 
 
+def test_contexts_of_addresses_and_labels(spark):
+    names = ["anna", "ben", "carla", "dan", "eva", "finn", "gus", "hal"]
+    texts = [f"you can write to {n}.smith@example.org, any time" for n in names] + [f"the server ip=10.0.{i}.1 is up" for i in range(8)]
+    unseen = {"anna.smith(at)example.org": "email", "bo [at] example [dot] org": "email", "cy at example dot org": "email", "di@localhost": "email", "10.0.0.1.7/8": None}
+    texts += [f"you can write to {u}, any time" if k else f"they wrote {u} once" for u, k in unseen.items()]
+    texts += ["the server ip=10-0-0-77 is up", "they met at example dot org once"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (u, kind) in enumerate(unseen.items(), 16):
+        if kind:
+            at = texts[i].index(u)
+            assert got[i] == f"{kind}:{at}:{at + len(u)}", (u, got[i])
+    assert got[21] == "ip:14:23" and got[22] == ""
+    assert all(got[i].count(":") == 2 for i in range(16))
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é mail x@y.zz or 10.0.0.1.", "en"), (1, "é mail x@y.zz or 10.0.0.1.", "en"), (2, None, "en"), (3, "none", None)], "doc_id long, text string, kind string")
     got = sorted(map(tuple, pii.redacted(docs).collect()), key=str)
