@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from .functions.cameras import MODELS
 from .operators.ingest import import_scene
+from .operators.store import SceneStore
 from .sources import files, hadoop, hdf5
 
 
@@ -27,7 +28,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.camera_model == "opencv" and not a.single_camera:
         raise SystemExit("Cannot use opencv camera model without --single-camera")
     spark = spark or SparkSession.builder.getOrCreate()
-    if hadoop.children(spark, a.database_path):
+    if SceneStore(spark, a.database_path).exists():
         raise SystemExit(f"{a.database_path} exists")
     if hadoop.exists(spark, f"{a.features}/keypoints.h5"):
         kps, pairs = hdf5.keypoints(spark, f"{a.features}/keypoints.h5"), hdf5.matches(spark, f"{a.features}/matches.h5")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 
 class Embedder(ABC):
@@ -91,3 +92,15 @@ def extract_embeddings(images: DataFrame, embedder: Embedder) -> DataFrame:
 def scaled_pixels(values: Column) -> Column:
     """Pixel values from 0 to 1."""
     return F.transform(values, lambda v: v / F.lit(255.0))
+
+
+def batches(images: DataFrame, id_col: str = "origin") -> DataFrame:
+    """(id, shape, pixels) of images (id, height, width, data: rows of RGB): ``to_batch`` of each, flat, in the order of its shape."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [to_batch(np.asarray(d, np.uint8).reshape(h, w, 3)) for d, h, w in zip(f["data"], f["height"], f["width"], strict=True)]
+            yield pd.DataFrame({id_col: f[id_col], "shape": [list(x.shape) for x in found], "pixels": [x.reshape(-1) for x in found]})
+
+    schema = StructType([images.schema[id_col], StructField("shape", ArrayType(IntegerType())), StructField("pixels", ArrayType(FloatType()))])
+    return images.select(id_col, "height", "width", "data").mapInPandas(run, schema)

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import cameras, ids
-from ..sources import hadoop
+from ..sources import files
 from ..sources.schema import MATCH
 from .store import SceneStore, none_of
-
-#: Names that a broadcast of the id map may hold (some 100 bytes each); more are joined by shuffle.
-BROADCAST_NAMES = 500_000
-
+from .tabular import with_ids
 
 def camera_rows(images: DataFrame, model: str = "simple-radial", single: bool = False, strict: bool = False) -> DataFrame:
     """(camera_id, name, model, width, height, params, focal_source) from (name, width, height, film_focal).
@@ -32,10 +30,10 @@ def camera_rows(images: DataFrame, model: str = "simple-radial", single: bool =
 
 def resolved(matches: DataFrame, names: DataFrame) -> DataFrame:
     """``matches`` (name1, name2, ...) with image_id1 and image_id2; an unknown name has a null id."""
-    few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    # one map under one pair of names, so that where it is small enough it is sent out once for both joins
+    own = names.select(F.col("name").alias("__name"), F.col("image_id").alias("__id"))
     for k in (1, 2):
-        own = names.select(F.col("name").alias(f"name{k}"), F.col("image_id").alias(f"image_id{k}"))
-        matches = matches.join(F.broadcast(own) if few else own, f"name{k}", "left")
+        matches = matches.join(own, F.col(f"name{k}") == F.col("__name"), "left").withColumnRenamed("__id", f"image_id{k}").drop("__name")
     return matches
 
 
@@ -70,9 +68,9 @@ def progress_total(n: int) -> int:
     return n * (n - 1) // 2
 
 
-def check_files(names: DataFrame, listing: DataFrame) -> None:
-    """Raise if an image's file isn't in ``listing`` (path)."""
-    have = listing.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+def check_files(names: DataFrame, listing: DataFrame, root: str = "") -> None:
+    """Raise if an image's file isn't in ``listing`` (path). Names are paths below ``root``, or without it the paths' last parts."""
+    have = listing.select((files.below(root, F.col("path")) if root else F.element_at(F.split("path", "/"), -1)).alias("name"))
     missing = names.select("name").join(have, "name", "left_anti").orderBy("name").limit(1).collect()
     if missing:
         raise OSError(f"Invalid image path {missing[0][0]}")
@@ -83,36 +81,31 @@ def import_scene(spark: SparkSession, root: str, images: DataFrame, keypoints: D
 
     images: (name, width, height, film_focal); keypoints: (name, kps); matches: (name1, name2,
     matches array<array<int>>). Only images that have keypoints are imported, numbered in the order
-    of their names; an unknown name in matches raises, as does an image without a row in ``images``.
+    of their names. An unknown name in matches raises KeyError; a name that repeats in ``images``, or has
+    keypoints but no row there, raises too. All six tables change together: what raises leaves the store as it was.
     """
-    if refuse_existing and hadoop.children(spark, root):
-        raise FileExistsError(root)
     store = SceneStore(spark, root)
-    store.create_tables()
+    if refuse_existing and store.exists():
+        raise FileExistsError(root)
+    none_of(images.groupBy("name").count(), F.col("count") > 1, "images: name repeats")
     named = keypoints.join(images, "name", "left")
     none_of(named.select("name", "width"), F.col("width").isNull(), "Invalid image path")
-    first = store._manifest("cameras")["next_id"]
-    own = camera_rows(named.select("name", "width", "height", "film_focal"), camera_model, single_camera)
-    store.add_cameras(own.select("name", "model", "width", "height", "params"), order=["name"])
-    if single_camera:
-        new = named.select("name", F.lit(first).cast("long").alias("camera_id"))
-    else:  # cameras and images are numbered in the same order
-        from .tabular import with_ids
-
-        new = with_ids(named.select("name"), "camera_id", [F.col("name")], first)
-    store.add_images(new)
-    numbers = store.table("images").select("name", "image_id")
-    store.add_keypoints(named.join(numbers, "name").select("image_id", F.col("kps").alias("data")))
-    none_of(unresolved(matches, numbers), F.lit(True), "matches name unknown images")
-    pairs = resolved(matches, numbers)
-    packed = F.transform("matches", lambda m: F.struct(m[0].cast("long").alias("idx1"), m[1].cast("long").alias("idx2"))).cast(_list(MATCH))
-    none_of(pairs, F.exists("matches", lambda m: F.size(m) != 2), "matches: two columns are needed")
-    best = first_pairs(pairs.select("name1", "name2", "image_id1", "image_id2", packed.alias("matches")), ["name1", "name2"])
-    store.add_matches(best.select("image_id1", "image_id2", "matches"))
+    unknown = unresolved(matches, keypoints.select("name")).first()
+    if unknown:
+        raise KeyError(unknown["name"])
+    none_of(matches, F.exists("matches", lambda m: F.size(m) != 2), "matches: two columns are needed")
+    with store.transaction():
+        store.create_tables()
+        first = store.next_id("cameras")
+        own = camera_rows(named.select("name", "width", "height", "film_focal"), camera_model, single_camera)
+        store.add_cameras(own.select("name", "model", "width", "height", "params"), order=["name"])
+        # cameras and images are numbered in the same order
+        new = named.select("name", F.lit(first).cast("long").alias("camera_id")) if single_camera else with_ids(named.select("name"), "camera_id", [F.col("name")], first)
+        store.add_images(new)
+        numbers = store.table("images").select("name", "image_id")
+        store.add_keypoints(named.join(numbers, "name").select("image_id", F.col("kps").alias("data")))
+        pairs = resolved(matches, numbers)
+        packed = F.transform("matches", lambda m: F.struct(m[0].cast("long").alias("idx1"), m[1].cast("long").alias("idx2"))).cast(ArrayType(MATCH))
+        best = first_pairs(pairs.select("name1", "name2", "image_id1", "image_id2", packed.alias("matches")), ["name1", "name2"])
+        store.add_matches(best.select("image_id1", "image_id2", "matches"))
     return duplicate_warnings(pairs)
-
-
-def _list(element):
-    from pyspark.sql.types import ArrayType
-
-    return ArrayType(element)

@@ -1,9 +1,10 @@
-"""Scene store: six tables as Parquet, each in versions that a manifest names.
+"""Scene store: six tables as Parquet, in versions that a manifest names.
 
-A manifest lists the folders that make a version and the next number that the table gives out. It
-is created, never overwritten, so of two writers of one version the second fails, and readers keep
-what they read. Appending adds a folder; replacing and deleting write the table anew. Parquet
-enforces neither keys nor ranges, so each write checks them.
+A manifest lists, for all tables, the folders that make a version and the next number that a table
+gives out. It is created, never overwritten, so of two writers of one version the second fails, and
+readers keep what they read. What a ``transaction`` writes gets one manifest at its end, or none.
+Appending adds a folder; replacing and deleting write the table anew. Parquet enforces neither keys
+nor ranges, so each write checks them.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..sources import hadoop
-from ..sources.schema import KEYPOINT_COLUMNS, NUMBERED, TABLES, UNIQUE
+from ..sources.schema import KEYPOINT_COLUMNS, MAX_ID, NUMBERED, TABLES, UNIQUE
 from .tabular import with_ids
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
@@ -34,21 +36,54 @@ def none_of(df: DataFrame, bad: Column, message: str) -> None:
         raise ConstraintError(f"{message}: {found[0].asDict()}")
 
 
+def valid_layout(cols: str) -> Column:
+    """Whether keypoints may have so many columns."""
+    return F.col(cols).isin(*KEYPOINT_COLUMNS)
+
+
 class SceneStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._open: dict | None = None  # the state within a transaction
 
     # --- versions --------------------------------------------------------------------------------
 
-    def _manifest(self, table: str) -> dict:
-        names = [n for n in hadoop.children(self.spark, f"{self.root}/{table}/manifests") if n.endswith(".json")]
-        if not names:
-            raise ValueError(f"{self.root} has no table {table}; create_tables() makes it")
-        return json.loads(hadoop.read_text(self.spark, f"{self.root}/{table}/manifests/{names[-1]}"))
+    def _state(self) -> dict:
+        """{"version", "tables": {name: {"folders", "next_id"}}} as it is now."""
+        if self._open is not None:
+            return self._open
+        names = [n for n in hadoop.children(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
+        return json.loads(hadoop.read_text(self.spark, f"{self.root}/manifests/{names[-1]}")) if names else {"version": -1, "tables": {}}
 
-    def _commit(self, table: str, version: int, folders: list[str], next_id: int) -> None:
-        text = json.dumps({"version": version, "folders": folders, "next_id": next_id})
-        hadoop.create_text(self.spark, f"{self.root}/{table}/manifests/{version:010d}.json", text)
+    def exists(self) -> bool:
+        return self._state()["version"] >= 0
+
+    def _last(self, table: str) -> dict:
+        found = self._state()["tables"].get(table)
+        if found is None:
+            raise ValueError(f"{self.root} has no table {table}; create_tables() makes it")
+        return found
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """All writes within become visible to others together at the end; if anything raises, none of them does."""
+        if self._open is not None:  # within another one
+            yield
+            return
+        before = self._state()
+        self._open = before
+        try:
+            yield
+            after = self._open
+        finally:
+            self._open = None
+        if after["tables"] != before["tables"]:
+            text = json.dumps(after | {"version": before["version"] + 1})
+            hadoop.create_text(self.spark, f"{self.root}/manifests/{before['version'] + 1:010d}.json", text)
+
+    def _commit(self, table: str, folders: list[str], next_id: int) -> None:
+        with self.transaction():
+            self._open = self._open | {"tables": self._open["tables"] | {table: {"folders": folders, "next_id": next_id}}}
 
     def _save(self, table: str, df: DataFrame) -> str:
         folder = f"data-{uuid.uuid4().hex}"
@@ -57,12 +92,13 @@ class SceneStore:
 
     def create_tables(self, *tables: str) -> None:
         """Empty tables, all six by default; those that exist stay as they are."""
-        for t in tables or TABLES:
-            if not hadoop.children(self.spark, f"{self.root}/{t}/manifests"):
-                self._commit(t, 0, [], 1)
+        with self.transaction():
+            for t in tables or TABLES:
+                if t not in self._state()["tables"]:
+                    self._commit(t, [], 1)
 
     def table(self, name: str) -> DataFrame:
-        folders = self._manifest(name)["folders"]
+        folders = self._last(name)["folders"]
         if not folders:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{name}/{f}" for f in folders))
@@ -79,7 +115,7 @@ class SceneStore:
     # --- writes ----------------------------------------------------------------------------------
 
     def _append(self, table: str, df: DataFrame) -> None:
-        last = self._manifest(table)
+        last = self._last(table)
         folder = self._save(table, df)
         new = self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{folder}")
         schema = TABLES[table]
@@ -93,16 +129,20 @@ class SceneStore:
         next_id = last["next_id"]
         if table in NUMBERED:
             next_id = max(next_id, (new.agg(F.max(NUMBERED[table])).first()[0] or 0) + 1)
-        self._commit(table, last["version"] + 1, [*last["folders"], folder], next_id)
+        self._commit(table, [*last["folders"], folder], next_id)
+
+    def next_id(self, table: str) -> int:
+        """The number that the table gives out next."""
+        return self._last(table)["next_id"]
 
     def _rewrite(self, table: str, df: DataFrame) -> None:
-        last = self._manifest(table)
-        self._commit(table, last["version"] + 1, [self._save(table, df)], last["next_id"])
+        last = self._last(table)
+        self._commit(table, [self._save(table, df)], last["next_id"])
 
     def _numbered(self, table: str, df: DataFrame, order: Sequence[str]) -> DataFrame:
         """Rows without a number get the next ones, in ``order``; given numbers stay and are never given again."""
         column = NUMBERED[table]
-        first = self._manifest(table)["next_id"]
+        first = self.next_id(table)
         if column not in df.columns:
             return with_ids(df, column, [F.col(c) for c in order], first)
         given, new = df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull()).drop(column)
@@ -121,13 +161,13 @@ class SceneStore:
         self._append("images", self._numbered("images", df.withColumns(priors) if priors else df, order))
 
     def add_camera(self, model: int, width: int, height: int, params: Sequence[float], prior_focal_length: bool = False, camera_id: int | None = None) -> int:
-        number = self._manifest("cameras")["next_id"] if camera_id is None else camera_id
+        number = self.next_id("cameras") if camera_id is None else camera_id
         row = [(number, model, width, height, [float(p) for p in params], int(prior_focal_length))]
         self.add_cameras(self.spark.createDataFrame(row, TABLES["cameras"]))
         return number
 
     def add_image(self, name: str, camera_id: int, prior_q: Sequence[float] = (0.0,) * 4, prior_t: Sequence[float] = (0.0,) * 3, image_id: int | None = None) -> int:
-        number = self._manifest("images")["next_id"] if image_id is None else image_id
+        number = self.next_id("images") if image_id is None else image_id
         self.add_images(self.spark.createDataFrame([(number, name, camera_id, *map(float, prior_q), *map(float, prior_t))], TABLES["images"]))
         return number
 
@@ -141,7 +181,7 @@ class SceneStore:
 
     def _keypoints(self, df: DataFrame) -> DataFrame:
         df = self._matrices(df, F.col("data").cast("array<array<float>>"))
-        none_of(df, ~F.col("cols").isin(*KEYPOINT_COLUMNS), "keypoints: columns must be 2, 4 or 6")
+        none_of(df, ~valid_layout("cols"), "keypoints: columns must be 2, 4 or 6")
         return df
 
     def _descriptors(self, df: DataFrame) -> DataFrame:
@@ -200,25 +240,37 @@ class SceneStore:
 
     # --- reads -----------------------------------------------------------------------------------
 
-    def _one(self, table: str, where: Column) -> Row | None:
-        return self.table(table).where(where).first()
+    def rows_of(self, table: str, image_ids: int | Sequence[int] | DataFrame) -> DataFrame:
+        """Rows of these images; few ids are pushed down to the files, a DataFrame (image_id) is joined."""
+        rows = self.table(table)
+        if isinstance(image_ids, DataFrame):
+            return rows.join(image_ids.select("image_id"), "image_id", "left_semi")
+        return rows.where(F.col("image_id").isin([image_ids] if isinstance(image_ids, int) else list(image_ids)))
+
+    def matches_of(self, pairs: DataFrame) -> DataFrame:
+        """Rows of the pairs (image_id1, image_id2) in whatever order they are given, always as (smaller, greater id)."""
+        asked = pairs.select(ids.pair_id("image_id1", "image_id2").alias("pair_id")).distinct()
+        return self.table("matches").join(asked, "pair_id", "left_semi")
+
+    def image_ids(self) -> DataFrame:
+        return self.table("images").select("image_id")
 
     def select_keypoints(self, image_id: int) -> list[list[float]] | None:
-        row = self._one("keypoints", F.col("image_id") == image_id)
+        row = self.rows_of("keypoints", image_id).first()
         return row and row["data"]
 
     def select_descriptors(self, image_id: int) -> list[list[int]] | None:
-        row = self._one("descriptors", F.col("image_id") == image_id)
+        row = self.rows_of("descriptors", image_id).first()
         return row and row["data"]
 
     def select_matches(self, image_id1: int, image_id2: int) -> list[Row] | None:
         """Matches of a pair in whatever order it is given, always as (smaller, greater id); None without any."""
         low, high = sorted((image_id1, image_id2))
-        row = self._one("matches", F.col("pair_id") == low * (2**31 - 1) + high)
+        row = self.table("matches").where(F.col("pair_id") == low * MAX_ID + high).first()
         return row and row["matches"]
 
     def select_image(self, image_id: int) -> dict:
-        row = self._one("images", F.col("image_id") == image_id)
+        row = self.rows_of("images", image_id).first()
         if row is None:
             raise KeyError(image_id)
         return row.asDict()
@@ -229,7 +281,7 @@ class SceneStore:
         return list(rows) if eager else rows
 
     def select_image_ids(self, eager: bool = False) -> list[int] | Iterator[int]:
-        df = self.table("images").select("image_id")
+        df = self.image_ids()
         found = (r[0] for r in (df.collect() if eager else df.toLocalIterator()))
         return list(found) if eager else found
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import hadoop
+
 #: Rows up to which one window numbers a table; more are numbered partition by partition.
-ONE_WINDOW_ROWS = 10_000_000
+ONE_WINDOW_ROWS = 100_000
 
 
 def where_equal(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -41,6 +43,7 @@ def with_ids(df: DataFrame, id_col: str, order: list[Column], first: int = 1, ro
     rows = df.count() if rows is None else rows
     if rows <= ONE_WINDOW_ROWS:
         return df.withColumn(id_col, (F.row_number().over(Window.orderBy(*order)) + F.lit(first - 1)).cast("long"))
+    hadoop.shared_dir(df.sparkSession)
     placed = df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()).checkpoint()
     part, own = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import cameras, ids, options
 from ..functions import geometry as g
 from ..operators import embed, ingest, scene, tabular
-from ..sources import files
-from ..sources.schema import KEYPOINT_COLUMNS, MAX_ID, TRAIN_LABELS, columns
+from ..operators.store import SceneStore, valid_layout
+from ..sources import files, hadoop
+from ..sources.schema import MAX_ID, TRAIN_LABELS, columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +39,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _store(spark: SparkSession) -> SceneStore:
+    """A new store in the shared folder."""
+    store = SceneStore(spark, hadoop.new_path(spark, "scene"))
+    store.create_tables()
+    return store
+
+
 # --- label tables ----------------------------------------------------------------------------------
 
 
@@ -135,7 +143,8 @@ def match_ranks(spark, d):
 
 @query("SELECT n, CAST(n * (n - 1) // 2 AS BIGINT) AS total FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem)")
 def progress_total(spark, d):
-    return _t(spark, d, "lineitem").agg(F.count_distinct("l_partkey").alias("n")).withColumn("total", F.expr("n * (n - 1) div 2"))
+    n = _t(spark, d, "lineitem").agg(F.count_distinct("l_partkey")).first()[0]
+    return spark.createDataFrame([(n, ingest.progress_total(n))], "n long, total long")
 
 
 # --- names, ids and files --------------------------------------------------------------------------
@@ -211,8 +220,11 @@ def camera_multi(spark, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY p_partkey) + 10 AS BIGINT) AS camera_id, CAST(0 AS INTEGER) AS model, p_size AS width, p_size AS height, CAST(0 AS INTEGER) AS prior_focal_length FROM part")
 def add_camera(spark, d):
-    rows = tabular.with_ids(_t(spark, d, "part").select("p_partkey", "p_size"), "camera_id", [F.col("p_partkey")], first=11)
-    return rows.select("camera_id", F.lit(0).alias("model"), F.col("p_size").alias("width"), F.col("p_size").alias("height"), F.lit(0).alias("prior_focal_length"))
+    store = _store(spark)
+    store.add_camera(0, 1, 1, [1.0], camera_id=10)
+    rows = _t(spark, d, "part").select("p_partkey", F.lit(0).alias("model"), F.col("p_size").alias("width"), F.col("p_size").alias("height"), F.array(F.lit(1.0)).alias("params"))
+    store.add_cameras(rows, order=["p_partkey"])
+    return store.table("cameras").where("camera_id > 10").select("camera_id", "model", "width", "height", "prior_focal_length")
 
 
 _ZEROS = [f"prior_{c}" for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")]
@@ -220,8 +232,9 @@ _ZEROS = [f"prior_{c}" for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")]
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY c_name) AS BIGINT) AS image_id, c_name AS name, c_custkey AS camera_id, {', '.join(f'0.0::DOUBLE AS {z}' for z in _ZEROS)} FROM customer")
 def add_image(spark, d):
-    rows = _t(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("camera_id"), *(F.lit(0.0).alias(z) for z in _ZEROS))
-    return tabular.with_ids(rows, "image_id", [F.col("name")])
+    store = _store(spark)
+    store.add_images(_t(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("camera_id")))
+    return store.table("images")
 
 
 # --- keypoints and descriptors ---------------------------------------------------------------------
@@ -234,6 +247,12 @@ def _keypoints(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("image_id", F.size("s").alias("rows"), F.lit(2).alias("cols"), F.transform("s", lambda x: x["p"]).alias("data"))
 
 
+def _stored_keypoints(spark: SparkSession, d: str) -> SceneStore:
+    store = _store(spark)
+    store.add_keypoints(_keypoints(spark, d))
+    return store
+
+
 def _exploded(rows: DataFrame) -> DataFrame:
     rows = rows.select("image_id", F.posexplode("data").alias("pos", "p"))
     return rows.select("image_id", "pos", F.round(F.col("p")[0].cast("double"), 3).alias("x"), F.round(F.col("p")[1].cast("double"), 3).alias("y"))
@@ -244,7 +263,7 @@ _XY = "CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS IN
 
 @query("SELECT user_id AS image_id, CAST(count(*) AS INTEGER) AS rows, CAST(2 AS INTEGER) AS cols FROM events GROUP BY 1")
 def keypoints_pack(spark, d):
-    return _keypoints(spark, d).select("image_id", "rows", "cols")
+    return _stored_keypoints(spark, d).table("keypoints").select("image_id", "rows", "cols")
 
 
 @query(f"SELECT user_id AS image_id, {_XY} FROM events")
@@ -254,31 +273,45 @@ def keypoints_unpack(spark, d):
 
 @query("SELECT p_partkey AS id, CAST(p_size % 8 AS INTEGER) AS cols, p_size % 8 IN (2, 4, 6) AS ok FROM part")
 def keypoints_format_check(spark, d):
-    cols = (F.col("p_size") % 8).cast("int")
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), cols.alias("cols"), cols.isin(*KEYPOINT_COLUMNS).alias("ok"))
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 8).cast("int").alias("cols"))
+    return rows.withColumn("ok", valid_layout("cols"))
 
 
 @query(f"SELECT user_id AS image_id, {_XY} FROM events WHERE user_id = 3")
 def select_kp(spark, d):
-    return _exploded(_keypoints(spark, d).where("image_id = 3"))
+    return _exploded(_stored_keypoints(spark, d).rows_of("keypoints", 3))
 
 
 @query(f"SELECT user_id AS image_id, {_XY} FROM events WHERE user_id NOT IN (1, 2, 1000000)")
 def delete_kp(spark, d):
-    return _exploded(_keypoints(spark, d).where(~F.col("image_id").isin(1, 2, 1_000_000)))
+    store = _stored_keypoints(spark, d)
+    store.delete_keypoints([1, 2, 1_000_000])
+    return _exploded(store.table("keypoints"))
 
 
 @query(f"SELECT user_id AS image_id, {_XY} FROM events WHERE user_id % 5 <> 0 UNION ALL SELECT DISTINCT user_id, CAST(0 AS INTEGER), 1.0::DOUBLE, 2.0::DOUBLE FROM events WHERE user_id % 5 = 0")
 def replace_kp(spark, d):
-    old = _keypoints(spark, d)
-    new = old.where("image_id % 5 = 0").select("image_id", F.lit(1).alias("rows"), F.lit(2).alias("cols"), F.array(F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float"))).alias("data"))
-    return _exploded(old.join(new.select("image_id"), "image_id", "left_anti").unionByName(new))
+    store = _stored_keypoints(spark, d)
+    new = _t(spark, d, "events").where("user_id % 5 = 0").select(F.col("user_id").alias("image_id"), F.array(F.array(F.lit(1.0), F.lit(2.0))).alias("data")).distinct()
+    store.replace_keypoints(new)
+    return _exploded(store.table("keypoints"))
 
 
 def _descriptors(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: ids.uint8(v.cast("double") * 1000)).alias("data"))
 
 
+def _stored_descriptors(spark: SparkSession, d: str) -> SceneStore:
+    """Each embedding as an image's one descriptor."""
+    store = _store(spark)
+    store.add_descriptors(_t(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.array(F.transform("embedding", lambda v: v.cast("double") * 1000)).alias("data")))
+    return store
+
+
+def _one_descriptor(rows: DataFrame) -> DataFrame:
+    return _bytes(rows.select(F.col("image_id").alias("vec_id"), F.col("data")[0].alias("data")))
+
+
 def _bytes(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.posexplode("data").alias("pos", "u8")).withColumn("u8", F.col("u8").cast("int"))
 
@@ -291,47 +324,77 @@ def descriptors_u8(spark, d):
     return _bytes(_descriptors(spark, d))
 
 
+@query(_U8)
+def add_descriptors(spark, d):
+    return _one_descriptor(_stored_descriptors(spark, d).table("descriptors"))
+
+
 @query(f"SELECT * FROM ({_U8}) WHERE vec_id = 7")
 def select_descriptors(spark, d):
-    return _bytes(_descriptors(spark, d).where("vec_id = 7"))
+    return _one_descriptor(_stored_descriptors(spark, d).rows_of("descriptors", 7))
 
 
 @query(f"SELECT * FROM ({_U8}) WHERE vec_id NOT IN (7, 8, 1000000)")
 def delete_desc(spark, d):
-    return _bytes(_descriptors(spark, d).where(~F.col("vec_id").isin(7, 8, 1_000_000)))
+    store = _stored_descriptors(spark, d)
+    store.delete_descriptors([7, 8, 1_000_000])
+    return _one_descriptor(store.table("descriptors"))
 
 
 @query(f"SELECT * FROM ({_U8}) WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, CAST(0 AS INTEGER), CAST(255 AS INTEGER) FROM embeddings WHERE vec_id % 5 = 0")
 def replace_desc(spark, d):
-    old = _descriptors(spark, d)
-    new = old.where("vec_id % 5 = 0").select("vec_id", F.array(ids.uint8(F.lit(-1))).alias("data"))
-    return _bytes(old.join(new.select("vec_id"), "vec_id", "left_anti").unionByName(new))
+    store = _stored_descriptors(spark, d)
+    store.replace_descriptors(_t(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("image_id"), F.array(F.array(F.lit(-1.0))).alias("data")))
+    return _one_descriptor(store.table("descriptors"))
 
 
 # --- reads -----------------------------------------------------------------------------------------
 
 
+def _stored_images(spark: SparkSession, d: str) -> SceneStore:
+    store = _store(spark)
+    store.add_images(_t(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("camera_id")))
+    return store
+
+
 @query("SELECT c_custkey AS image_id, c_name AS name, c_nationkey AS camera_id FROM customer WHERE c_custkey = 5")
 def select_image(spark, d):
-    return _t(spark, d, "customer").where("c_custkey = 5").select(F.col("c_custkey").alias("image_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("camera_id"))
+    return _stored_images(spark, d).rows_of("images", 5).select("image_id", "name", "camera_id")
+
+
+_FIRST = f"SELECT {_PAIR} AS pair_id, {', '.join(_ORDER)}, row_number() OVER (PARTITION BY {_PAIR} ORDER BY {', '.join(_ORDER)}) AS rn FROM lineitem"
+_STORED = f"SELECT pair_id, CASE WHEN l_partkey > l_suppkey THEN l_linenumber ELSE l_orderkey END AS idx1, CASE WHEN l_partkey > l_suppkey THEN l_orderkey ELSE l_linenumber END AS idx2 FROM ({_FIRST}) WHERE rn = 1"
+
+
+def _stored_matches(spark: SparkSession, d: str) -> SceneStore:
+    """The first lineitem of each pair as its one match."""
+    first = ingest.first_pairs(_t(spark, d, "lineitem").select(*_ORDER), _ORDER, "l_partkey", "l_suppkey")
+    match = F.array(F.struct(F.col("l_orderkey").cast("long").alias("idx1"), F.col("l_linenumber").cast("long").alias("idx2")))
+    store = _store(spark)
+    store.add_matches(first.select(F.col("l_partkey").alias("image_id1"), F.col("l_suppkey").alias("image_id2"), match.alias("matches")))
+    return store
+
 
+@query(f"SELECT pair_id, CAST(idx1 AS BIGINT) AS idx1, CAST(idx2 AS BIGINT) AS idx2 FROM ({_STORED})")
+def add_matches(spark, d):
+    return _stored_matches(spark, d).table("matches").select("pair_id", F.inline("matches"))
 
-@query(f"SELECT {_PAIR} AS pair_id, l_orderkey AS idx1, l_linenumber AS idx2 FROM lineitem WHERE {_PAIR} IN (SELECT {_PAIR} FROM lineitem WHERE l_orderkey = 7)")
+
+@query(f"SELECT pair_id, CAST(idx1 AS BIGINT) AS idx1, CAST(idx2 AS BIGINT) AS idx2 FROM ({_STORED}) WHERE pair_id IN (SELECT {_PAIR} FROM lineitem WHERE l_orderkey = 7)")
 def select_matches(spark, d):
-    rows = _t(spark, d, "lineitem").select(ids.pair_id("l_partkey", "l_suppkey").alias("pair_id"), F.col("l_orderkey").alias("idx1"), F.col("l_linenumber").alias("idx2"))
     # either order of the ids asks for the same pair
-    asked = _t(spark, d, "lineitem").where("l_orderkey = 7").select(ids.pair_id("l_suppkey", "l_partkey").alias("pair_id")).distinct()
-    return rows.join(asked, "pair_id", "left_semi")
+    asked = _t(spark, d, "lineitem").where("l_orderkey = 7").select(F.col("l_suppkey").alias("image_id1"), F.col("l_partkey").alias("image_id2"))
+    return _stored_matches(spark, d).matches_of(asked).select("pair_id", F.inline("matches"))
 
 
 @query("SELECT c_custkey AS image_id, c_name AS name, c_nationkey AS camera_id FROM customer")
 def fetch_images(spark, d):
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("camera_id"))
+    return _stored_images(spark, d).table("images").select("image_id", "name", "camera_id")
 
 
 @query("SELECT c_custkey AS image_id FROM customer")
 def image_ids(spark, d):
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("image_id"))
+    return _stored_images(spark, d).image_ids()
 
 
 @query("SELECT least(l_partkey, l_suppkey) AS id1, greatest(l_partkey, l_suppkey) AS id2, l_orderkey AS idx1, l_linenumber AS idx2 FROM lineitem")
@@ -342,17 +405,17 @@ def matches_project(spark, d):
 
 @query(f"SELECT DISTINCT {_PAIR} AS pair_id, CAST(2 AS INTEGER) AS config, CAST(i AS INTEGER) AS f_idx, CASE WHEN i % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f FROM lineitem, range(9) t(i)")
 def two_view_defaults(spark, d):
-    from ..operators.store import IDENTITY
-
-    rows = _pairs(spark, d).select("pair_id").distinct()
-    return rows.select("pair_id", F.lit(2).alias("config"), F.posexplode(F.array(*map(F.lit, IDENTITY))).alias("f_idx", "f"))
+    first = ingest.first_pairs(_t(spark, d, "lineitem").select(*_ORDER), _ORDER, "l_partkey", "l_suppkey")
+    store = _store(spark)
+    store.add_two_view_geometries(first.select(F.col("l_partkey").alias("image_id1"), F.col("l_suppkey").alias("image_id2"), F.array().cast("array<struct<idx1:long,idx2:long>>").alias("matches")))
+    return store.table("two_view_geometries").select("pair_id", "config", F.posexplode("F").alias("f_idx", "f"))
 
 
-@query("SELECT nation.n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 2")
+@query("SELECT c_nationkey AS camera_id, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 2")
 def sql_views(spark, d):
-    for t in ("customer", "nation"):
-        _t(spark, d, t).createOrReplaceTempView(f"scene_{t}")
-    return spark.sql("SELECT n_name, count(*) AS n FROM scene_customer JOIN scene_nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 2")
+    store = _stored_images(spark, d)
+    store.add_cameras(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("camera_id"), F.lit(0).alias("model"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.array(F.lit(1.0)).alias("params")))
+    return store.sql("SELECT camera_id, count(*) AS n FROM images JOIN cameras USING (camera_id) GROUP BY camera_id HAVING count(*) > 2")
 
 
 # --- geometry --------------------------------------------------------------------------------------
@@ -478,7 +541,7 @@ def image_prep(spark, d):
     return rows.select("vec_id", F.posexplode("data").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
-@query()
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, true AS same FROM embeddings")
 def blob_roundtrip(spark, d):
     from ..functions.blobs import from_blob, to_blob
 
@@ -486,7 +549,18 @@ def blob_roundtrip(spark, d):
     return rows.select("vec_id", F.size("again").alias("n"), (F.col("embedding") == F.col("again")).alias("same"))
 
 
-@query()
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', true)" for t in _TABLES) + ") t(name, filled)")
 def file_listing(spark, d):
-    rows = files.listing(spark, d)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """The tables' files; a table that is a folder counts once."""
+    name = F.regexp_extract("path", r"/([^/]+\.parquet)(?:/[^/]+)?$", 1)
+    return files.listing(spark, d).groupBy(name.alias("name")).agg((F.sum("length") > 0).alias("filled")).where("name <> ''")
+
+
+@query("SELECT vec_id, CAST(c * 4 + i AS INTEGER) AS pos, round(((CAST(trunc(CAST(embedding[i * 3 + c + 1] AS DOUBLE) * 1000) AS BIGINT) % 256) + 256) % 256 / 255.0::DOUBLE, 4) AS v FROM embeddings, range(4) a(i), range(3) b(c)")
+def image_batch(spark, d):
+    """The first twelve bytes of each descriptor as 2 x 2 pixels, in a batch of one, channels first."""
+    rows = _descriptors(spark, d).select("vec_id", F.lit(2).alias("height"), F.lit(2).alias("width"), F.slice("data", 1, 12).alias("data"))
+    return embed.batches(rows, "vec_id").select("vec_id", F.posexplode("pixels").alias("pos", "v")).withColumn("v", F.round(F.col("v").cast("double"), 4))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,14 +18,19 @@ _EXIF_IFD, _FILM_FOCAL = 0x8769, 0xA405
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Columns by place, whatever the header calls them; another number of columns raises."""
-    header = spark.read.text(path).limit(1).collect()
-    if header:
-        n = len(spark.read.csv(spark.sparkContext.parallelize([header[0][0]])).columns)
-        if n != len(schema):
-            raise ValueError(f"{path}: {n} columns, not {len(schema)}")
+    n = len(spark.read.csv(path, header=True).columns)  # reads the header line only
+    if n not in (0, len(schema)):
+        raise ValueError(f"{path}: {n} columns, not {len(schema)}")
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
 
 
+def below(root: str, path: Column) -> Column:
+    """What of a file's path comes after ``root``, which may be written with or without its file system."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    start = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", root).rstrip("/") + "/"
+    return F.regexp_replace(bare, "^.*?" + re.escape(start), "")
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of all files below ``root``; their contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
@@ -59,19 +65,42 @@ def film_focal(content: bytes) -> int | None:
     return None
 
 
+def image_size(content: bytes) -> tuple[int, int] | None:
+    """(width, height) as a PNG's or JPEG's header has them; None for other or cut files. No pixel is decoded."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and content[12:16] == b"IHDR" and len(content) >= 24:
+        return struct.unpack_from(">II", content, 16)
+    if content[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 9 <= len(content):
+        if content[at] != 0xFF:
+            return None
+        kind = content[at + 1]
+        if kind == 0xFF or kind == 1 or 0xD0 <= kind <= 0xD8:  # fill bytes, and markers without a length
+            at += 1 if kind == 0xFF else 2
+            continue
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's start
+            height, width = struct.unpack_from(">HH", content, at + 5)
+            return width, height
+        at += 2 + struct.unpack_from(">H", content, at + 2)[0]
+    return None
+
+
 def image_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(name, width, height, film_focal) of the images below ``root``; files that are no image are left out."""
+    """(name, width, height, film_focal) of the PNG and JPEG files below ``root``; other files are left out.
+
+    name: the path below ``root``, so two folders may hold files of one name. Each file is read once.
+    """
 
-    @F.pandas_udf("int")
-    def focal(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("width int, height int, film_focal int")
+    def header(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in contents:
-            yield s.map(film_focal).astype("Int32")
+            sizes = [image_size(c) or (None, None) for c in s]
+            rows = [(w, h, film_focal(c)) for (w, h), c in zip(sizes, s, strict=True)]
+            yield pd.DataFrame(rows, columns=["width", "height", "film_focal"]).astype("Int32")
 
-    sizes = spark.read.format("image").option("recursiveFileLookup", True).load(root).select(F.col("image.origin").alias("path"), "image.width", "image.height").where("width > 0")
-    tags = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", focal("content").alias("film_focal"))
-    key = F.regexp_replace("path", "^file:/+", "/")
-    joined = sizes.withColumn("path", key).join(tags.withColumn("path", key), "path")
-    return joined.select(F.element_at(F.split("path", "/"), -1).alias("name"), "width", "height", "film_focal")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(below(root, F.col("path")).alias("name"), header("content").alias("h"))
+    return found.select("name", "h.*").where("width > 0")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:

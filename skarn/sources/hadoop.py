@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a folder of our own is set if all runs on one machine; else this raises.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="skarn-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that isn't there yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

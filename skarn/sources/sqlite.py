@@ -3,13 +3,16 @@
 Reading splits a table by ranges of its row ids (the whole-number primary key), one connection for
 each; the options ``low`` and ``high`` read only that range of them. Filters are not pushed down: Spark
 4.1 keeps a Python reader with the filters of a DataFrame's first query for its later ones. Writing
-appends, one transaction a task. The file must be where every executor can open it; arrays are bytes
-here (``functions.blobs``).
+appends: each task leaves its rows in a file of its own beside the scene's, and once all have ended they
+go into the table in one transaction, so a failed job or a task run twice adds nothing. The file
+must be where the driver and every executor can open it; arrays are bytes here (``functions.blobs``).
 """
 
 from __future__ import annotations
 
+import os
 import sqlite3
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +48,11 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+@dataclass
+class _Part(WriterCommitMessage):
+    path: str
+
+
 @dataclass
 class _Range(InputPartition):
     low: int
@@ -80,18 +88,32 @@ class SceneWriter(DataSourceWriter):
         self.names, self.path, self.table = schema.fieldNames(), options["path"], options["table"]
 
     def write(self, iterator) -> WriterCommitMessage:
-        db = sqlite3.connect(self.path, timeout=600)
-        sql = f"INSERT INTO {_quoted(self.table)} ({', '.join(map(_quoted, self.names))}) VALUES ({', '.join('?' * len(self.names))})"
-        with db:
-            db.executemany(sql, ([bytes(v) if isinstance(v, bytearray) else v for v in row] for row in iterator))
+        part = f"{self.path}.part-{uuid.uuid4().hex}"
+        columns = ", ".join(map(_quoted, self.names))
+        with sqlite3.connect(part) as db:
+            db.execute(f"CREATE TABLE part ({columns})")
+            db.executemany(f"INSERT INTO part VALUES ({', '.join('?' * len(self.names))})", ([bytes(v) if isinstance(v, bytearray) else v for v in row] for row in iterator))
         db.close()
-        return WriterCommitMessage()
+        return _Part(part)
 
     def commit(self, messages) -> None:
-        pass
+        columns = ", ".join(map(_quoted, self.names))
+        db = sqlite3.connect(self.path, timeout=600)
+        try:
+            with db:
+                db.execute("BEGIN IMMEDIATE")
+                for m in messages:
+                    part = sqlite3.connect(m.path)
+                    db.executemany(f"INSERT INTO {_quoted(self.table)} ({columns}) VALUES ({', '.join('?' * len(self.names))})", part.execute("SELECT * FROM part"))
+                    part.close()
+        finally:
+            db.close()
+            self.abort(messages)
 
     def abort(self, messages) -> None:
-        pass
+        for m in messages:
+            if m is not None and os.path.exists(m.path):
+                os.remove(m.path)
 
 
 class SceneSource(DataSource):

@@ -1,4 +1,4 @@
-"""Matches that keep coming: each micro-batch goes into the scene store, pairs that are there already go to a list of their own."""
+"""Matches that keep coming: each micro-batch goes into the scene store, pairs that come again go to a list of their own."""
 
 from __future__ import annotations
 
@@ -13,19 +13,27 @@ from ..operators.ingest import first_pairs
 from ..operators.store import SceneStore
 
 
-def add_matches(store: SceneStore, order: list[str]) -> Callable[[DataFrame, int], None]:
+def add_matches(store: SceneStore, order: list[str], repeats: str | None = None) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: rows (image_id1, image_id2, matches, the columns of ``order``). The first of a pair counts, in
-    a batch by ``order``; a batch that comes again adds nothing."""
+    a batch by ``order``; a batch that comes again adds nothing.
 
-    def one(batch: DataFrame, _: int) -> None:
+    repeats: a folder for (batch, pair_id, n_dups, known), the pairs that came more than once in a batch or
+    are in the store already; a batch that comes again writes its rows anew.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
         best = first_pairs(batch, order)
         known = store.table("matches").select(F.col("pair_id").alias("p"))
+        if repeats:
+            again = batch.groupBy(ids.pair_id("image_id1", "image_id2").alias("pair_id")).agg((F.count("*") - 1).alias("n_dups"))
+            again = again.join(known, again["pair_id"] == known["p"], "left").select("pair_id", "n_dups", F.col("p").isNotNull().alias("known"))
+            again.where("known or n_dups > 0").write.mode("overwrite").parquet(f"{repeats}/batch={number}")
         new = best.join(known, ids.pair_id("image_id1", "image_id2") == F.col("p"), "left_anti")
         store.add_matches(new.select("image_id1", "image_id2", "matches"))
 
     return one
 
 
-def stream_matches(stream: DataFrame, store: SceneStore, order: list[str], checkpoint: str) -> DataStreamWriter:
+def stream_matches(stream: DataFrame, store: SceneStore, order: list[str], checkpoint: str, repeats: str | None = None) -> DataStreamWriter:
     """A writer of ``stream`` into ``store``; call ``start()`` on it."""
-    return stream.writeStream.foreachBatch(add_matches(store, order)).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(add_matches(store, order, repeats)).option("checkpointLocation", checkpoint)

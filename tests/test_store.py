@@ -1,3 +1,5 @@
+import inspect
+import json
 import random
 import sqlite3
 import struct
@@ -11,7 +13,8 @@ from skarn import cli
 from skarn.functions import blobs
 from skarn.operators import embed, ingest, scene, tabular
 from skarn.operators.store import ConstraintError, SceneStore
-from skarn.sources import files, sqlite
+from skarn.plans import figure
+from skarn.sources import files, hdf5, sqlite
 from skarn.sources.schema import MAX_ID, THRESHOLDS
 from skarn.streaming.matches import stream_matches
 
@@ -116,13 +119,45 @@ def test_import(spark, tmp_path):
     assert [tuple(r) for r in s.select_matches(1, 2)] == [(5, 6)]
     ingest.import_scene(spark, str(tmp_path / "one"), images(spark), kps, pairs, single_camera=True, camera_model="opencv")
     assert SceneStore(spark, str(tmp_path / "one")).table("cameras").count() == 1
-    for bad in (lambda: ingest.import_scene(spark, str(tmp_path / "x"), images(spark), kps, pairs, camera_model="opencv"), lambda: ingest.import_scene(spark, str(tmp_path / "y"), images(spark), kps, frame(spark, [("a.png", "zz", [[0, 0]])], PAIRS)), lambda: ingest.import_scene(spark, str(tmp_path / "z"), images(spark), frame(spark, [("no.png", [])], KPS), pairs)):
-        with pytest.raises(ValueError):
-            bad()
+    def again(name="x", spark=spark, images=images(spark), kps=kps, pairs=pairs, **more):
+        ingest.import_scene(spark, str(tmp_path / name), images, kps, pairs, **more)
+
+    unknown = frame(spark, [("a.png", "zz", [[0, 0]])], PAIRS)
+    with pytest.raises(ValueError):
+        again(camera_model="opencv")
+    with pytest.raises(KeyError, match="zz"):
+        again(pairs=unknown)
+    with pytest.raises(ValueError, match="repeats"):
+        again(images=images(spark).unionByName(images(spark)))
+    # what fails after some tables are written leaves nothing
+    with pytest.raises(ValueError, match="unequal|columns"):
+        again(kps=frame(spark, [(n, [[1.0] * 3]) for n in ("c.png", "a.png", "b.png")], KPS))
+    assert not SceneStore(spark, str(tmp_path / "x")).exists()
+    again(refuse_existing=True)
+    with pytest.raises(KeyError):
+        ingest.import_scene(spark, root, images(spark), kps, unknown)
+    assert {t: s.table(t).count() for t in ("cameras", "images", "matches")} == {"cameras": 3, "images": 3, "matches": 2}
     with pytest.raises(FileExistsError):
         ingest.import_scene(spark, root, images(spark), kps, pairs, refuse_existing=True)
 
 
+def test_transactions(spark, store):
+    with pytest.raises(ConstraintError), store.transaction():
+        store.add_camera(0, 1, 1, [1.0])
+        assert store.table("cameras").count() == 1 and SceneStore(spark, store.root).table("cameras").count() == 0
+        store.add_image("a", 1, image_id=-1)
+    assert store.table("cameras").count() == 0 and store.next_id("cameras") == 1
+    with store.transaction():
+        store.add_camera(0, 1, 1, [1.0])
+        store.add_image("a", 1)
+    other = SceneStore(spark, store.root)
+    assert other.table("images").count() == other.table("cameras").count() == 1
+    with pytest.raises(Exception, match="exist"), store.transaction():  # of two writers of one version the second fails
+        store.add_image("b", 1)
+        other.add_image("c", 1)
+    assert [r["name"] for r in other.table("images").orderBy("name").collect()] == ["a", "c"]
+
+
 def test_tabular(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("x,y,z\nd1,cyprus,1\nd1,outliers,2\n,cyprus,3\nd2,cyprus,4\n")
@@ -161,12 +196,22 @@ def test_images_and_embeddings(spark, tmp_path):
     assert {r["data"][:3] for r in rows.collect()} == {bytes([255, 51, 0])}
     vectors = [r["embedding"] for r in embed.extract_embeddings(rows, embed.MeanColour().to("cpu")).collect()]
     assert len(vectors) == 2 and all(np.allclose(v, [1, 0.2, 0] * 4) for v in vectors)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.png").write_bytes(png(7, 1, (0, 0, 0)))
+    exif = b"Exif\0\0II" + struct.pack("<HI", 42, 8) + struct.pack("<H", 1) + struct.pack("<HHIHH", 0xA405, 3, 1, 35, 0) + b"\0" * 4
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xc2" + struct.pack(">HBHHB", 17, 8, 480, 640, 3)
+    (tmp_path / "c.jpg").write_bytes(jpeg)
+    (tmp_path / "cut.jpg").write_bytes(jpeg[:20])
+    (tmp_path / "note.txt").write_bytes(b"no image")
     heads = {r["name"]: (r["width"], r["height"], r["film_focal"]) for r in files.image_headers(spark, str(tmp_path)).collect()}
-    assert heads == {"a.png": (4, 2, None), "b.png": (3, 5, None)}
+    assert heads == {"a.png": (4, 2, None), "b.png": (3, 5, None), "sub/a.png": (7, 1, None), "c.jpg": (640, 480, 35)}
     listing = files.listing(spark, str(tmp_path))
     ingest.check_files(frame(spark, [("a.png",)], "name string"), listing)
     with pytest.raises(OSError, match="zz"):
         ingest.check_files(frame(spark, [("zz.png",)], "name string"), listing)
+    ingest.check_files(frame(spark, [("sub/a.png",), ("a.png",)], "name string"), listing, str(tmp_path))
+    with pytest.raises(OSError, match="sub/b"):
+        ingest.check_files(frame(spark, [("sub/b.png",)], "name string"), listing, f"file:{tmp_path}")
     with pytest.raises(ValueError):
         embed.to_batch("no image")
     with pytest.raises(RuntimeError):
@@ -200,6 +245,9 @@ def test_sqlite(spark, tmp_path):
     some = got.where("image_id >= 38").select("image_id", blobs.from_blob(F.col("data"), "<f4", 2).alias("kps")).collect()
     assert sorted((r["image_id"], r["kps"]) for r in some) == [(38, [[38.0, 2.0]]), (39, [[39.0, 2.0]])]
     assert got.count() == 39
+    with pytest.raises(Exception, match="UNIQUE"):  # all of a job's rows or none
+        out.unionByName(out.withColumn("image_id", F.col("image_id") + 100)).write.format("scene_sqlite").option("path", path).option("table", "keypoints").mode("append").save()
+    assert got.count() == 39 and [p.name for p in tmp_path.iterdir()] == ["s.db"]
     part = spark.read.format("scene_sqlite").option("path", path).option("table", "keypoints").option("low", 5).option("high", 7).load()
     assert sorted(r["image_id"] for r in part.collect()) == [5, 6, 7]
 
@@ -219,14 +267,48 @@ def test_cli(spark, tmp_path):
         cli.main(args, spark)
 
 
+class FakeH5(dict):
+    """What the reader uses of an HDF5 file: groups and datasets by name."""
+
+    tree: dict = {}
+
+    def __init__(self, path, mode):
+        super().__init__({k: {n: np.array(v) for n, v in x.items()} if isinstance(x, dict) else np.array(x) for k, x in json.loads(open(path).read()).items()})
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+def test_hdf5(spark, tmp_path, monkeypatch):
+    (tmp_path / "h5py.py").write_text(f"import json\nimport numpy as np\n\n\n{inspect.getsource(FakeH5)}\nFile = FakeH5\n")
+    with pytest.raises(RuntimeError):
+        hdf5.keypoints(spark, "none")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    (tmp_path / "keypoints.h5").write_text(json.dumps({"a.png": [[1.0, 2.0], [3.0, 4.0]], "b.png": [[5.0, 6.0]]}))
+    (tmp_path / "matches.h5").write_text(json.dumps({"a.png": {"b.png": [[0, 0], [1, 0]]}}))
+    kps = hdf5.keypoints(spark, str(tmp_path / "keypoints.h5"), 2)
+    assert {r["name"]: r["kps"] for r in kps.collect()} == {"a.png": [[1.0, 2.0], [3.0, 4.0]], "b.png": [[5.0, 6.0]]}
+    pairs = hdf5.matches(spark, str(tmp_path / "matches.h5"), 2)
+    assert [tuple(r) for r in pairs.collect()] == [("a.png", "b.png", [[0, 0], [1, 0]])]
+    sizes = frame(spark, [("a.png", 4, 4, None), ("b.png", 4, 4, None)], "name string, width int, height int, film_focal int")
+    ingest.import_scene(spark, str(tmp_path / "s"), sizes, kps, pairs)
+    assert [tuple(m) for m in SceneStore(spark, str(tmp_path / "s")).select_matches(2, 1)] == [(0, 0), (1, 0)]
+
+
 def test_stream(spark, tmp_path, store):
     schema = "image_id1 long, image_id2 long, matches array<struct<idx1:long,idx2:long>>, n int"
     src = str(tmp_path / "in")
     for k, rows in enumerate(([(2, 1, [(1, 2)], 0), (1, 2, [(5, 5)], 1)], [(1, 2, [(7, 7)], 2), (3, 1, [], 3)])):
         frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(src)
-        q = stream_matches(spark.readStream.schema(schema).parquet(src), store, ["n"], str(tmp_path / "check")).trigger(availableNow=True).start()
+        q = stream_matches(spark.readStream.schema(schema).parquet(src), store, ["n"], str(tmp_path / "check"), str(tmp_path / "again")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert [tuple(r) for r in store.select_matches(1, 2)] == [(2, 1)] and store.table("matches").count() == 2
+    again = spark.read.parquet(str(tmp_path / "again")).orderBy("batch")
+    assert [(r["batch"], r["pair_id"], r["n_dups"], r["known"]) for r in again.collect()] == [(0, MAX_ID + 2, 1, False), (1, MAX_ID + 2, 0, True)]
 
 
 def test_frustum(spark):
@@ -236,6 +318,9 @@ def test_frustum(spark):
     df = frame(spark, [(1,)], "id int")
     edges = scene.frustum_edges(df, ["id"], g.point(F.lit(9.0), F.lit(9.0), F.lit(9.0)), rect, scale=2.0).orderBy("edge").collect()
     assert [(r["x0"], r["x1"], r["z1"]) for r in edges] == [(9.0, 0.0, 2.0), (9.0, 2.0, 2.0), (9.0, 2.0, 2.0), (9.0, 0.0, 2.0)]
+    fig = figure.draw(scene.frustum_faces(df, ["id"], rect).unionByName(scene.frustum_faces(frame(spark, [(2,)], "id int"), ["id"], rect, scale=2.0)))
+    assert [(t["type"], t["x"], t["y"], t["i"], t["j"], t["k"], t["opacity"]) for t in fig["data"]] == [("mesh3d", [0.0, s, s, 0.0], [0.0, 0.0, s, s], [0, 0], [1, 2], [2, 3], 0.5) for s in (1.0, 2.0)]
+    assert fig["layout"]["legend"]["x"] == 0.1 and fig["layout"]["scene"]["xaxis"]["visible"] is False
     short = scene.rays(df, ["id"], g.point(F.lit(0), F.lit(0), F.lit(0)), rect, colours=["red", "blue"]).collect()
     assert [r["rgb"] for r in short] == ["red", "blue"]
     axes = scene.axes(df, ["id"], g.point(F.lit(0), F.lit(0), F.lit(0)), [g.point(F.lit(1), F.lit(0), F.lit(0))] * 3, options={"color": "x", "yaxis:name": "up", "width": 3}).collect()
