@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..sources.hadoop import new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skarn-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read with its own schema or ``schema``: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:
@@ -51,3 +37,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator needs, null texts as empty ones."""
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+
+
+#: Bytes of text that a task's Python looks at together.
+SLICE_BYTES = 1 << 20
+
+
+def _cuts(column: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of pieces of at most ``rows`` rows and ``size`` bytes; a row longer than that is a piece of its own."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))))
+        yield at, end - at
+        at = end
+
+
+def pieces(column: pa.Array, rows: int = 4096, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A column of strings or bytes in pieces of bounded size."""
+    return (column.slice(*cut) for cut in _cuts(column, rows, size))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 4096, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces whose strings or bytes in ``column`` are of bounded size."""
+    return (batch.slice(*cut) for batch in batches for cut in _cuts(batch.column(column), rows, size))
+
+
+#: Ranges of ids for each shuffle partition, and in all at most.
+RANGES, MOST_RANGES = 4, 4096
+
+
+def id_buckets(rows: DataFrame, id_col: str) -> Column:
+    """Number of the range that a row's id (a whole number) lies in, in ascending order; null ids have none.
+
+    The bounds are the ids' percentiles, so that each range has about as many rows, however the ids lie.
+    """
+    parts = min(MOST_RANGES, RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / parts for k in range(1, parts)], 50 * parts)).first()[0]
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return F.when(F.col(id_col).isNotNull(), 0)
+    # every so many bounds first, then those from there on
+    step = math.isqrt(len(bounds)) + 1
+
+    def array(own: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>")
+
+    coarse = F.size(F.filter(array(bounds[::step]), lambda b: b <= F.col(id_col)))
+    near = F.size(F.filter(F.slice(array(bounds), F.greatest(coarse - 1, F.lit(0)) * step + 1, step), lambda b: b <= F.col(id_col)))
+    return F.when(F.col(id_col).isNotNull(), F.greatest(coarse - 1, F.lit(0)) * step + near)

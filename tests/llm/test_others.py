@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pandas as pd
 import public_tokenizers
+import regex
 
 from skarn.llm import spotsigs, token_counts, warc
 
@@ -60,9 +62,7 @@ def test_near_duplicates_against_brute_force(spark):
             texts.append(" ".join(own))
     docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
     anchors = ["and", "of", "the", "to"]
-    from pyspark.sql import functions as F
-
-    sets = [set(r["s"]) for r in docs.orderBy("doc_id").select(spotsigs.signatures(F.coalesce("text", F.lit("")), anchors).alias("s")).collect()]
+    sets = [set(r["s"]) for r in spotsigs.with_signatures(docs, "text", "s", anchors).orderBy("doc_id").collect()]
     root = list(range(len(sets)))
 
     def find(x):
@@ -79,14 +79,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
 
 
-def spots(text, anchors):
-    w, out = text.split(), set()
-    for i, x in enumerate(w):
-        if x in anchors and (after := [y for y in w[i + 1 :] if y not in anchors][:2]):
-            out.add((x, *after))
-        if i == 0 or x not in anchors and not anchors & set(w[max(0, i - spotsigs.SPARSE) : i]):
-            out.add(tuple(w[i : i + 3]))
-    return out
+def spots(text, anchors, sparse=16):
+    """Signatures by brute force, as tuples of words."""
+    w = [x for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x]
+    pieces, own = [], []  # (anchors before it, content word)
+    for x in w:
+        own.append(x)
+        if x not in anchors:
+            pieces.append(tuple(own))
+            own = []
+    if own:
+        pieces.append((*own, ""))
+    out = {p + ((pieces[k + 1][-1] if k + 1 < len(pieces) else ""),) for k, p in enumerate(pieces) if len(p) > 1}
+    run = []
+    for x in [*w, None]:
+        if x is None or x in anchors:
+            words = run + ([x] if x else [])
+            if len(run) > sparse:
+                out |= {("", *words[i : i + 3]) for i in range(sparse, len(words))}
+            run = []
+        else:
+            run.append(x)
+    return out | {("first", *(p for piece in pieces[:2] for p in piece))} if w else set()
 
 
 def test_signatures_around_the_sparse_boundary(spark):
@@ -100,14 +114,26 @@ def test_signatures_around_the_sparse_boundary(spark):
         edited = list(w)
         edited[200 // gap * gap] = "edit"  # an anchor less
         pairs += [(" ".join(w), " ".join(edited)), (" ".join(w), " ".join([*w[:270], *rng.sample(w[1:gap], min(gap - 1, 9)), *w[270:]]))]
-    pairs += [("the", "the the"), ("", "of"), ("one", "one the")]
+    pairs += [("the", "the the"), ("", "of"), ("one", "one the"), ("of, the! CAT", "- é \u00c9 x"), ("The of\x01the cat", "a" * 50_000)]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
     for anchors in (["of", "the"], []):
-        a, b = (spotsigs.signatures(F.col(c), anchors) for c in "ab")
-        for r in rows.select("i", F.size(a).alias("a"), F.size(b).alias("b"), spotsigs.jaccard(a, b).alias("near")).collect():
+        both = spotsigs.with_signatures(spotsigs.with_signatures(rows, "a", "x", anchors), "b", "y", anchors)
+        for r in both.select("i", F.size("x").alias("x"), F.size("y").alias("y"), spotsigs.jaccard(F.col("x"), F.col("y")).alias("near")).collect():
             x, y = (spots(t, set(anchors)) for t in pairs[r["i"]])
-            assert (r["a"], r["b"]) == (len(x), len(y)) and abs(r["near"] - len(x & y) / len(x | y)) < 1e-9, pairs[r["i"]]
-            assert r["near"] > 0.5 or r["i"] >= len(pairs) - 3, pairs[r["i"]]
+            assert (r["x"], r["y"]) == (len(x), len(y)) and abs(r["near"] - (len(x & y) / len(x | y) if x | y else 1)) < 1e-9, pairs[r["i"]]
+            assert r["near"] > 0.5 or r["i"] >= len(pairs) - 5, pairs[r["i"]]
+
+
+def test_anchor_words_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(0, 90)) for _ in range(80)] + [" ".join(rng.choice("uno dos tres y en".split()) for _ in range(60)) for _ in range(9)] + [None, "", "..."]
+    found, docs = [], [set((t or "").split()) - {"..."} for t in texts]
+    for _ in range(3):
+        open_ = [d for d in docs if not found or (len(d & set(found)) < spotsigs.ENOUGH and len(d & set(found)) * spotsigs.SPARSE < max(1, len(d)))]
+        count = Counter(w for d in open_ for w in d - set(found))
+        found += [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:3]]
+    got = spotsigs.anchor_words(spark.createDataFrame([(t,) for t in texts], "text string"), most=3, rounds=3)
+    assert got == found
 
 
 # --- token counts ----------------------------------------------------------------------------------
