@@ -37,6 +37,7 @@ def test_edited_digests(spark):
         want = len(mine & other) / len(mine | other) if mine | other else 1.0
         assert abs(got[i]["near_edited"] - want) < 1e-9
     assert got[10]["fingerprint"] == got[400]["fingerprint"] and got[500]["fingerprint"] == ""
+    assert got[400]["class_id"] == got[10]["class_id"] == 10 and len({got[i]["class_id"] for i in (500, 502, 900)}) == 1
     long = [i for i in order if len(all_texts[i]) > 200]
     assert sum(got[i]["near_edited"] > got[i]["near_next"] for i in long) == len(long)
 
@@ -77,6 +78,12 @@ def test_near_duplicates_against_brute_force(spark):
                 root[max(x, y)] = min(x, y)
     got = {r["doc_id"]: r["class_id"] for r in spotsigs.near_duplicates(docs, anchors=anchors).collect()}
     assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    # unlike sets that share a frequent signature, and links that only a second one finds
+    rows = [(i, sorted(x)) for i, x in enumerate(sets)] + [(1000 + i, sorted({7, *range(100 * i, 100 * i + 4)})) for i in range(1, 20)] + [(2000 + i, sorted({7, 8, *range(-50, -50 + 13 + i)})) for i in range(3)]
+    rows = spark.createDataFrame(rows, "id long, s array<int>")
+    small = {r["id"]: r["class_id"] for r in spotsigs.classes(rows, large=2).collect()}
+    assert {i: c for i, c in small.items() if i < 1000} == got
+    assert all(small[1000 + i] == 1000 + i for i in range(1, 20)) and {small[2000 + i] for i in range(3)} == {2000}
 
 
 def spots(text, anchors, sparse=16):
