@@ -15,11 +15,18 @@ from pyspark.sql.types import StructType
 from ..sources.hadoop import new_path
 
 
-def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read with its own schema or ``schema``: cuts lineage and survives lost executors."""
+#: Rows of a small table to one file, and files of one at least.
+FILE_ROWS, LEAST_FILES = 100_000, 8
+
+
+def written(df: DataFrame, name: str, schema: StructType | None = None, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read with its own schema or ``schema``: cuts lineage and survives lost executors.
+
+    ``rows``: about how many there are, if that is known; a small table then doesn't fall into as many files as there are partitions.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))).write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
@@ -39,6 +46,22 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 
+#: A key that more than one in so many rows hold is hot; there can't be more hot keys than this.
+HOT_KEYS = 1000
+
+
+def joined_by_key(rows: DataFrame, keys: DataFrame, on: list[str], total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``keys`` (on, n: how many of ``rows`` hold the key, ...); ``total``: the number of rows, if that is known.
+
+    Hot keys, which ``keys`` must have once, are broadcast, ``HOT_KEYS`` rows at most whatever the
+    input; only the others' rows are shuffled, so no key fills a task.
+    """
+    hot = F.col("n") > F.lit(max(1, (rows.count() if total is None else total) // HOT_KEYS))
+    few, rest = F.broadcast(keys.where(hot).drop("n")), keys.where(~hot).drop("n")
+    cold = rows.join(F.broadcast(keys.where(hot).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(cold.join(rest, on))
+
+
 #: Bytes of text that a task's Python looks at together.
 SLICE_BYTES = 1 << 20
 

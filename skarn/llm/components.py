@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, written
+from .common import joined_by_key, removed, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -13,15 +13,15 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """One half round. ``pairs``: (u, v). The minimum of a node is a partial aggregate, so a hub's
-    neighbours are never gathered; the join back is one that Spark may split where it is skewed."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    joined = pairs.join(least, pairs["u"] == least["c"])
+def _star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
+    """One half round. ``pairs``: (u, v), ``total`` at most. The minimum of a node is a partial aggregate, so a hub's
+    neighbours are never gathered, and the few hubs' minima are broadcast to their rows."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    joined = joined_by_key(pairs, least, ["u"], total)
     if large:
         return joined.where("v > u").select("v", "m").where("v <> m").distinct()
     moved = joined.select("v", "m").where("v <> m")
-    return moved.unionByName(least.select(F.col("c").alias("v"), "m").where("v <> m")).distinct()
+    return moved.unionByName(least.select(F.col("u").alias("v"), "m").where("v <> m")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -35,12 +35,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "cc")
     last = _mark(state)
     for _ in range(most_rounds):
-        if not last[0]:
+        n = last[0]
+        if not n:
             return state
         both = state.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(state.select(F.col("m").alias("u"), "v"))
-        wide = _star(both, large=True)
-        new = written(_star(wide.select(F.col("v").alias("u"), F.col("m").alias("v")), large=False), "cc")
+        wide = written(_star(both, True, 2 * n), "cc", rows=n)
+        new = written(_star(wide.select(F.col("v").alias("u"), F.col("m").alias("v")), False, n), "cc", rows=n)
         removed(spark, state)
+        removed(spark, wide)
         state, now = new, _mark(new)
         if now == last:
             return state

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined_by_key, slices, written
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 400, 100
@@ -27,8 +27,6 @@ LENGTH, GRAM = 400, 100
 SORTED_CONTEXTS = 48
 #: Texts that a broadcast of their keys (16 bytes each) may name; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: A key that more than one in so many rows hold is hot; there can't be more hot keys than this.
-HOT_KEYS = 1000
 #: Bytes searched for anchors at a time.
 BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -86,7 +84,7 @@ def anchors(rows: DataFrame) -> DataFrame:
     """(doc, hash, gram, c1, c2, a, run): each anchor's hash, its context's 128 bits, its first window and how many follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for batch in slices(batches, 2, 1024):
             out: list[list[int]] = [[] for _ in range(7)]
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8")
@@ -109,18 +107,6 @@ def _of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, rows["doc"].eqNullSafe(F.col("d")) & (rows["hash"] == F.col("h")), how)
 
 
-def _joined(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` joined with ``keys`` (on, n: how many of ``rows`` hold the key, ...).
-
-    Hot keys, which ``keys`` must have once, are broadcast, ``HOT_KEYS`` rows at most whatever the
-    input; only the others' rows are shuffled, so no key fills a task.
-    """
-    hot = F.col("n") > F.lit(max(1, rows.count() // HOT_KEYS))
-    few, rest = F.broadcast(keys.where(hot).drop("n")), keys.where(~hot).drop("n")
-    cold = rows.join(F.broadcast(keys.where(hot).select(*on)), on, "left_anti")
-    return rows.join(few, on).unionByName(cold.join(rest, on))
-
-
 def _with(rows: DataFrame, found: DataFrame, what: str) -> DataFrame:
     """The texts in ``found`` with their list of ``what``; a text's own list is as long as the text at most."""
     lists = found.groupBy(F.col("doc").alias("d"), F.col("hash").alias("h")).agg(F.collect_list(what).alias("list"))
@@ -133,7 +119,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (doc, hash, gram, c1, c2, a, run, once, wide) with the bytes of each context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        for batch in slices(batches, 2, 256):
             out = []
             for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = text.encode("utf-8")
@@ -218,7 +204,7 @@ def _hashed_groups(contexts: DataFrame) -> DataFrame:
     windows = written(contexts.mapInArrow(run, "gram long, c1 long, c2 long, once boolean, place int, window binary"), "windows")
     twice = windows.groupBy("window").agg(F.count("*").alias("all"), F.count_if("once").alias("n"))
     twice = written(twice.where("all > 1 and n > 0").select("window", "n"), "twice")
-    return _joined(windows.where("once"), twice, ["window"]).select("gram", "c1", "c2", F.col("place").alias("first"), F.col("place").alias("last"))
+    return joined_by_key(windows.where("once"), twice, ["window"]).select("gram", "c1", "c2", F.col("place").alias("first"), F.col("place").alias("last"))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -226,17 +212,17 @@ def repeated(rows: DataFrame) -> DataFrame:
     every = written(anchors(rows), "anchors")
     shared = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("c1").alias("x"), F.max("c1").alias("y")).where("n > 1")
     shared = written(shared.select("gram", "n", (F.col("x") != F.col("y")).alias("several")), "grams")
-    some = written(_joined(every, shared, ["gram"]), "shared")
+    some = written(joined_by_key(every, shared, ["gram"]), "shared")
     context = ["gram", "c1", "c2"]
     distinct = some.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "a", "run")).alias("one"), F.first("several").alias("several"))
     distinct = written(distinct.select(*context, "n", "one.*", "several"), "contexts")
     whole = distinct.where("n > 1").select(*context, "n", F.lit(0).alias("first"), F.col("run").alias("last"))
     open_ = distinct.where("several").withColumn("once", F.col("n") == 1).drop("n", "several")
     sizes = written(open_.groupBy("gram").agg(F.count("*").alias("n")).withColumn("wide", F.col("n") > SORTED_CONTEXTS), "sizes")
-    bytes_ = written(_contexts(rows, _joined(open_, sizes, ["gram"])), "bytes")
+    bytes_ = written(_contexts(rows, joined_by_key(open_, sizes, ["gram"])), "bytes")
     again = _sorted_groups(bytes_.where("not wide")).unionByName(_hashed_groups(bytes_.where("wide")))
     parts = written(whole.unionByName(again.select(*context, F.lit(1).cast("long").alias("n"), "first", "last")), "parts")
-    return _joined(some, parts, context).select("doc", "hash", (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last"))
+    return joined_by_key(some, parts, context).select("doc", "hash", (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +240,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
-        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        for batch in slices(batches, 2, 256):
             out = []
             for doc, text, ranges in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 own = text.encode("utf-8")

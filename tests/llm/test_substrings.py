@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from skarn.llm import substrings
+from skarn.llm import common, substrings
 from skarn.llm.suffixes import suffix_array
 
 
@@ -62,7 +62,7 @@ def test_many_contexts_go_by_hashes(spark, monkeypatch):
 
 
 def test_no_key_is_hot(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_KEYS", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
     monkeypatch.setattr(substrings, "SORTED_CONTEXTS", 3)
     check(spark)
 
