@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Words, and pre-tokens, that each of the two generations of what a worker remembers holds: some 150 MB in all.
 WORDS, PIECES = 280_000, 180_000
-#: Texts encoded or decoded at a time.
+#: Lists of ids decoded at a time.
 SLICE = 512
 #: Ids that are decoded at a time.
 DECODE_BLOCK = 1 << 19
@@ -160,37 +162,32 @@ def _encoder(tokens: tuple[bytes, ...], pattern: str) -> Encoder:
     return Encoder(list(tokens), pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ids array<int>, the columns ``keep``) for each row of ``docs``, without special tokens.
+_Batches = Iterator[pa.RecordBatch]
 
-    Null and empty texts have no ids (an empty array). Rows come back as often as they came;
-    null ids stay null; other columns are not read. The rank file is read on the driver only.
-    The pattern must make a space that stands between two other characters start a pre-token.
-    """
+
+def _encoding(ranks_path: str, pattern: str) -> Callable[[_Batches], _Batches]:
+    """Batches (id, text, others) to (id, ids, others)."""
     tokens = tuple(read_ranks(ranks_path))
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("__text"), *keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: _Batches) -> _Batches:
         one = _encoder(tokens, pattern).encode
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            found = [one(t) for t in batch.column(1).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+        for part in slices(batches, 1):
+            found = [one(t) for t in part.column(1).to_pylist()]
+            offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *batch.columns[2:]], names=[id_col, "ids", *keep])
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, *part.columns[2:]], names=[part.schema.names[0], "ids", *part.schema.names[2:]])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), *(rows.schema[k] for k in keep)]))
+    return run
 
 
-def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ids, decoded, the columns ``keep``) of ``encoded``: decoded are the bytes that the ids stand for; no ids or null: empty.
-    Unknown ids raise."""
+def _decoding(ranks_path: str) -> Callable[[_Batches], _Batches]:
+    """Batches (id, ids, others) to (id, ids, decoded, others)."""
     tokens = read_ranks(ranks_path)
     book = np.frombuffer(b"".join(tokens), np.uint8)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     starts = np.cumsum(sizes) - sizes
-    rows = encoded.select(id_col, F.coalesce(ids_col, F.array().cast("array<int>")).alias("ids"), *keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: _Batches) -> _Batches:
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             column = batch.column(1)
             ids = column.flatten().to_numpy(zero_copy_only=False)
@@ -205,14 +202,47 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
             ends = total[offsets - offsets[0]].astype(np.int64)
             raw = np.concatenate(blocks) if blocks else np.empty(0, np.uint8)
             text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, text, *batch.columns[2:]], names=[id_col, "ids", "decoded", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, text, *batch.columns[2:]], names=[batch.schema.names[0], "ids", "decoded", *batch.schema.names[2:]])
+
+    return run
+
+
+def _fields(rows: DataFrame, id_col: str, keep: tuple[str, ...], decoded: bool) -> T.StructType:
+    more = [T.StructField("decoded", T.BinaryType())] if decoded else []
+    return T.StructType([rows.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), *more, *(rows.schema[k] for k in keep)])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    return docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("__text"), *keep)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids array<int>, the columns ``keep``) for each row of ``docs``, without special tokens.
+
+    Null and empty texts have no ids (an empty array). Rows come back as often as they came;
+    null ids stay null; other columns are not read. The rank file is read on the driver only.
+    The pattern must make a space that stands between two other characters start a pre-token.
+    """
+    rows = _texts(docs, id_col, text_col, keep)
+    return rows.mapInArrow(_encoding(ranks_path, pattern), _fields(rows, id_col, keep, False))
+
+
+def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids, decoded, the columns ``keep``) of ``encoded``: decoded are the bytes that the ids stand for; no ids or null: empty.
+    Unknown ids raise. Rows come back as often as they came."""
+    rows = encoded.select(id_col, F.coalesce(ids_col, F.array().cast("array<int>")).alias("ids"), *keep)
+    return rows.mapInArrow(_decoding(ranks_path), _fields(rows, id_col, keep, True))
+
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], rows.schema["ids"], T.StructField("decoded", T.BinaryType()), *(rows.schema[k] for k in keep)]))
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``decode`` of ``encode``, both in one Python worker of a task: the ids needn't go back to the JVM in between."""
+    rows, there, back = _texts(docs, id_col, text_col, keep), _encoding(ranks_path, pattern), _decoding(ranks_path)
+    return rows.mapInArrow(lambda batches: back(there(batches)), _fields(rows, id_col, keep, True))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded again, and digested."""
-    rows = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path, id_col)
+    rows = round_trip(docs, ranks_path, pattern, id_col, text_col)
     return rows.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),

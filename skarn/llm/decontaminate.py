@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text
+from .common import id_text, slices
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved.
@@ -266,13 +266,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
         def run(batches: Iterator[pa.RecordBatch], x: Index = index) -> Iterator[pa.RecordBatch]:
             target = pa.schema([pa.field(f.name, {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()]) for f in schema])
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    own = batch.slice(at, 2048)
-                    ids = own.column(0).to_pylist()
-                    got = [(ids[t], x.ids[i], n, s, a, b) for t, i, n, s, a, b in _query(x, own.column(1).to_pylist(), share)]
-                    if got:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), target, strict=True)], schema=target)
+            for own in slices(batches, 1, 2048):
+                ids = own.column(0).to_pylist()
+                got = [(ids[t], x.ids[i], n, s, a, b) for t, i, n, s, a, b in _query(x, own.column(1).to_pylist(), share)]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), target, strict=True)], schema=target)
 
         some = rows.mapInArrow(run, schema)
         found = some if found is None else found.unionByName(some)

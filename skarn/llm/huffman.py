@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import id_buckets, removed, slices, written
 
 #: Longest code, and bits that index the decoding table.
 LONGEST = 18
@@ -31,8 +31,8 @@ LONGEST = 18
 STRIDE = 256
 #: Ids from which a block is full; a document stays whole.
 BLOCK_IDS = 1 << 16
-#: Documents whose ids a task orders, about.
-BUCKET = 1024
+#: Buckets of rows without an id.
+NULL_BUCKETS = 256
 #: Words in each of the two generations that a worker remembers, and texts encoded at a time.
 WORDS, SLICE = 250_000, 1024
 #: Words encoded as one text, and what stands between them there.
@@ -153,7 +153,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _word_ids(tokenizer_json).encode
-        for own in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for own in slices(batches, 1, SLICE):
             sizes, ids = encode(own.column(1))
             ids = np.insert(ids, np.cumsum(sizes), end_id)
             yield pa.RecordBatch.from_arrays([own.column(0), _packed(ids, sizes + 1, width)], names=[id_col, "ids"])
@@ -267,9 +267,9 @@ def counts(encoded: DataFrame, width: int) -> dict[int, int]:
 def write(encoded: DataFrame, path: str, width: int, id_col: str = "doc_id", longest: int = LONGEST) -> None:
     """The file of ``encoded`` (id, packed ids) in ascending order of id, ties in the order of their bytes.
 
-    ``path/code`` has the code's lengths, ``path/blocks`` the blocks. Null ids come first. A bucket
-    holds neighbouring documents; where its ids stand in the whole follows from the sums of those
-    before, which are a row for a bucket.
+    ``path/code`` has the code's lengths, ``path/blocks`` the blocks. Null ids come first, in the order of
+    their buckets and bytes. A bucket holds neighbouring documents, as many in one as in another; where its
+    ids stand in the whole follows from the sums of those before, which are a row for a bucket.
     """
     spark = encoded.sparkSession
     lengths = code_lengths(counts(encoded, width), longest)
@@ -277,11 +277,10 @@ def write(encoded: DataFrame, path: str, width: int, id_col: str = "doc_id", lon
     spark.createDataFrame(pa.table({"id": ids, "length": sizes}), "id long, length long").coalesce(1).write.parquet(f"{path}/code")
     size, code = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64), np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     size[ids], code[ids] = sizes, codes
-    low, high, n = encoded.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    span = max(1, (high - low + 1) * BUCKET // max(1, n)) if n else 1
-    rows = encoded.select(F.coalesce(F.expr(f"({id_col} - {low or 0}) div {span}"), F.lit(-1)).cast("long").alias("bucket"), F.col(id_col).cast("long").alias("id"), "ids")
+    # rows of null id, which come first, are spread by what they hold
+    bucket = F.coalesce(id_buckets(encoded, id_col), -1 - F.pmod(F.xxhash64("ids"), F.lit(NULL_BUCKETS)).cast("int"))
+    rows = encoded.select(bucket.cast("long").alias("bucket"), F.col(id_col).cast("long").alias("id"), "ids")
     starts = _starts(rows.groupBy("bucket").agg(F.sum(F.expr(f"octet_length(ids) div {width}")).alias("n")))
-    starts = starts.select(F.col("bucket").alias("b"), "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, block, before, held, docs, mine, first = None, 0, 0, 0, [], [], 0
@@ -309,35 +308,41 @@ def write(encoded: DataFrame, path: str, width: int, id_col: str = "doc_id", lon
         if mine:
             yield out()
 
-    dealt = rows.join(F.broadcast(starts) if starts.count() <= 100_000 else starts, F.col("bucket") == F.col("b")).select("bucket", "id", "ids", "start")
+    dealt = rows.join(F.broadcast(starts), "bucket").select("bucket", "id", "ids", "start")
     dealt.repartition("bucket").sortWithinPartitions("bucket", "id", "ids").mapInArrow(run, _BLOCK).write.parquet(f"{path}/blocks")
 
 
 def _starts(sums: DataFrame) -> DataFrame:
-    """(bucket, start): the sum of ``n`` over the buckets before; in two levels, so that no task sees all buckets."""
-    sums = written(sums.withColumn("above", F.expr(f"bucket div {BUCKET}")), "sums")
-    upper = sums.groupBy("above").agg(F.sum("n").alias("n"))
-    upper = upper.select("above", F.coalesce(F.sum("n").over(Window.orderBy("above").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("u"))
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("above").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return written(sums.withColumn("s", own).join(upper, "above").select("bucket", (F.col("s") + F.col("u")).alias("start")), "starts")
+    """(bucket, start): the sum of ``n`` over the buckets before, of which there are a few thousand at most."""
+    rows = sorted(sums.collect())
+    before = np.cumsum([0, *(r["n"] for r in rows)]).tolist()
+    return sums.sparkSession.createDataFrame([(r["bucket"], start) for r, start in zip(rows, before, strict=False)], "bucket long, start long")
 
 
-def read(spark: SparkSession, path: str, width: int, id_col: str = "doc_id", longest: int = LONGEST) -> DataFrame:
-    """(id, start, packed ids) of the documents in the file: start is the number of ids before."""
+def _reading(spark: SparkSession, path: str, width: int, id_col: str, longest: int):
+    """Batches of blocks to (id, start, packed ids)."""
     rows = spark.read.parquet(f"{path}/code").toArrow()
     ids, sizes, codes = canonical(dict(zip(rows["id"].to_pylist(), rows["length"].to_pylist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, size = decoding_table(ids, sizes, codes, longest)
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = np.array(row["sizes"], np.int64)
-                own = unpack(row["bits"], np.array(row["checkpoints"], np.int64), int(n.sum()), symbol, size, longest)
-                start = row["first_id"] + np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start), _packed(own, n, width)], names=[id_col, "start", "ids"])
+        for row in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+            n = np.array(row["sizes"], np.int64)
+            own = unpack(row["bits"], np.array(row["checkpoints"], np.int64), int(n.sum()), symbol, size, longest)
+            start = row["first_id"] + np.cumsum(n) - n
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start), _packed(own, n, width)], names=[id_col, "start", "ids"])
+
+    return run
 
-    # blocks are few and large: a batch holds few of them
-    return spark.read.schema(_BLOCK).parquet(f"{path}/blocks").mapInArrow(run, f"{id_col} long, start long, ids binary")
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
+
+
+def read(spark: SparkSession, path: str, width: int, id_col: str = "doc_id", longest: int = LONGEST) -> DataFrame:
+    """(id, start, packed ids) of the documents in the file: start is the number of ids before. A file without blocks
+    has no rows; bits that are no code raise."""
+    return _blocks(spark, path).mapInArrow(_reading(spark, path, width, id_col, longest), f"{id_col} long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,15 +351,18 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_
     One row per row of ``docs``; null texts have the end id only; other columns are not read; an
     empty table makes an empty file.
     """
-    width = id_width(tokenizer_path, end_id)
-    write(written(token_ids(docs, tokenizer_path, end_id, id_col, text_col), "ids"), path, width, id_col)
+    spark, width = docs.sparkSession, id_width(tokenizer_path, end_id)
+    encoded = written(token_ids(docs, tokenizer_path, end_id, id_col, text_col), "ids")
+    write(encoded, path, width, id_col)
+    removed(spark, encoded)
+    back = _reading(spark, path, width, id_col, LONGEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in back(batches):
             flat, offsets = unpacked(batch.column(2), width)
             flat = flat.astype("<u4")
             ends = offsets.tolist()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return read(docs.sparkSession, path, width, id_col).mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
+    return _blocks(spark, path).mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")

@@ -207,13 +207,13 @@ def _sorted(spans: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of the patterns' spans, and all spans."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans): counts and digest of the patterns' spans, all spans and their number."""
     rows = spans(docs, id_col, text_col)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return rows.select(F.col("__id").alias(id_col), *map(count, KINDS), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(_sorted(F.concat("base", "more"))).alias("spans"))
+    return rows.select(F.col("__id").alias(id_col), *map(count, KINDS), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(_sorted(F.concat("base", "more"))).alias("spans"), (F.size("base") + F.size("more")).cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,13 +14,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, pieces, written
 from .components import components
 
 THRESHOLD = 4
@@ -56,10 +55,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in s], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def simhash(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            found = [fingerprint(t, shingle) for part in pieces(column) for t in part.to_pylist()]
+            yield pa.array(np.array(found, np.uint64).view(np.int64))
 
     return id_text(docs, id_col, text_col).select(id_col, simhash(text_col).alias("fp"))
 

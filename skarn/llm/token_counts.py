@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: What stands before a pre-token, for the blank.
 BLANK = "▁"
 #: Costs are whole numbers of this part of a nat, so that sums and ties are exact.
 UNIT = 1e-6
 #: A cost takes the bits above these, the number of tokens those below: least cost first, then fewest tokens.
 COUNT_BITS = 32
-#: Pre-tokens in each of the two generations that a worker remembers, and texts taken at a time.
+#: Pre-tokens in each of the two generations that a worker remembers, and texts taken at a time at most.
 WORDS, SLICE = 500_000, 4096
 
 
@@ -99,7 +101,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(costs).count
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for batch in slices(batches, 1, SLICE):
             words = pc.ascii_split_whitespace(batch.column(1))
             coded = words.flatten().dictionary_encode()
             distinct = coded.dictionary.to_pylist()

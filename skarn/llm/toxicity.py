@@ -11,14 +11,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import id_text, written
+from .common import id_text, pieces, slices, written
 
 BUCKET_BITS = 20
 LENGTHS = (3, 4, 5, 6)
@@ -90,8 +90,8 @@ def log_count_ratios(train: DataFrame, text_col: str, label_col: str) -> tuple[n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, presence = np.zeros((2, 1 << BUCKET_BITS), np.int64), _Presence()
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in slices(batches, 0):
+            for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 sums[y][presence.of(text)] += 1
         b = np.flatnonzero(sums.any(axis=0))
         for at in range(0, len(b), 65536):
@@ -130,17 +130,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     wanted, scale = place >= 0, ratio[chosen]
     size = len(chosen)
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = _Presence()
-        for b in batches:
-            yield pd.DataFrame({"label": b["label"], "at": [np.sort(place[presence.of(t, wanted)]) for t in b[text_col]]})
-
-    @F.udf(VectorUDT())
-    def scaled(at):  # a bounded number of rows
-        return Vectors.sparse(size, at, [float(scale[i]) for i in at])
-
-    points = train.select("label", text_col).mapInPandas(vectors, "label double, at array<int>").select("label", scaled("at").alias("features"))
-    points = written(points, "vectors")
+        for part in slices(batches, 1):
+            at = [np.sort(place[presence.of(t, wanted)]) for t in part.column(1).to_pylist()]
+            offsets = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+            flat, n = np.concatenate([*at, np.empty(0, np.int32)]), len(at)
+            places, values = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat.astype(np.int32), scale[flat]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), places, values], names=["label", "type", "size", "indices", "values"])
+
+    points = train.select("label", text_col).mapInArrow(vectors, "label double, type tinyint, size int, indices array<int>, values array<double>")
+    # a sparse vector's own fields: written as such, they are read as vectors
+    points = written(points.select("label", F.struct("type", "size", "indices", "values").alias("features")), "vectors", StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
     lr = LogisticRegression(maxIter=60, regParam=1e-4, elasticNetParam=0.0, standardization=False).fit(points)
     weight[chosen] = lr.coefficients.toArray() * scale
     return Model(weight, float(lr.intercept))
@@ -151,14 +152,14 @@ def score(text: Column, model: Model) -> Column:
     index = np.flatnonzero(model.weight).astype(np.int32)
     values, intercept = model.weight[index], model.intercept
 
-    @F.pandas_udf("double")
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weight = np.zeros(1 << BUCKET_BITS, np.float32)
         weight[index] = values
         wanted, presence = weight != 0, _Presence()
-        for s in texts:
-            x = np.array([intercept + float(weight[presence.of(t, wanted)].sum(dtype=np.float64)) for t in s])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x, -500, 500))))
+        for column in texts:
+            x = [intercept + float(weight[presence.of(t, wanted)].sum(dtype=np.float64)) for part in pieces(column) for t in part.to_pylist()]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(x, np.float64), -500, 500))))
 
     return scores(F.coalesce(text, F.lit("")))
 
