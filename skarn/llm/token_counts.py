@@ -1,9 +1,9 @@
 """Token counts under a unigram model: each text's least-cost segmentation, without making it.
 
-Distinct pre-tokens, sorted, are the leaves of a trie in depth-first order: what a pre-token shares
-with the one before it is the path to their common node. The least cost up to each node (the
-forward score) is kept along that path and computed once for all pre-tokens below it; at a
-pre-token's end it holds the number of tokens.
+Distinct pre-tokens are inserted in a trie. Each node keeps the least cost of the characters up to it
+(the forward score), computed when the node is made and so once for all pre-tokens that share the
+prefix; at a pre-token's end the score holds the number of tokens, which is stored by pre-token. A
+worker's trie serves all its tasks and starts anew when it is full.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from math import log
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ BLANK = "▁"
 UNIT = 1e-6
 #: A cost takes the bits above these, the number of tokens those below: least cost first, then fewest tokens.
 COUNT_BITS = 32
-#: Pre-tokens in each of the two generations that a worker remembers, and texts taken at a time at most.
-WORDS, SLICE = 500_000, 4096
+#: Pre-tokens in each of the two generations whose counts a worker stores, nodes of its trie (some 150 bytes each), and texts taken at a time at most.
+WORDS, NODES, SLICE = 400_000, 500_000, 4096
 
 
 def read_pieces(path: str) -> dict[str, int]:
@@ -43,45 +42,66 @@ def read_pieces(path: str) -> dict[str, int]:
     return {p: round((log(n) + total) / UNIT) for n, p in enumerate(plain, 1)}
 
 
-class Counter:
-    """Token counts of pre-tokens."""
+class Trie:
+    """Prefixes of pre-tokens with their forward scores; node 0 is the empty prefix."""
 
-    def __init__(self, costs: dict[str, int]) -> None:
+    def __init__(self, costs: dict[str, int], most: int = NODES) -> None:
         self.pieces = {p: (c << COUNT_BITS) + 1 for p, c in costs.items()}
         self.lengths = sorted({len(p) for p in costs})
         # a character in no piece: its bytes, each rarer than every piece
         self.byte = ((max(costs.values(), default=0) + round(1 / UNIT)) << COUNT_BITS) + 1
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}  # by node and character
+        self.score = [0]
+
+    def insert(self, word: str) -> int:
+        """The forward score of ``word``; nodes that are there already aren't computed again."""
+        if len(self.score) + len(word) > self.most:
+            self.clear()
+        child, score, get, lengths = self.child, self.score, self.pieces.get, self.lengths
+        node, path = 0, [0]  # the scores of the prefixes so far
+        for end, c in enumerate(word, 1):
+            key = node << 21 | ord(c)
+            node = child.get(key)
+            if node is None:
+                least = path[-1] + self.byte * len(c.encode("utf-8"))
+                for n in lengths:
+                    if n > end:
+                        break
+                    w = get(word[end - n : end])
+                    if w is not None and (x := path[end - n] + w) < least:
+                        least = x
+                node = child[key] = len(score)
+                score.append(least)
+            path.append(score[node])
+        return path[-1]
+
+
+class Counter:
+    """Token counts of pre-tokens."""
+
+    def __init__(self, costs: dict[str, int]) -> None:
+        self.trie = Trie(costs)
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
-    def _forward(self, word: str, best: list[int], start: int) -> None:
-        """Extend ``best``, least costs of the first 0, 1, ... characters, from ``start`` to all of ``word``."""
-        get, lengths, byte = self.pieces.get, self.lengths, self.byte
-        for end in range(start + 1, len(word) + 1):
-            least = best[end - 1] + byte * len(word[end - 1].encode("utf-8"))
-            for n in lengths:
-                if n > end:
-                    break
-                w = get(word[end - n : end])
-                if w is not None and (c := best[end - n] + w) < least:
-                    least = c
-            best.append(least)
-
     def count(self, words: list[str]) -> list[int]:
         """Tokens of each of the distinct ``words``."""
-        known = [self.young.get(w) or self.old.get(w) for w in words]
-        if missing := sorted((w, i) for i, w in enumerate(words) if known[i] is None):
-            if len(self.young) + len(missing) > WORDS:
-                self.young, self.old = {}, self.young
-            before, best = "", [0]
-            for w, i in missing:
-                marked = BLANK + w
-                shared = len(commonprefix((before, marked)))
-                del best[shared + 1 :]
-                self._forward(marked, best, shared)
-                self.young[w] = known[i] = best[-1] & ((1 << COUNT_BITS) - 1)
-                before = marked
-        return known
+        found, insert = [], self.trie.insert
+        for w in words:
+            n = self.young.get(w)
+            if n is None:
+                if len(self.young) >= WORDS:
+                    self.young, self.old = {}, self.young
+                n = self.old.get(w)
+                if n is None:
+                    n = insert(BLANK + w) & ((1 << COUNT_BITS) - 1)
+                self.young[w] = n
+            found.append(n)
+        return found
 
 
 @functools.lru_cache(maxsize=2)

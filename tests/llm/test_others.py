@@ -146,12 +146,12 @@ def test_anchor_words_against_brute_force(spark):
 # --- token counts ----------------------------------------------------------------------------------
 
 
-def slow_count(counter, word):
+def slow_count(trie, word):
     word = token_counts.BLANK + word
     best = [0]
     for end in range(1, len(word) + 1):
-        ways = [best[k] + counter.pieces[word[k:end]] for k in range(end) if word[k:end] in counter.pieces]
-        best.append(min([*ways, best[-1] + counter.byte * len(word[end - 1].encode())]))
+        ways = [best[k] + trie.pieces[word[k:end]] for k in range(max(0, end - trie.lengths[-1]), end) if word[k:end] in trie.pieces]
+        best.append(min([*ways, best[-1] + trie.byte * len(word[end - 1].encode())]))
     return best[-1] & ((1 << token_counts.COUNT_BITS) - 1)
 
 
@@ -160,13 +160,25 @@ def test_token_counts(spark):
     texts = [None, "", "  ", " lead and trail ", "日本 😀x́", "a" * 3000, "   "] + [prose(rng, rng.randint(1, 80)) for _ in range(40)]
     docs = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)] + [(None, "x", 3)], "doc_id long, text string, n_tokens int")
     got = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in token_counts.token_counts(docs, MODEL).collect()}
-    counter = token_counts.Counter(token_counts.read_pieces(MODEL))
+    trie = token_counts.Trie(token_counts.read_pieces(MODEL))
     for i, t in [*enumerate(texts), (None, "x")]:
         words = [w.decode() for w in (t or "").encode().split()]
-        assert got[i] == (len(words), sum(slow_count(counter, w) for w in words)), t
+        assert got[i] == (len(words), sum(slow_count(trie, w) for w in words)), t
     assert token_counts.token_counts(docs.limit(0), MODEL).count() == 0
 
 
+def test_trie_shares_prefixes():
+    costs = token_counts.read_pieces(MODEL)
+    trie, small = token_counts.Trie(costs), token_counts.Trie(costs, most=40)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcé日") for _ in range(rng.randint(1, 9))) for _ in range(500)] + ["a" * 60]
+    for w in words + words:
+        marked = token_counts.BLANK + w
+        want = slow_count(trie, w)
+        assert trie.insert(marked) & 0xFFFFFFFF == small.insert(marked) & 0xFFFFFFFF == want
+    assert len(trie.score) == len({(token_counts.BLANK + w)[:k] for w in words for k in range(len(w) + 2)})
+
+
 # --- WARC ------------------------------------------------------------------------------------------
 
 
