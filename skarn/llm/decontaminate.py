@@ -34,7 +34,9 @@ SHARE = 0.5
 OVERLAP, SHINGLE = 0.8, 5
 #: Fewest words from one passage's start to the next; the longest item's if it is longer.
 STRIDE = 64
-#: Items, and words of items, in one index on average, which is what the tasks get; more make more indexes, each queried in turn.
+#: Postings of the indexes that one pass over the texts takes to the tasks (some 100 MB); more items make more passes.
+PASS_POSTINGS = 400_000
+#: Items, and words of items, in one index on average; more make more indexes, each queried in turn.
 SHARD_ITEMS, SHARD_WORDS = 1024, 1_000_000
 #: Blocks of items in an index, and fewest items in one.
 BLOCKS, BLOCK_ITEMS = 256, 4
@@ -188,15 +190,23 @@ def wand(x: Index, terms: np.ndarray, share: float) -> Iterator[tuple[int, float
                 c[0] = own[n] if n < len(own) else end
 
 
-def _query(x: Index, texts: list[str | None], share: float) -> Iterator[tuple[int, int, int, float, float, float]]:
+class Split:
+    """Texts' words, told apart once for all indexes."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        self.words = [words(t) for t in texts]
+        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.flat = pa.array(chain.from_iterable(self.words), pa.binary())
+
+
+def _query(x: Index, texts: Split, share: float) -> Iterator[tuple[int, int, int, float, float, float]]:
     """(text's number, item's number, passage, score, overlaps) of what is verified."""
     # a little less than the share, as the bounds are sums of rounded weights
     least, stride, terms = share - 1e-4, x.stride, len(x.items)
-    split = [words(t) for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    split, sizes = texts.words, texts.sizes
     pieces = np.maximum(1, -(-sizes // stride))
     first = np.cumsum(pieces) - pieces
-    term = pc.index_in(pa.array(chain.from_iterable(split), pa.binary()), value_set=x.known).fill_null(-1).to_numpy().astype(np.int64)
+    term = pc.index_in(texts.flat, value_set=x.known).fill_null(-1).to_numpy().astype(np.int64)
     text = np.repeat(np.arange(len(split)), sizes)
     piece = first[text] + (np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // stride
     at, term = np.divmod(np.unique((piece * terms + term)[term >= 0]), terms)
@@ -250,6 +260,20 @@ def _indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
             yield build(got, counts, total, average)
 
 
+def _groups(indexes: Iterator[Index]) -> Iterator[list[Index]]:
+    """Indexes that are small enough together for one pass over the texts."""
+    own, size = [], 0
+    for x in indexes:
+        n = sum(map(len, x.items))
+        if own and size + n > PASS_POSTINGS:
+            yield own
+            own, size = [], 0
+        own.append(x)
+        size += n
+    if own:
+        yield own
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """(id, item, passage, score, question_overlap, answer_overlap): one row for each text and item that it repeats.
 
@@ -262,13 +286,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     rows = id_text(docs, id_col, text_col)
     schema = T.StructType([rows.schema[id_col], T.StructField(item_col, items.schema[item_col].dataType), *(T.StructField(n, t) for n, t in (("passage", T.LongType()), ("score", T.DoubleType()), ("question_overlap", T.DoubleType()), ("answer_overlap", T.DoubleType())))])
     found = None
-    for index in _indexes(items, item_col, item_text):
+    for group in _groups(_indexes(items, item_col, item_text)):
 
-        def run(batches: Iterator[pa.RecordBatch], x: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], indexes: list[Index] = group) -> Iterator[pa.RecordBatch]:
             target = pa.schema([pa.field(f.name, {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()]) for f in schema])
             for own in slices(batches, 1, 2048):
-                ids = own.column(0).to_pylist()
-                got = [(ids[t], x.ids[i], n, s, a, b) for t, i, n, s, a, b in _query(x, own.column(1).to_pylist(), share)]
+                ids, texts = own.column(0).to_pylist(), Split(own.column(1).to_pylist())
+                got = [(ids[t], x.ids[i], n, s, a, b) for x in indexes for t, i, n, s, a, b in _query(x, texts, share)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), target, strict=True)], schema=target)
 
