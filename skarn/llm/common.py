@@ -30,11 +30,16 @@ def written(df: DataFrame, name: str, schema: StructType | None = None, rows: in
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later plan reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table from ``written`` that no later plan reads."""
     for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        dropped(spark, f.rsplit("/", 1)[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,10 +25,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC records against a replica in which 3 of 50 ids are damaged."""
-    recs = warc.records(table(spark, sf_dir, "pages"))
-    fault = F.pmod(F.col("page_id") * 37, F.lit(50))
-    return warc.fixity(recs, warc.damaged(recs, fault))
+    """All pages as WARC files against a replica's, in which 3 of 50 ids are damaged."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.compare(pages, warc.damaged(pages, F.pmod(F.col("page_id") * 37, F.lit(50))), new_path(spark, "warc"))
 
 
 def op5_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,18 +59,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _CRLF = "chr(13) || chr(10)"
-OP4_SQL = f"""
-WITH r AS (
-  SELECT page_id, CAST(page_id // 256 AS BIGINT) AS warc_file, (page_id * 37) % 50 AS fault,
-    'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_CRLF}
+_RECORD = f"""'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_CRLF}
     || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF} || 'Content-Type: text/html' || {_CRLF}
-    || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF} || coalesce(html, '') || {_CRLF} || {_CRLF} AS record
-  FROM pages)
-SELECT page_id, warc_file,
-  CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256,
-  CASE fault WHEN 0 THEN 'altered' WHEN 1 THEN 'lost' WHEN 2 THEN 'altered' ELSE 'intact' END AS status
-FROM r
+    || 'Content-Length: ' || strlen(body) || {_CRLF} || {_CRLF} || body || {_CRLF} || {_CRLF}"""
+_PLACE = 'CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"'
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, url, CAST(page_id // 256 AS BIGINT) AS warc_file, (page_id * 37) % 50 AS fault, coalesce(html, '') AS body FROM pages),
+q AS (SELECT * REPLACE (CASE fault WHEN 0 THEN left(body, length(body) // 2) || '!' || substr(body, length(body) // 2 + 1) WHEN 2 THEN left(body, length(body) // 2) ELSE body END AS body) FROM p WHERE fault <> 1),
+a AS (SELECT *, {_PLACE} FROM (SELECT page_id, warc_file, {_RECORD} AS record FROM p)),
+b AS (SELECT *, {_PLACE} FROM (SELECT page_id, warc_file, {_RECORD} AS record FROM q))
+SELECT a.page_id, a.warc_file, a."offset", CAST(strlen(a.record) AS BIGINT) AS length, sha256(a.record) AS record_sha256,
+  CASE WHEN b.page_id IS NULL THEN 'lost' WHEN a.record <> b.record THEN 'altered' WHEN a."offset" <> b."offset" THEN 'moved' ELSE 'intact' END AS status
+FROM a LEFT JOIN b USING (page_id)
 """
 
 

@@ -1,129 +1,210 @@
-"""WARC records and a Merkle fixity audit of their replicas.
+"""WARC files and a Merkle fixity audit of their replicas.
 
-Records stand in files in the order of their ids. A leaf of the tree is a record's digest; each
-node above stands for a range of ids, so of offsets, sixteen times as wide as its children's and
-digests them in order. Two replicas are compared from their roots: only below nodes that differ are
-the children looked at, down to the records that are lost, added or altered.
+A leaf of the tree is a record: where it starts in its file, how long it is, and the digest of its
+bytes. A node above stands for a range of offsets of the file, sixteen times as wide as its children's,
+and digests them in order; above the files' roots nodes stand for ranges of files. Two replicas are
+compared from their roots: only below nodes that differ are the children looked at, down to the
+records that are lost, added, altered or moved.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 FANOUT = 16
-#: Ids to a file.
-FILE_IDS = 256
+#: Bytes of a file that a node right above the records stands for.
+RANGE = 1 << 16
+#: Ids to a file, and files that rows without an id are spread over.
+FILE_IDS, NULL_FILES = 256, 256
 _CRLF = "\r\n"
+_END = b"\r\n\r\n"
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """(id, warc_file, record): each row as a WARC resource record. Null urls and bodies are empty; a null
-    id's record has no number and stands in the file -1. Other columns are not read."""
+    id's record has no number and stands in a file below 0, told by its body. Other columns are not read.
+    Rows that repeat an id stand in one file."""
     body = F.coalesce(body_col, F.lit(""))
     head = [
         F.lit(f"WARC/1.0{_CRLF}WARC-Type: resource{_CRLF}WARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f">{_CRLF}WARC-Target-URI: "),
         F.coalesce(url_col, F.lit("")), F.lit(f"{_CRLF}Content-Type: text/html{_CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(_CRLF * 2),
     ]
-    return pages.select(id_col, F.coalesce(F.expr(f"{id_col} div {FILE_IDS}"), F.lit(-1)).cast("long").alias("warc_file"), F.concat(*head, body, F.lit(_CRLF * 2)).alias("record"))
+    file = F.coalesce(F.expr(f"{id_col} div {FILE_IDS}"), -1 - F.pmod(F.xxhash64(url_col, body), F.lit(NULL_FILES)))
+    return pages.select(id_col, file.cast("long").alias("warc_file"), F.concat(*head, body, F.lit(_CRLF * 2)).alias("record"))
 
 
-def located(recs: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, warc_file, offset, length, record_sha256): where each record stands in its file, in order of id, then digest."""
-    own = recs.select(id_col, "warc_file", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
-    w = Window.partitionBy("warc_file").orderBy(id_col, "record_sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return own.select(id_col, "warc_file", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"), "length", "record_sha256")
-
-
-def write(recs: DataFrame, path: str, id_col: str = "page_id") -> None:
-    """WARC files ``path/warc_file=N/...``, records in order of id. A record ends with the separator that text files get."""
+def write(recs: DataFrame, path: str, id_col: str = "page_id", compressed: bool = False) -> None:
+    """WARC files ``path/warc_file=N/...``, records in order of id, then bytes; ``compressed``: by gzip. Each ends with the
+    separator that text files get. An empty table makes an empty folder."""
     end = F.octet_length(F.lit(_CRLF * 2))
     lines = recs.select("warc_file", id_col, F.substring(F.col("record"), F.lit(1), F.length("record") - end).alias("value"))
-    lines.repartition("warc_file").sortWithinPartitions("warc_file", id_col).select("warc_file", "value").write.partitionBy("warc_file").option("lineSep", _CRLF * 2).text(path)
+    dealt = lines.repartition("warc_file").sortWithinPartitions("warc_file", id_col, "value").select("warc_file", "value")
+    dealt.write.partitionBy("warc_file").option("lineSep", _CRLF * 2).option("compression", "gzip" if compressed else "none").text(path)
+
+
+def _parsed(raw: bytes) -> Iterator[tuple[int, int, dict[str, str] | None]]:
+    """(offset, length, header) of each record. What is no record, or is cut off, goes to the file's end without a header."""
+    at = 0
+    while at < len(raw):
+        end, head = raw.find(_END, at), None
+        try:
+            lines = raw[at:end].decode("utf-8").split(_CRLF) if end >= 0 else []
+            if lines and lines[0].startswith("WARC/"):
+                head = dict(line.split(": ", 1) for line in lines[1:])
+                end += 4 + int(head["Content-Length"])
+                if not head["WARC-Record-ID"].startswith("<urn:page:") or "WARC-Target-URI" not in head or raw[end : end + 4] != _END or end < at:
+                    head = None
+                else:
+                    int(_number(head) or 0)
+        except (ValueError, KeyError):
+            head = None
+        size = end + 4 - at if head else len(raw) - at
+        yield at, size, head
+        at += size
+
+
+def _number(head: dict[str, str]) -> str:
+    return head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(number, bytes) of each file, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            raw = batch.column(1)[k].as_py()
+            yield batch.column(0)[k].as_py(), gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    number = F.regexp_extract("path", "warc_file=(-?[0-9]+)", 1).cast("long")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(number.alias("warc_file"), "content")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, html) of the records in WARC files, each read as long as its header says."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for raw in frame["content"]:
-                out, at = [], 0
-                while at < len(raw):
-                    end = raw.index(b"\r\n\r\n", at)
-                    head = dict(line.split(": ", 1) for line in raw[at:end].decode("utf-8").split(_CRLF)[1:])
-                    start, n = end + 4, int(head["Content-Length"])
-                    number = head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
-                    out.append((int(number) if number else None, head["WARC-Target-URI"], raw[start : start + n].decode("utf-8")))
-                    at = start + n + 4
-                yield pd.DataFrame(out, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    return files.mapInPandas(run, "page_id long, url string, html string")
-
-
-def tree(leaves: DataFrame, id_col: str = "page_id", digest_col: str = "record_sha256") -> list[DataFrame]:
-    """Levels (key, digest) of the tree, from the leaves to the root: key is the id divided by the level's width.
-
-    Records that repeat an id make one leaf of their distinct digests with their numbers, counted
-    before they meet. Null ids are at -1. A node has at most ``FANOUT`` children (and -1).
-    """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key")
-    each = leaves.select(key, F.col(digest_col).alias("d")).groupBy("key", "d").agg(F.count("*").alias("n"))
-    own = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("d", "n"))), lambda x: F.concat_ws("*", x["d"], x["n"].cast("string"))))
-    levels = [written(each.groupBy("key").agg(F.sha2(own.cast("binary"), 256).alias("digest")), "merkle")]
-    low, high = levels[0].agg(F.min("key"), F.max("key")).first()
-    while low is not None and (high > 0 or low < 0 or len(levels) == 1):
-        children = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("key", "digest"))), lambda x: F.concat_ws(":", x["key"].cast("string"), x["digest"])))
-        up = levels[-1].withColumn("up", F.expr(f"key div {FANOUT}"))
-        levels.append(written(up.groupBy("up").agg(F.sha2(children.cast("binary"), 256).alias("digest")).withColumnRenamed("up", "key"), "merkle"))
-        low, high = int(low / FANOUT), high // FANOUT
-    return levels
-
-
-def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.select("key", F.col("digest").alias("da")).join(b.select("key", F.col("digest").alias("db")), "key", "full")
-    return both.where(~F.col("da").eqNullSafe(F.col("db")))
-
-
-def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """(key, status): ids whose records are 'lost' in ``b``, 'added' there or 'altered'. Below equal nodes nothing is read."""
-    longest = max(len(a), len(b))
-    deep = [x + [_raised(x[-1], k + 1) for k in range(longest - len(x))] for x in (a, b)]
-    bad = _differ(deep[0][-1], deep[1][-1])
-    for x, y in zip(deep[0][-2::-1], deep[1][-2::-1], strict=True):
-        parents = written(bad.select(F.col("key").alias("up")), "mismatch")
-        x, y = (t.join(parents, F.expr(f"key div {FANOUT}") == parents["up"], "left_semi") for t in (x, y))
-        bad = _differ(x, y)
-    status = F.when(F.col("db").isNull(), "lost").when(F.col("da").isNull(), "added").otherwise("altered")
-    return bad.select("key", status.alias("status"))
-
-
-def _raised(top: DataFrame, times: int) -> DataFrame:
-    """A root once more, at the key of a higher level, for a replica whose ids end earlier."""
-    return top.select(F.expr(f"key div {FANOUT**times}").alias("key"), F.sha2(F.concat(F.lit(f"{times}:"), F.col("digest")).cast("binary"), 256).alias("digest"))
-
-
-def fixity(primary: DataFrame, replica: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, warc_file, offset, length, record_sha256, status): the primary's records, and 'intact' or what the audit says of each.
-
-    Rows that repeat an id share its status. Empty tables: all of the other's records are lost or
-    added; those that only the replica has are not among the rows.
+    """(page_id, url, html) of the records in WARC files, each read as long as its header says. What is no record ends
+    its file's reading without an error; ``scan`` tells where. An empty folder has no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
+        for _, raw in _contents(batches):
+            out = []
+            for at, size, head in _parsed(raw):
+                if head:
+                    n, number = int(head["Content-Length"]), _number(head)
+                    body = raw[at + size - 4 - n : at + size - 4].decode("utf-8", "replace")
+                    out.append({"page_id": int(number) if number else None, "url": head["WARC-Target-URI"], "html": body})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return _files(spark, path).mapInArrow(run, "page_id long, url string, html string")
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """(warc_file, offset, length, record_sha256, page_id, whole): the records where they stand. What is no record
+    or is cut off is one row to its file's end, not ``whole``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("warc_file", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("record_sha256", pa.string()), ("page_id", pa.int64()), ("whole", pa.bool_())])
+        for file, raw in _contents(batches):
+            out = []
+            for at, size, head in _parsed(raw):
+                number = _number(head) if head else ""
+                out.append({"warc_file": file, "offset": at, "length": size, "record_sha256": hashlib.sha256(raw[at : at + size]).hexdigest(), "page_id": int(number) if number else None, "whole": head is not None})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return _files(spark, path).mapInArrow(run, "warc_file long, offset long, length long, record_sha256 string, page_id long, whole boolean")
+
+
+def _up(level: int, offset_levels: int) -> tuple[Column, Column]:
+    """(file, slot) of the node above one at ``level``."""
+    file, slot = F.col("file"), F.col("slot")
+    if level == 0:
+        return file, F.expr(f"slot div {RANGE}")
+    return (file, F.expr(f"slot div {FANOUT}")) if level <= offset_levels else (F.expr(f"file div {FANOUT}"), F.lit(0).cast("long"))
+
+
+def trees(leaves: DataFrame) -> tuple[list[DataFrame], int]:
+    """The levels (replica, file, slot, digest) of both replicas' trees, from the records to the roots, and how many of
+    them part a file by offsets. ``leaves``: (replica, warc_file, offset, length, record_sha256); a node has at most
+    ``FANOUT`` children (a few hundred right above the records)."""
+    own = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "record_sha256").cast("binary"), 256)
+    levels = [written(leaves.select("replica", F.col("warc_file").alias("file"), F.col("offset").alias("slot"), own.alias("digest")), "merkle")]
+    low, high, last = levels[0].agg(F.min("file"), F.max("file"), F.max("slot")).first()
+    offset_levels, wide = 0, (last or 0) // RANGE
+    while wide > 0:
+        offset_levels, wide = offset_levels + 1, wide // FANOUT
+    children = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("file", "slot", "digest"))), lambda x: F.concat_ws(":", x["file"].cast("string"), x["slot"].cast("string"), x["digest"])))
+    while low is not None and (len(levels) <= 1 + offset_levels or high > 0 or low < 0):
+        if len(levels) > 1 + offset_levels:
+            low, high = int(low / FANOUT), high // FANOUT
+        file, slot = _up(len(levels) - 1, offset_levels)
+        up = levels[-1].groupBy("replica", file.alias("upper"), slot.alias("place")).agg(F.sha2(children.cast("binary"), 256).alias("digest"))
+        levels.append(written(up.select("replica", F.col("upper").alias("file"), F.col("place").alias("slot"), "digest"), "merkle"))
+    return levels, offset_levels
+
+
+def audit(levels: list[DataFrame], offset_levels: int) -> DataFrame:
+    """(file, slot): where the replicas' records differ, told from the roots down; below equal nodes nothing is read."""
+
+    def differing(rows: DataFrame) -> DataFrame:
+        # both replicas have the node, and with one digest, if all is well
+        return rows.groupBy("file", "slot").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n <> 2 or x <> y").select("file", "slot")
+
+    bad = differing(levels[-1])
+    for level in range(len(levels) - 2, -1, -1):
+        parents = written(bad.toDF("upper", "place"), "mismatch")
+        file, slot = _up(level, offset_levels)
+        bad = differing(levels[level].withColumns({"upper": file, "place": slot}).join(parents, ["upper", "place"], "left_semi"))
+    return bad
+
+
+def fixity(spark: SparkSession, primary: str, replica: str) -> DataFrame:
+    """(page_id, warc_file, offset, length, record_sha256, status) of the records in the WARC files below ``primary``, against ``replica``.
+
+    status: 'intact' where the replica has the same bytes at the same place, else 'moved' if it has a record of
+    this id and these bytes elsewhere, 'altered' if it has other records of this id only, 'lost' if none. Records of the replica
+    whose id has no record in the primary are rows 'added', with the replica's places, and what is no record
+    there is a row 'malformed' without an id (in the primary too). Rows that repeat an id are told apart by their bytes;
+    records without an id count as one id. Empty folders: all of the other's records are lost or added.
     """
-    own = written(located(primary, id_col), "located")
-    other = replica.select(id_col, F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
-    found = audit(tree(own, id_col), tree(other, id_col))
-    key = F.coalesce(own[id_col].cast("long"), F.lit(-1))
-    return own.join(found, key == found["key"], "left").select(id_col, "warc_file", "offset", "length", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
-
-
-def damaged(recs: DataFrame, kind: Column) -> DataFrame:
-    """A replica with planted faults: where ``kind`` is 0 a character is put in the middle, 1 the record is lost, 2 its end is cut."""
-    record, half = F.col("record"), F.expr("length(record) div 2")
-    bad = F.when(kind == 0, F.concat(F.substring(record, F.lit(1), half), F.lit("!"), F.substring(record, half + 1, F.length(record)))).when(kind == 2, F.substring(record, F.lit(1), half)).otherwise(record)
-    return recs.where(F.coalesce(kind, F.lit(-1)) != 1).withColumn("record", bad)
+    both = scan(spark, primary).withColumn("replica", F.lit(False)).unionByName(scan(spark, replica).withColumn("replica", F.lit(True)))
+    both = written(both, "records")
+    levels, offset_levels = trees(both)
+    bad = written(audit(levels, offset_levels).toDF("f", "s"), "mismatch")
+    differ = both.join(bad, (both["warc_file"] == bad["f"]) & (both["offset"] == bad["s"]), "left")
+    columns = ["page_id", "warc_file", "offset", "length", "record_sha256"]
+    a, b = (differ.where((F.col("replica") == r) & (F.col("f").isNotNull() if r else F.lit(True))) for r in (False, True))
+    there = b.where("whole").select(F.col("page_id").alias("i"), F.col("record_sha256").alias("d")).distinct()
+    ids = there.groupBy("i").agg(F.lit(True).alias("known"))
+    found = a.join(there, a["page_id"].eqNullSafe(there["i"]) & (a["record_sha256"] == there["d"]) & a["f"].isNotNull(), "left").drop("i")
+    found = found.join(ids, found["page_id"].eqNullSafe(ids["i"]) & found["f"].isNotNull(), "left")
+    status = F.when(~F.col("whole"), "malformed").when(F.col("f").isNull(), "intact").when(F.col("d").isNotNull(), "moved").when(F.col("known"), "altered").otherwise("lost")
+    here = both.where("not replica and whole").select(F.col("page_id").alias("i")).distinct()
+    new = b.join(here, b["page_id"].eqNullSafe(here["i"]) & b["whole"], "left_anti")
+    out = found.select(*columns, status.alias("status")).unionByName(new.select(*columns, F.when(F.col("whole"), "added").otherwise("malformed").alias("status")))
+    return written(out, "fixity")
+
+
+def compare(pages: DataFrame, copy: DataFrame, folder: str) -> DataFrame:
+    """``fixity`` of two tables of pages, written as compressed WARC files below ``folder``, which are deleted in the end."""
+    spark = pages.sparkSession
+    for rows, name in ((pages, "primary"), (copy, "replica")):
+        write(records(rows), f"{folder}/{name}", compressed=True)
+    found = fixity(spark, f"{folder}/primary", f"{folder}/replica")
+    dropped(spark, folder)
+    return found
+
+
+def damaged(pages: DataFrame, kind: Column, body_col: str = "html") -> DataFrame:
+    """Pages with planted faults: where ``kind`` is 0 a character is put in the middle of the body, 1 the page is lost, 2 the body's end is cut."""
+    body = F.coalesce(body_col, F.lit(""))
+    half = F.expr(f"length(coalesce({body_col}, '')) div 2")
+    bad = F.when(kind == 0, F.concat(F.substring(body, F.lit(1), half), F.lit("!"), F.substring(body, half + 1, F.length(body)))).when(kind == 2, F.substring(body, F.lit(1), half)).otherwise(body)
+    return pages.where(F.coalesce(kind, F.lit(-1)) != 1).withColumn(body_col, bad)

@@ -182,34 +182,81 @@ def test_trie_shares_prefixes():
 # --- WARC ------------------------------------------------------------------------------------------
 
 
-def test_warc_files(spark, tmp_path):
-    rows = [(i, f"http://x/{i}", f"<p>é {i}\r\n\r\nWARC/1.0\r\n\r\n</p>") for i in range(0, 900, 7)]
-    recs = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    warc.write(recs, str(tmp_path / "w"))
-    assert sorted(map(tuple, warc.read(spark, str(tmp_path / "w")).collect())) == rows
-    for r in warc.located(recs).where("warc_file = 1").collect():
-        raw = b"".join(p.read_bytes() for p in (tmp_path / "w" / "warc_file=1").glob("part-*"))
-        assert hashlib.sha256(raw[r["offset"] : r["offset"] + r["length"]]).hexdigest() == r["record_sha256"]
-
+PAGES = "page_id long, url string, html string"
 
-def test_audit(spark):
-    from pyspark.sql import functions as F
 
-    rows = [(i, f"u{i}", f"b{i}") for i in range(0, 1500, 3)] + [(9, "u9", "b9"), (12, "other", "b"), (None, None, None)]
-    recs = warc.records(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, key int"))
-    kind = F.pmod(F.col("page_id"), F.lit(50))
-    got = warc.fixity(recs, warc.damaged(recs, kind)).collect()
-    assert len(got) == len(rows)
-    want = {0: "altered", 1: "lost", 2: "altered"}
-    for r in got:
-        assert r["status"] == ("intact" if r["page_id"] is None else want.get(r["page_id"] % 50, "intact")), r
-    assert {r["status"] for r in warc.fixity(recs, recs).collect()} == {"intact"}
-    assert {r["status"] for r in warc.fixity(recs, recs.limit(0)).collect()} == {"lost"}
-    assert warc.fixity(recs.limit(0), recs).count() == 0
-    own = warc.tree(warc.located(recs))
-    more = warc.tree(warc.located(warc.records(spark.createDataFrame([*rows, (99999, "new", "x")], "page_id long, url string, html string"))))
-    assert [tuple(r) for r in warc.audit(own, more).collect()] == [(99999, "added")]
-    assert warc.audit(own, own).count() == 0
+def test_warc_files(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", f"<p>é {i}\r\n\r\nWARC/1.0\r\n\r\n</p>") for i in range(0, 900, 7)] + [(None, "", "no id"), (3, "", "")]
+    rows.sort(key=str)
+    recs = warc.records(spark.createDataFrame(rows, PAGES))
+    for compressed in (False, True):
+        path = str(tmp_path / f"w{compressed}")
+        warc.write(recs, path, compressed=compressed)
+        assert sorted(map(tuple, warc.read(spark, path).collect()), key=str) == rows
+    found = warc.scan(spark, str(tmp_path / "wFalse")).where("warc_file = 1").collect()
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "wFalse" / "warc_file=1").glob("part-*"))
+    assert len(found) == 37 and sum(r["length"] for r in found) == len(raw)
+    for r in found:
+        assert r["whole"] and hashlib.sha256(raw[r["offset"] : r["offset"] + r["length"]]).hexdigest() == r["record_sha256"]
+    warc.write(recs.limit(0), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+    assert {r["status"] for r in warc.fixity(spark, str(tmp_path / "none"), str(tmp_path / "wTrue")).collect()} == {"added"}
+    assert {r["status"] for r in warc.fixity(spark, str(tmp_path / "wTrue"), str(tmp_path / "none")).collect()} == {"lost"}
+    assert {r["status"] for r in warc.fixity(spark, str(tmp_path / "wFalse"), str(tmp_path / "wTrue")).collect()} == {"intact"}
+
+
+def test_corrupt_bytes(spark, tmp_path):
+    rows = [(i, f"u{i}", "body " * 400 + str(i)) for i in range(300)] + [(9, "u9", "twice"), (9, "u9", "twice"), (None, None, None)]
+    recs = warc.records(spark.createDataFrame(rows, PAGES))
+    for name in "ab":
+        warc.write(recs, str(tmp_path / name))
+    assert {r["status"] for r in warc.fixity(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()} == {"intact"}
+    (part,) = (tmp_path / "b" / "warc_file=0").glob("part-*")
+    raw = part.read_bytes()
+    at = raw.index(b"body 40") - 1000
+    (tmp_path / "b" / "warc_file=0" / f".{part.name}.crc").unlink()
+    part.write_bytes(raw[:at] + b"X" + raw[at + 1 :])
+    bad = [(r["page_id"], r["status"]) for r in warc.fixity(spark, str(tmp_path / "a"), str(tmp_path / "b")).where("status <> 'intact'").collect()]
+    assert bad == [(40, "altered")]
+    # a header that can't be read: from there on the file is no record
+    at = raw.index(b"Content-Length", raw.index(b"urn:page:250"))
+    part.write_bytes(raw[:at] + b"Q" + raw[at + 1 :])
+    bad = sorted((r["page_id"] or -1, r["status"]) for r in warc.fixity(spark, str(tmp_path / "a"), str(tmp_path / "b")).where("status <> 'intact'").collect())
+    assert bad == [(-1, "malformed"), *((i, "lost") for i in range(250, 256))]
+    part.write_bytes(raw[:-10])  # cut
+    bad = sorted((r["page_id"] or -1, r["status"]) for r in warc.fixity(spark, str(tmp_path / "a"), str(tmp_path / "b")).where("status <> 'intact'").collect())
+    assert bad == [(-1, "malformed"), (255, "lost")]
+    # a record put in at the front moves the others, of this file only
+    extra = raw[: raw.index(b"WARC/1.0", 10)].replace(b"urn:page:0>", b"urn:page:7777>")
+    part.write_bytes(extra + raw)
+    got = warc.fixity(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
+    assert {(r["page_id"], r["status"]) for r in got if r["warc_file"] != 0} == {*((i, "intact") for i in range(256, 300)), (None, "intact")}
+    assert {r["status"] for r in got if r["warc_file"] == 0 and r["page_id"] != 7777} == {"moved"}
+    assert [(r["status"], r["offset"]) for r in got if r["page_id"] == 7777] == [("added", 0)]
+
+
+def test_audit_reads_nothing_below_equal_nodes(spark):
+    rows = [(f, o, 100, f"{f}-{o}") for f in (0, 1, 20) for o in range(0, 3_000_000, 60_000)]
+    bad = [(f, o, n, "x" if (f, o) == (1, 1_200_000) else d) for f, o, n, d in rows]
+    schema = "warc_file long, offset long, length long, record_sha256 string, replica boolean"
+    levels, offset_levels = warc.trees(spark.createDataFrame([(*r, k) for k, own in enumerate((rows, bad)) for r in own for k in [bool(k)]], schema))
+    assert offset_levels == 2 and len(levels) == 6 and levels[-1].count() == 2
+    assert [tuple(r) for r in warc.audit(levels, offset_levels).collect()] == [(1, 1_200_000)]
+
+
+def test_merkle_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    from skarn.llm import registry
+
+    rows = [(i, None if i % 9 == 0 else f"u{i}", None if i % 11 == 0 else "é" * (i % 13) + str(i)) for i in range(600)]
+    spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.op4_merkle(spark, str(tmp_path)).toPandas()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.sql(registry.OP4_SQL).df()[list(got.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    assert set(got["status"]) == {"intact", "altered", "lost", "moved"}
 
 
 # --- pipeline --------------------------------------------------------------------------------------
