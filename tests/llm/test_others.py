@@ -1,4 +1,4 @@
-"""SpotSigs, token counts, WARC audit, and the pipeline as a whole."""
+"""SpotSigs, token counts, WARC audit."""
 
 import hashlib
 import random
@@ -26,7 +26,7 @@ def test_edited_digests(spark):
     texts[400] = texts[10]
     rows = [*texts.items(), (900, None)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, fingerprint string").repartition(5)
-    got = {r["doc_id"]: r for r in spotsigs.edited_digests(docs).collect()}
+    got = {r["doc_id"]: r for r in spotsigs.edited_digests(docs, with_classes=True).collect()}
     assert len(got) == len(rows)
     all_texts, order = {i: t or "" for i, t in rows}, sorted(texts | {900: ""}, reverse=True)
     for k, i in enumerate(order):
@@ -257,30 +257,3 @@ def test_merkle_query_against_sql(spark, tmp_path):
     want = db.sql(registry.OP4_SQL).df()[list(got.columns)]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
     assert set(got["status"]) == {"intact", "altered", "lost", "moved"}
-
-
-# --- pipeline --------------------------------------------------------------------------------------
-
-
-def test_pipeline(spark, tmp_path):
-    import tiktoken  # noqa: F401  the pipeline's last stage is held against it in test_bpe
-
-    import corpus_pipeline
-
-    rng = random.Random(5)
-    clean = [prose(rng, 80) for _ in range(120)]
-    toxic = [prose(rng, 40) + " you stupid idiot, worthless idiot " + prose(rng, 40) for _ in range(60)]
-    bench = [prose(rng, 40) for _ in range(5)]
-    docs = [*enumerate(clean), *((1000 + i, t) for i, t in enumerate(toxic)), (2000, clean[3]), (2001, clean[4] + " mail me@there.org"), (2002, prose(rng, 50) + " " + bench[0] + " " + prose(rng, 50)), (2003, None), (2004, "")]
-    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
-    frame.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)] + [(1000 + i, 0, 1) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(range(120)) <= set(got) and not {i for i in got if 1000 <= i < 2000}
-    assert 2000 not in got and 2002 not in got and (2003 in got) != (2004 in got or 2003 not in got)
-    if 2001 in got:  # unless it is a near copy
-        assert got[2001]["decoded_sha256"] == hashlib.sha256((clean[4] + " mail [EMAIL]").encode()).hexdigest()
-    assert got[0]["decoded_sha256"] == hashlib.sha256(clean[0].encode()).hexdigest()
-    stages = [name for name, _ in corpus_pipeline.STAGES]
-    assert stages == ["toxicity", "simhash", "decontamination", "pii", "byte_bpe"]

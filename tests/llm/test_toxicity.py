@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 from skarn.llm import toxicity
 
@@ -40,3 +42,41 @@ def test_degenerate_labels(spark):
     one = spark.createDataFrame([(1, 0), (1, 0), (2, 0)], "doc_id long, toxic int")
     assert all(r["predicted"] == 0 for r in toxicity.classify(docs, one).collect())
     assert toxicity.classify(docs.limit(0), none).count() == 0
+
+
+def slow_buckets(text):
+    """Buckets of a text's n-grams, character by character."""
+    c = [32, *map(ord, " ".join((text or "").lower().split())), 32]
+    out, full = set(), (1 << 64) - 1
+    for n in toxicity.LENGTHS:
+        for at in range(len(c) - n + 1):
+            h = sum(c[at + k] * toxicity._PRIMES[k] for k in range(n)) & full
+            out.add(((h ^ h >> 29) * (0xBF58476D1CE4E5B9 + 2 * n) & full) >> (64 - toxicity.BUCKET_BITS))
+    return out
+
+
+def slow_score(text, model):
+    x = model.intercept + sum(float(model.weight[b]) for b in slow_buckets(text))
+    return 1 / (1 + math.exp(-max(-500, min(500, x))))
+
+
+def test_ratios_and_scores_against_plain_counts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [*corpus(120), (500, None, 0), (501, "", 1), (502, "É\u0130  x\ny", 0), (503, "long " * 40_000, 0)]
+    train = spark.createDataFrame([(t or "", float(y)) for _, t, y in rows], "text string, label double").repartition(3)
+    ratio, held = toxicity.log_count_ratios(train, "text", "label")
+    count = [Counter(), Counter()]
+    for _, t, y in rows:
+        count[y].update(slow_buckets(t))
+    some = [b for b in count[0] | count[1] if count[0][b] + count[1][b] >= toxicity.LEAST_DOCUMENTS]
+    size = 1 << toxicity.BUCKET_BITS
+    total = [sum(c[b] for b in some) + toxicity.SMOOTHING * size for c in count]
+    assert held.sum() == sum(c[b] for c in count for b in some)
+    for b in some:
+        want = math.log((count[1][b] + toxicity.SMOOTHING) / total[1]) - math.log((count[0][b] + toxicity.SMOOTHING) / total[0])
+        assert abs(ratio[b] - want) < 1e-9
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    got = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", toxicity.score(F.col("text"), model).alias("p"))
+    texts = {i: t for i, t, _ in rows}
+    assert all(abs(r["p"] - slow_score(texts[r["doc_id"]], model)) < 1e-5 for r in got.collect())
