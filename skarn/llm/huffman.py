@@ -12,6 +12,7 @@ import functools
 import heapq
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,8 +34,10 @@ STRIDE = 256
 BLOCK_IDS = 1 << 16
 #: Buckets of rows without an id.
 NULL_BUCKETS = 256
-#: Words in each of the two generations that a worker remembers, and texts encoded at a time.
-WORDS, SLICE = 250_000, 1024
+#: Words in each of the two generations that a worker remembers, and texts encoded at a time at most.
+WORDS, SLICE = 250_000, 8192
+#: Bytes of texts encoded at a time: the more, the more words come again.
+SLICE_TEXT = 4 << 20
 #: Words encoded as one text, and what stands between them there.
 JOINED, MARK = 256, "\x01"
 #: Texts whose capitals count before they are lowered: names of special tokens, and marks that compose with one case only.
@@ -45,6 +48,23 @@ _BLOCK = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("blo
 # --- ids -----------------------------------------------------------------------------------------
 
 
+def _rules(tokenizer: dict) -> tuple[bool, bool]:
+    """(by_word, lowered): whether words between white space can be encoded one by one, and whether they are lowered first."""
+    normalizers, parts = ((r or {}).get(many, [r] if r else []) for r, many in ((tokenizer["normalizer"], "normalizers"), (tokenizer["pre_tokenizer"], "pretokenizers")))
+    known = [{"type": "NFC"}, {"type": "Lowercase"}, blank := {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+    splits = [p for p in parts if p["type"] == "Split"]
+    rest = [p for p in parts if p["type"] != "Split"]
+    # white space becomes one blank; what the one pattern doesn't match is removed, a blank always, and nothing else parts or adds
+    plain = blank in normalizers and all(n in known for n in normalizers)
+    plain = plain and len(splits) == 1 and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and "Regex" in splits[0]["pattern"]
+    plain = plain and all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in rest)
+    kinds = splits[0]["pattern"]["Regex"].split("|") if plain else []
+    classes = [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
+    # letters, numbers, other signs, and contractions: no alternative looks around or holds a blank
+    by_word = plain and all(k in classes or re.fullmatch("'[a-z]+", k) for k in kinds)
+    return by_word, by_word and {"type": "Lowercase"} in normalizers
+
+
 class _WordIds:
     """Ids of texts, by their words: white space always parts this tokenizer's input, so a word is encoded once."""
 
@@ -54,11 +74,7 @@ class _WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        rule = json.loads(tokenizer_json)
-        parts = json.dumps([rule["normalizer"], rule["pre_tokenizer"]])
-        # sound where white space is normalised to one blank, then never part of a pre-token, and nothing looks across it
-        self.by_word = '"invert": true' in parts and '"behavior": "Removed"' in parts and '"content": " "' in parts
-        self.lowered = self.by_word and '"Lowercase"' in parts
+        self.by_word, self.lowered = _rules(json.loads(tokenizer_json))
         mark = self.tokenizer.encode(f" {MARK} ", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.young: dict[str, bytes] = {}
@@ -95,7 +111,7 @@ class _WordIds:
             texts = pc.if_else(pc.match_substring_regex(texts, _CASED), texts, pc.ascii_lower(texts))
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         of = list(map(self.young.get, distinct))
         missing = [i for i, x in enumerate(of) if x is None]
         for i in missing:
@@ -153,7 +169,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _word_ids(tokenizer_json).encode
-        for own in slices(batches, 1, SLICE):
+        for own in slices(batches, 1, SLICE, SLICE_TEXT):
             sizes, ids = encode(own.column(1))
             ids = np.insert(ids, np.cumsum(sizes), end_id)
             yield pa.RecordBatch.from_arrays([own.column(0), _packed(ids, sizes + 1, width)], names=[id_col, "ids"])

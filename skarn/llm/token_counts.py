@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         for batch in slices(batches, 1, SLICE):
             words = pc.ascii_split_whitespace(batch.column(1))
             coded = words.flatten().dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             # white space at a text's end leaves an empty word there
             sizes = np.array([0 if not w else 1 for w in distinct], np.int64)
             tokens = np.array(count(distinct), np.int64) * sizes
