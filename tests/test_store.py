@@ -1,8 +1,11 @@
+import contextlib
 import inspect
 import json
 import random
 import sqlite3
 import struct
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -218,6 +221,42 @@ def test_images_and_embeddings(spark, tmp_path):
         embed.NetVlad().setup()
 
 
+def test_netvlad_with_stand_ins(monkeypatch):
+    class Vector(np.ndarray):
+        def to(self, device):
+            return self
+
+        def cpu(self):
+            return self
+
+        def numpy(self):
+            return np.asarray(self)
+
+    class Model:
+        def __init__(self, conf):
+            self.conf = conf
+
+        def eval(self):
+            return self
+
+        to = lambda self, device: self
+
+        def __call__(self, data):
+            x = data["image"]
+            assert x.shape == (1, 3, 2, 4) and x.dtype == np.float32
+            return {"global_descriptor": x.mean(axis=(2, 3)) * self.conf["scale"]}
+
+    torch = types.ModuleType("torch")
+    torch.no_grad, torch.from_numpy = contextlib.nullcontext, lambda x: x.view(Vector)
+    netvlad = types.ModuleType("hloc.extractors.netvlad")
+    netvlad.NetVLAD = Model
+    for name, module in {"torch": torch, "hloc": types.ModuleType("hloc"), "hloc.extractors": types.ModuleType("hloc.extractors"), "hloc.extractors.netvlad": netvlad}.items():
+        monkeypatch.setitem(sys.modules, name, module)
+    model = embed.NetVlad({"scale": 2.0}).to("cpu")
+    model.setup()
+    assert np.allclose(model.embed_image(np.full((2, 4, 3), (255, 51, 0), np.uint8)), [2.0, 0.4, 0.0])
+
+
 def test_exif():
     def ifd(*entries, order="<"):
         return struct.pack(order + "H", len(entries)) + b"".join(struct.pack(order + "HHI", t, k, 1) + (struct.pack(order + "HH", v, 0) if k == 3 else struct.pack(order + "I", v)) for t, k, v in entries) + b"\0" * 4
