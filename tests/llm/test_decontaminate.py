@@ -70,6 +70,7 @@ def test_wand_finds_what_scoring_all_finds():
 def test_shards_and_answers(spark, monkeypatch):
     docs, items = fixture()
     monkeypatch.setattr(d, "SHARD_ITEMS", 7)
+    monkeypatch.setattr(d, "PASS_POSTINGS", 900)  # several passes over the texts
     rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([r[:2] for r in items], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in d.leaks(rows, bench).collect()} == brute(docs, items)
     own = spark.createDataFrame([(1, "what is the name of the old red bridge", "it is called the golden bird bridge")], "item_id long, text string, answer string")

@@ -77,6 +77,43 @@ def test_contexts_of_addresses_and_labels(spark):
     assert all(got[i].count(":") == 2 for i in range(16))
 
 
+def test_hidden_identifiers_are_found(spark):
+    rng = random.Random(12)
+    filler = ["".join(rng.choice("abdeghiklmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+
+    def some(n):
+        return " ".join(rng.choice(filler) for _ in range(n))
+
+    def digits(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    frames = {
+        "phone": ["you can reach us at {} during the day", "our office phone number is {} for questions", "please call back on {} before noon"],
+        "email": ["send your reply to {} by friday", "write an email to {} for details", "my address is {} these days"],
+        "ip": ["the host answered from address {} on port", "login failed for client ip={} again tonight"],
+    }
+    seen = {"phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}", "email": lambda: f"{rng.choice(filler)}.{digits(2)}@{rng.choice(filler)}.example.com", "ip": lambda: ".".join(str(rng.randint(1, 250)) for _ in range(4))}
+    hidden = {"phone": lambda: f"0{digits(3)}-555-{digits(4)}", "email": lambda: f"{rng.choice(filler)}.{digits(2)}(at){rng.choice(filler)}.example.com", "ip": lambda: "-".join(str(rng.randint(1, 250)) for _ in range(4)) + "-77"}
+    texts, want = [], set()
+    for kind, own in frames.items():
+        for n in range(90):
+            frame = own[n % len(own)]
+            made = (seen if n < 60 else hidden)[kind]()
+            before = some(rng.randint(0, 30)) + " " + frame.split("{}")[0]
+            if n >= 60:
+                want.add((len(texts), f"{kind}:{len(before)}:{len(before) + len(made)}"))
+            texts.append(before + made + frame.split("{}")[1] + " " + some(rng.randint(0, 30)))
+    # numbers that are none, in contexts of their own and in any
+    for n in range(200):
+        texts.append(f"{some(9)} " + rng.choice(["order number {} was sent", "in the year {} they came", "it costs {} in all", "{} and", "see page {} there"]).format(digits(rng.choice([4, 5, 8, 11]))) + f" {some(9)}")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = set()
+    for r in pii.digests(rows).collect():
+        base = {f"{k}:{a}:{b}" for k, a, b in brute(texts[r["doc_id"]])}
+        got |= {(r["doc_id"], x) for x in r["spans"].split(",") if x and x not in base}
+    assert len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.9 * len(got), (len(want), len(got), len(want & got), sorted(want - got)[:9], sorted(got - want)[:9])
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é mail x@y.zz or 10.0.0.1.", "en"), (1, "é mail x@y.zz or 10.0.0.1.", "en"), (2, None, "en"), (3, "none", None)], "doc_id long, text string, kind string")
     got = sorted(map(tuple, pii.redacted(docs).collect()), key=str)
