@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_by_key, slices, written
+from .common import joined_by_key, removed, slices, written
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 400, 100
@@ -222,7 +222,11 @@ def repeated(rows: DataFrame) -> DataFrame:
     bytes_ = written(_contexts(rows, joined_by_key(open_, sizes, ["gram"])), "bytes")
     again = _sorted_groups(bytes_.where("not wide")).unionByName(_hashed_groups(bytes_.where("wide")))
     parts = written(whole.unionByName(again.select(*context, F.lit(1).cast("long").alias("n"), "first", "last")), "parts")
-    return joined_by_key(some, parts, context).select("doc", "hash", (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last"))
+    found = joined_by_key(some, parts, context).select("doc", "hash", (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last"))
+    found = written(found, "repeats")
+    for table in (every, shared, some, distinct, sizes, bytes_, parts):
+        removed(rows.sparkSession, table)
+    return found
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +238,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read. Ids must be whole numbers (or null).
     """
     rows = _keyed(docs, id_col, text_col)
-    found = written(repeated(rows), "repeats")
+    found = repeated(rows)
     raw = F.col("text").cast("binary")
     plain = _of(rows, found, "left_anti").select("doc", raw.alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
 
