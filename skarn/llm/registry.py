@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, pii, simhash, spotsigs, substrings, token_counts, toxicity, warc
+from . import bpe, decontaminate, huffman, importance, main_text, oracles, pii, simhash, spotsigs, substrings, token_counts, toxicity, variants, warc
 from .common import new_path, table
 
 
@@ -54,8 +54,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_merkle": op4_merkle, "op5_huffman": op5_huffman, "op6_decontaminate": op6_decontaminate, "op7_suffix_array": op7_suffix_array, "op8_token_counts": op8_token_counts, "op9_spotsigs": op9_spotsigs, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_merkle": op4_merkle, "op5_huffman": op5_huffman, "op6_decontaminate": op6_decontaminate, "op7_suffix_array": op7_suffix_array, "op8_token_counts": op8_token_counts, "op9_spotsigs": op9_spotsigs, "op10_byte_bpe": op10_byte_bpe, "op11_main_text": op11_main_text, "op12_importance": op12_importance, "op13_variants": op13_variants}
 
 
 _CRLF = "chr(13) || chr(10)"
@@ -75,5 +87,5 @@ FROM a LEFT JOIN b USING (page_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    """For op4 alone: the others' fingerprints, models, tokenizers and searches are not SQL; tests hold them against brute force."""
-    return {"op4_merkle": OP4_SQL}
+    """The others' fingerprints, models, tokenizers and searches are not SQL; tests hold them against brute force."""
+    return {"op4_merkle": OP4_SQL, "op11_main_text": oracles.OP11_SQL, "op12_importance": oracles.OP12_SQL, "op13_variants": oracles.OP13_SQL}
