@@ -1,107 +1,32 @@
-"""Scene store: six tables as Parquet, in versions that a manifest names.
+"""Scene store: six tables in versions, with the rules of each table's rows and its reads by key.
 
-A manifest lists, for all tables, the folders that make a version and the next number that a table
-gives out. It is created, never overwritten, so of two writers of one version the second fails, and
-readers keep what they read. What a ``transaction`` writes gets one manifest at its end, or none.
-Appending adds a folder; replacing and deleting write the table anew. Parquet enforces neither keys
-nor ranges, so each write checks them.
+Parquet enforces neither keys nor ranges, so each write checks them.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..sources import hadoop
 from ..sources.schema import KEYPOINT_COLUMNS, MAX_ID, NUMBERED, TABLES, UNIQUE
 from .tabular import with_ids
+from .versions import ConstraintError, VersionedTables, none_of
 
+__all__ = ["ConstraintError", "SceneStore", "none_of", "valid_layout"]
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
-class ConstraintError(ValueError):
-    """A write would break a key, a range or a shape."""
-
-
-def none_of(df: DataFrame, bad: Column, message: str) -> None:
-    """Raise if any row is ``bad``."""
-    found = df.where(bad).limit(1).collect()
-    if found:
-        raise ConstraintError(f"{message}: {found[0].asDict()}")
-
-
 def valid_layout(cols: str) -> Column:
     """Whether keypoints may have so many columns."""
     return F.col(cols).isin(*KEYPOINT_COLUMNS)
 
 
-class SceneStore:
+class SceneStore(VersionedTables):
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self._open: dict | None = None  # the state within a transaction
-
-    # --- versions --------------------------------------------------------------------------------
-
-    def _state(self) -> dict:
-        """{"version", "tables": {name: {"folders", "next_id"}}} as it is now."""
-        if self._open is not None:
-            return self._open
-        names = [n for n in hadoop.children(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
-        return json.loads(hadoop.read_text(self.spark, f"{self.root}/manifests/{names[-1]}")) if names else {"version": -1, "tables": {}}
-
-    def exists(self) -> bool:
-        return self._state()["version"] >= 0
-
-    def _last(self, table: str) -> dict:
-        found = self._state()["tables"].get(table)
-        if found is None:
-            raise ValueError(f"{self.root} has no table {table}; create_tables() makes it")
-        return found
-
-    @contextmanager
-    def transaction(self) -> Iterator[None]:
-        """All writes within become visible to others together at the end; if anything raises, none of them does."""
-        if self._open is not None:  # within another one
-            yield
-            return
-        before = self._state()
-        self._open = before
-        try:
-            yield
-            after = self._open
-        finally:
-            self._open = None
-        if after["tables"] != before["tables"]:
-            text = json.dumps(after | {"version": before["version"] + 1})
-            hadoop.create_text(self.spark, f"{self.root}/manifests/{before['version'] + 1:010d}.json", text)
-
-    def _commit(self, table: str, folders: list[str], next_id: int) -> None:
-        with self.transaction():
-            self._open = self._open | {"tables": self._open["tables"] | {table: {"folders": folders, "next_id": next_id}}}
-
-    def _save(self, table: str, df: DataFrame) -> str:
-        folder = f"data-{uuid.uuid4().hex}"
-        df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table]]).write.parquet(f"{self.root}/{table}/{folder}")
-        return folder
-
-    def create_tables(self, *tables: str) -> None:
-        """Empty tables, all six by default; those that exist stay as they are."""
-        with self.transaction():
-            for t in tables or TABLES:
-                if t not in self._state()["tables"]:
-                    self._commit(t, [], 1)
-
-    def table(self, name: str) -> DataFrame:
-        folders = self._last(name)["folders"]
-        if not folders:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{name}/{f}" for f in folders))
+        super().__init__(spark, root, TABLES, UNIQUE)
 
     def register_views(self) -> None:
         """The tables as temporary views, for any SQL."""
@@ -115,29 +40,8 @@ class SceneStore:
     # --- writes ----------------------------------------------------------------------------------
 
     def _append(self, table: str, df: DataFrame) -> None:
-        last = self._last(table)
-        folder = self._save(table, df)
-        new = self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{folder}")
-        schema = TABLES[table]
-        none_of(new, F.exists(F.array(*(F.col(f.name).isNull() for f in schema if not f.nullable)), lambda x: x), f"{table}: a required value is null")
-        for key in UNIQUE[table]:
-            none_of(new.groupBy(key).count(), F.col("count") > 1, f"{table}: {key} repeats")
-            if last["folders"]:
-                none_of(new.select(key).join(self.table(table).select(key), key, "left_semi"), F.lit(True), f"{table}: {key} exists")
-        if table == "images":
-            none_of(new, ~ids.valid_image_id("image_id"), "images: image_id out of range")
-        next_id = last["next_id"]
-        if table in NUMBERED:
-            next_id = max(next_id, (new.agg(F.max(NUMBERED[table])).first()[0] or 0) + 1)
-        self._commit(table, [*last["folders"], folder], next_id)
-
-    def next_id(self, table: str) -> int:
-        """The number that the table gives out next."""
-        return self._last(table)["next_id"]
-
-    def _rewrite(self, table: str, df: DataFrame) -> None:
-        last = self._last(table)
-        self._commit(table, [self._save(table, df)], last["next_id"])
+        rules = {"image_id out of range": ~ids.valid_image_id("image_id")} if table == "images" else {}
+        self.append(table, df, NUMBERED.get(table), rules)
 
     def _numbered(self, table: str, df: DataFrame, order: Sequence[str]) -> DataFrame:
         """Rows without a number get the next ones, in ``order``; given numbers stay and are never given again."""
@@ -195,31 +99,18 @@ class SceneStore:
         """(image_id, data array<array>), kept modulo 256."""
         self._append("descriptors", self._descriptors(df))
 
-    def _replace(self, table: str, new: DataFrame) -> None:
-        none_of(new.groupBy("image_id").count(), F.col("count") > 1, f"{table}: image_id repeats")
-        old = self.table(table).join(new.select("image_id"), "image_id", "left_anti")
-        self._rewrite(table, old.unionByName(new.select(old.columns)))
-
     def replace_keypoints(self, df: DataFrame) -> None:
-        self._replace("keypoints", self._keypoints(df).select(TABLES["keypoints"].names))
+        self.replace("keypoints", self._keypoints(df))
 
     def replace_descriptors(self, df: DataFrame) -> None:
-        self._replace("descriptors", self._descriptors(df).select(TABLES["descriptors"].names))
-
-    def _delete(self, table: str, image_ids: int | Sequence[int] | DataFrame) -> None:
-        old = self.table(table)
-        if isinstance(image_ids, DataFrame):
-            kept = old.join(image_ids.select("image_id"), "image_id", "left_anti")
-        else:
-            kept = old.where(~F.col("image_id").isin([image_ids] if isinstance(image_ids, int) else list(image_ids)))
-        self._rewrite(table, kept)
+        self.replace("descriptors", self._descriptors(df))
 
     def delete_keypoints(self, image_ids: int | Sequence[int] | DataFrame) -> None:
         """Rows of these images go; ids that have none don't matter."""
-        self._delete("keypoints", image_ids)
+        self.delete("keypoints", [image_ids] if isinstance(image_ids, int) else image_ids)
 
     def delete_descriptors(self, image_ids: int | Sequence[int] | DataFrame) -> None:
-        self._delete("descriptors", image_ids)
+        self.delete("descriptors", [image_ids] if isinstance(image_ids, int) else image_ids)
 
     def _pairs(self, df: DataFrame) -> DataFrame:
         indices = F.transform(ids.canonical("image_id1", "image_id2", "matches"), lambda m: F.struct(ids.uint32(m["idx1"]).alias("idx1"), ids.uint32(m["idx2"]).alias("idx2")))
@@ -241,11 +132,10 @@ class SceneStore:
     # --- reads -----------------------------------------------------------------------------------
 
     def rows_of(self, table: str, image_ids: int | Sequence[int] | DataFrame) -> DataFrame:
-        """Rows of these images; few ids are pushed down to the files, a DataFrame (image_id) is joined."""
-        rows = self.table(table)
+        """Rows of these images: only files that can hold one of a few ids are opened, a DataFrame (image_id) is joined."""
         if isinstance(image_ids, DataFrame):
-            return rows.join(image_ids.select("image_id"), "image_id", "left_semi")
-        return rows.where(F.col("image_id").isin([image_ids] if isinstance(image_ids, int) else list(image_ids)))
+            return self.table(table).join(image_ids.select("image_id"), "image_id", "left_semi")
+        return self.rows_by_key(table, [image_ids] if isinstance(image_ids, int) else image_ids)
 
     def matches_of(self, pairs: DataFrame) -> DataFrame:
         """Rows of the pairs (image_id1, image_id2) in whatever order they are given, always as (smaller, greater id)."""
@@ -266,7 +156,7 @@ class SceneStore:
     def select_matches(self, image_id1: int, image_id2: int) -> list[Row] | None:
         """Matches of a pair in whatever order it is given, always as (smaller, greater id); None without any."""
         low, high = sorted((image_id1, image_id2))
-        row = self.table("matches").where(F.col("pair_id") == low * MAX_ID + high).first()
+        row = self.rows_by_key("matches", [low * MAX_ID + high]).first()
         return row and row["matches"]
 
     def select_image(self, image_id: int) -> dict:

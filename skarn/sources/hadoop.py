@@ -62,3 +62,9 @@ def create_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A file, or a folder and all below it, goes; one that isn't there doesn't matter."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
