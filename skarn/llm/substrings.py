@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_by_key, removed, slices, written
+from .common import HOT_KEYS, joined_by_key, removed, slices, written
 from .suffixes import suffix_array
 
 LENGTH, GRAM = 400, 100
@@ -30,7 +30,9 @@ BROADCAST_ROWS = 500_000
 #: Bytes searched for anchors at a time.
 BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
-_ANCHOR = "doc long, hash int, gram long, c1 long, c2 long, a int, run int"
+#: What tells texts apart.
+TEXT = ["t1", "t2"]
+_ANCHOR = "t1 long, t2 long, gram long, c1 long, c2 long, a int, run int"
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,47 +78,73 @@ def _runs(raw: bytes) -> Iterator[tuple[int, int, int]]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, t1, t2, text): two 64-bit hashes tell texts apart, whatever their ids."""
     text = F.coalesce(text_col, F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text).alias("hash"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(LENGTH), text).alias("t2"), text.alias("text"))
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """(t1, t2, n, one): texts that more rows than one have, how many, and the least of their ids. All their windows are repeated."""
+    return rows.where(F.octet_length("text") >= LENGTH).groupBy(*TEXT).agg(F.count("*").alias("n"), F.min("doc").alias("one")).where("n > 1")
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """(doc, hash, gram, c1, c2, a, run): each anchor's hash, its context's 128 bits, its first window and how many follow."""
+    """(t1, t2, gram, c1, c2, a, run): each anchor's hash, its context's 128 bits, its first window and how many follow.
+
+    A text that a task meets again and again has two rows for each anchor there: more would tell nothing more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1024):
+        met: dict[tuple[int, int], int] = {}
+        for batch in slices(batches, 3, 1024):
             out: list[list[int]] = [[] for _ in range(7)]
-            for doc, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t1, t2, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 raw = text.encode("utf-8")
                 if len(raw) < LENGTH:
                     continue
+                times = met[t1, t2] = met.get((t1, t2), 0) + 1
+                if times > 2:
+                    continue
                 for gram, a, b in _runs(raw):
                     c = xxhash.xxh3_128_intdigest(raw[a : b + LENGTH])
-                    for column, x in zip(out, (doc, key, gram, (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63), a, b - a), strict=True):
+                    for column, x in zip(out, (t1, t2, gram, (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63), a, b - a), strict=True):
                         column.append(x)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc", "hash", "gram", "c1", "c2", "a", "run"])
+            types = [pa.int64()] * 5 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["t1", "t2", "gram", "c1", "c2", "a", "run"])
 
     return rows.mapInArrow(run, _ANCHOR)
 
 
-def _of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """``rows`` whose text is (left_semi) or isn't (left_anti) among ``keys`` (doc, hash)."""
-    keys = keys.select(F.col("doc").alias("d"), F.col("hash").alias("h")).distinct()
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(keys) if few else keys, rows["doc"].eqNullSafe(F.col("d")) & (rows["hash"] == F.col("h")), how)
+def _few(keys: DataFrame) -> bool:
+    return keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
 
+def _of(rows: DataFrame, keys: DataFrame, how: str, hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` whose text is (left_semi) or isn't (left_anti) among ``keys`` (t1, t2). ``hot``: for left_anti, texts of very many rows, which are
+    left out by broadcast first."""
+    if _few(keys):
+        return rows.join(F.broadcast(keys), TEXT, how)
+    return (rows if hot is None else rows.join(F.broadcast(hot), TEXT, "left_anti")).join(keys, TEXT, how)
 
-def _with(rows: DataFrame, found: DataFrame, what: str) -> DataFrame:
-    """The texts in ``found`` with their list of ``what``; a text's own list is as long as the text at most."""
-    lists = found.groupBy(F.col("doc").alias("d"), F.col("hash").alias("h")).agg(F.collect_list(what).alias("list"))
-    lists = written(lists, "lists")
-    few = _of(rows, lists.select(F.col("d").alias("doc"), F.col("h").alias("hash")), "left_semi")
-    return few.join(lists, few["doc"].eqNullSafe(F.col("d")) & (few["hash"] == F.col("h"))).select("doc", "hash", "text", "list")
 
+def _once_a_task(rows: DataFrame) -> DataFrame:
+    """(t1, t2, text), each text once for each task that has it."""
 
-def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (doc, hash, gram, c1, c2, a, run, once, wide) with the bytes of each context."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
+        for batch in slices(batches, 2, 1024):
+            new = []
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key not in met:
+                    met.add(key)
+                    new.append(k)
+            yield batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
+
+    return rows.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, text string")
+
+
+def _contexts(rows: DataFrame, wanted: DataFrame, again: DataFrame) -> DataFrame:
+    """``wanted`` (t1, t2, gram, c1, c2, a, run, once, wide) with the bytes of each context. Of the texts in ``again`` (copies) the rows of
+    the least id are asked, and those once a task, so a context may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 256):
@@ -126,7 +154,10 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [x | {"bytes": raw[x["a"] : x["a"] + x["run"] + LENGTH]} for x in own]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("gram", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("run", pa.int32()), ("once", pa.bool_()), ("wide", pa.bool_()), ("bytes", pa.binary())]))
 
-    return _with(rows, wanted, F.struct("gram", "c1", "c2", "a", "run", "once", "wide")).mapInArrow(run, "gram long, c1 long, c2 long, run int, once boolean, wide boolean, bytes binary")
+    lists = written(wanted.groupBy(*TEXT).agg(F.collect_list(F.struct("gram", "c1", "c2", "a", "run", "once", "wide")).alias("list")), "lists")
+    keys = lists.select(*TEXT).join(again.select(*TEXT, "one"), TEXT, "left").select(*TEXT, F.col("one").alias("first_id"), F.lit(True).alias("there"))
+    asked = rows.join(F.broadcast(keys) if _few(keys) else keys, TEXT).where(F.col("first_id").isNull() | (F.col("doc") == F.col("first_id")))
+    return _once_a_task(asked).join(lists, TEXT).select(*TEXT, "text", "list").mapInArrow(run, "gram long, c1 long, c2 long, run int, once boolean, wide boolean, bytes binary")
 
 
 def _equal_windows(contexts: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -181,7 +212,10 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((r["gram"], r) for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
         for gram, own in groupby(rows, lambda x: x[0]):
-            group = [r for _, r in own]
+            group: list[dict] = []
+            for _, r in own:  # a context that comes more than once counts once here
+                if not group or (r["c1"], r["c2"]) != (group[-1]["c1"], group[-1]["c2"]):
+                    group.append(r)
             found = _equal_windows([r["bytes"] for r in group])
             out = [{"gram": gram, "c1": r["c1"], "c2": r["c2"], "first": x, "last": y} for r, ranges in zip(group, found, strict=True) if r["once"] for x, y in ranges]
             if out:
@@ -207,22 +241,24 @@ def _hashed_groups(contexts: DataFrame) -> DataFrame:
     return joined_by_key(windows.where("once"), twice, ["window"]).select("gram", "c1", "c2", F.col("place").alias("first"), F.col("place").alias("last"))
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """(doc, hash, first, last): ranges of places at which a string of LENGTH bytes starts that starts elsewhere too."""
+def repeated(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """(t1, t2, first, last): ranges of places at which a string of LENGTH bytes starts that starts elsewhere too, in texts that one row has;
+    those of more are ``again``, and repeated as a whole."""
     every = written(anchors(rows), "anchors")
     shared = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("c1").alias("x"), F.max("c1").alias("y")).where("n > 1")
     shared = written(shared.select("gram", "n", (F.col("x") != F.col("y")).alias("several")), "grams")
     some = written(joined_by_key(every, shared, ["gram"]), "shared")
     context = ["gram", "c1", "c2"]
-    distinct = some.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "a", "run")).alias("one"), F.first("several").alias("several"))
+    distinct = some.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct(*TEXT, "a", "run")).alias("one"), F.first("several").alias("several"))
     distinct = written(distinct.select(*context, "n", "one.*", "several"), "contexts")
     whole = distinct.where("n > 1").select(*context, "n", F.lit(0).alias("first"), F.col("run").alias("last"))
     open_ = distinct.where("several").withColumn("once", F.col("n") == 1).drop("n", "several")
     sizes = written(open_.groupBy("gram").agg(F.count("*").alias("n")).withColumn("wide", F.col("n") > SORTED_CONTEXTS), "sizes")
-    bytes_ = written(_contexts(rows, joined_by_key(open_, sizes, ["gram"])), "bytes")
-    again = _sorted_groups(bytes_.where("not wide")).unionByName(_hashed_groups(bytes_.where("wide")))
-    parts = written(whole.unionByName(again.select(*context, F.lit(1).cast("long").alias("n"), "first", "last")), "parts")
-    found = joined_by_key(some, parts, context).select("doc", "hash", (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last"))
+    bytes_ = written(_contexts(rows, joined_by_key(open_, sizes, ["gram"]), again), "bytes")
+    more = _sorted_groups(bytes_.where("not wide")).unionByName(_hashed_groups(bytes_.where("wide")))
+    parts = written(whole.unionByName(more.select(*context, F.lit(1).cast("long").alias("n"), "first", "last")), "parts")
+    alone = _of(some, again.select(*TEXT), "left_anti")
+    found = joined_by_key(alone, parts, context).select(*TEXT, (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("last")).alias("last"))
     found = written(found, "repeats")
     for table in (every, shared, some, distinct, sizes, bytes_, parts):
         removed(rows.sparkSession, table)
@@ -234,19 +270,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kept: the UTF-8 bytes of the text without each byte that a string of LENGTH bytes covers which
     starts anywhere else too, in the same text or another; judged on the texts as they came. Null
-    and empty texts have no bytes. Rows that repeat an id and a text are each other's repeats.
-    Other columns are not read. Ids must be whole numbers (or null).
+    and empty texts have no bytes. Rows with equal texts are each other's repeats, whatever their ids, which may be
+    null or repeat. Other columns are not read. Ids must be whole numbers (or null).
     """
     rows = _keyed(docs, id_col, text_col)
-    found = repeated(rows)
-    raw = F.col("text").cast("binary")
-    plain = _of(rows, found, "left_anti").select("doc", raw.alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    again = written(copies(rows), "copies")
+    found = repeated(rows, again)
+    raw, size = F.col("text").cast("binary"), F.octet_length("text").cast("long")
+    none = F.lit(0).cast("long")
+    hot = again.orderBy(F.desc("n")).limit(HOT_KEYS).select(*TEXT)
+    touched = again.select(*TEXT).unionByName(found.select(*TEXT).distinct())
+    plain = _of(rows, touched, "left_anti", hot).select("doc", raw.alias("kept"), size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"))
+    copied = joined_by_key(rows, again, TEXT) if not _few(again) else rows.join(F.broadcast(again.select(*TEXT)), TEXT)
+    copied = copied.select("doc", F.lit(b"").alias("kept"), size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
-        for batch in slices(batches, 2, 256):
+        for batch in slices(batches, 1, 256):
             out = []
-            for doc, text, ranges in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = text.encode("utf-8")
                 kept, at, spans, start, end = [], 0, 0, -1, -1
                 for first, last in sorted((x["first"], x["last"]) for x in ranges):
@@ -261,8 +303,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append({"doc": doc, "kept": left, "n_bytes": len(own), "n_removed": len(own) - len(left), "n_spans": spans + 1})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    cut = _with(rows, found, F.struct("first", "last")).mapInArrow(run, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
-    return plain.unionByName(cut).withColumnRenamed("doc", id_col)
+    # a text here is one row's, and its list is as long as the text at most
+    lists = written(found.groupBy(*TEXT).agg(F.collect_list(F.struct("first", "last")).alias("list")), "lists")
+    cut = _of(rows, lists.select(*TEXT), "left_semi").join(lists, TEXT).select("doc", "text", "list")
+    cut = cut.mapInArrow(run, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return plain.unionByName(copied).unionByName(cut).withColumnRenamed("doc", id_col)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
