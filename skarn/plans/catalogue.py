@@ -16,7 +16,7 @@ from ..functions import geometry as g
 from ..operators import embed, ingest, scene, tabular
 from ..operators.store import SceneStore, valid_layout
 from ..sources import files, hadoop
-from ..sources.schema import MAX_ID, TRAIN_LABELS, columns
+from ..sources.schema import MAX_ID, columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -271,6 +271,25 @@ def keypoints_unpack(spark, d):
     return _exploded(_keypoints(spark, d))
 
 
+@query(f"SELECT user_id AS image_id, {_XY} FROM events")
+def stored_keypoints(spark, d):
+    """As keypoints_unpack, from the store."""
+    return _exploded(_stored_keypoints(spark, d).table("keypoints"))
+
+
+@query(f"SELECT user_id AS image_id, {_XY} FROM events WHERE user_id % 7 <> 1 UNION ALL SELECT DISTINCT user_id + 1000000, CAST(0 AS INTEGER), 3.0::DOUBLE, 4.0::DOUBLE FROM events")
+def compact_kp(spark, d):
+    """Keypoints in two folders, a third of new images, some deleted, and all folded into one folder."""
+    store, rows = _store(spark), _keypoints(spark, d)
+    store.add_keypoints(rows.where("image_id % 2 = 0"))
+    store.add_keypoints(rows.where("image_id % 2 = 1"))
+    store.add_keypoints(rows.select((F.col("image_id") + 1_000_000).alias("image_id"), F.array(F.array(F.lit(3.0), F.lit(4.0))).alias("data")))
+    store.delete_keypoints(rows.where("image_id % 7 = 1").select("image_id"))
+    store.compact("keypoints")
+    store.vacuum()
+    return _exploded(store.table("keypoints"))
+
+
 @query("SELECT p_partkey AS id, CAST(p_size % 8 AS INTEGER) AS cols, p_size % 8 IN (2, 4, 6) AS ok FROM part")
 def keypoints_format_check(spark, d):
     rows = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 8).cast("int").alias("cols"))
@@ -521,6 +540,8 @@ def frustum_faces(spark, d):
 # --- options, catalogues, pixels, files ------------------------------------------------------------
 
 _GROUPS = ("click", "view")
+#: The label table's columns, of customers.
+_LABELS = {"dataset": "c_nationkey", "scene": "c_mktsegment", "image": "c_name"}
 
 
 @query("SELECT key, CASE WHEN split_part(key, ':', 1) IN ('click', 'view') THEN split_part(key, ':', 1) END AS grp, CASE WHEN split_part(key, ':', 1) IN ('click', 'view') THEN substr(key, strpos(key, ':') + 1) ELSE key END AS name, n FROM (SELECT event_type || ':n' || (user_id % 2) || ':m' AS key, count(*) AS n FROM events GROUP BY 1)")
@@ -530,9 +551,13 @@ def option_groups(spark, d):
     return rows.select("key", options.option_group(F.col("key"), _GROUPS).alias("grp"), options.option_name(F.col("key"), _GROUPS).alias("name"), "n")
 
 
-@query("SELECT * FROM (VALUES (0, 'dataset'), (1, 'scene'), (2, 'image'), (3, 'rotation_matrix'), (4, 'translation_vector')) t(ordinal, name)")
+@query(" UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS ordinal, '{n}' AS name, count({_LABELS[n]}) AS n FROM customer" for k, n in enumerate(sorted(_LABELS))))
 def column_catalog(spark, d):
-    return spark.createDataFrame(list(enumerate(columns(TRAIN_LABELS))), "ordinal int, name string")
+    """The catalogue's columns of the label table as it is read, in the order of their names, and how many values each has."""
+    rows = _t(spark, d, "customer").select([F.col(c).alias(n) for n, c in _LABELS.items()])
+    counts = rows.select([F.count(n).alias(n) for n in columns(rows.schema)])
+    names = sorted(columns(rows.schema))
+    return counts.select(F.posexplode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in names))).alias("ordinal", "r")).select("ordinal", "r.*")
 
 
 @query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(((CAST(trunc(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT) % 256) + 256) % 256 / 255.0::DOUBLE, 6) AS v FROM embeddings, range(1, 4097) t(i) WHERE i <= len(embedding)")
@@ -559,8 +584,9 @@ def file_listing(spark, d):
     return files.listing(spark, d).groupBy(name.alias("name")).agg((F.sum("length") > 0).alias("filled")).where("name <> ''")
 
 
-@query("SELECT vec_id, CAST(c * 4 + i AS INTEGER) AS pos, round(((CAST(trunc(CAST(embedding[i * 3 + c + 1] AS DOUBLE) * 1000) AS BIGINT) % 256) + 256) % 256 / 255.0::DOUBLE, 4) AS v FROM embeddings, range(4) a(i), range(3) b(c)")
+@query("SELECT vec_id, CAST(c * 64 + i - 1 AS INTEGER) AS pos, round(((CAST(trunc(CAST(embedding[i] AS DOUBLE) * 1000) AS BIGINT) % 256) + 256) % 256 / 255.0::DOUBLE, 4) AS v FROM embeddings, range(1, 65) a(i), range(3) b(c)")
 def image_batch(spark, d):
-    """The first twelve bytes of each descriptor as 2 x 2 pixels, in a batch of one, channels first."""
-    rows = _descriptors(spark, d).select("vec_id", F.lit(2).alias("height"), F.lit(2).alias("width"), F.slice("data", 1, 12).alias("data"))
+    """Each descriptor as 8 x 8 grey pixels, in a batch of one, channels first."""
+    grey = F.flatten(F.transform("data", lambda v: F.array(v, v, v)))
+    rows = _descriptors(spark, d).select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), grey.alias("data"))
     return embed.batches(rows, "vec_id").select("vec_id", F.posexplode("pixels").alias("pos", "v")).withColumn("v", F.round(F.col("v").cast("double"), 4))
