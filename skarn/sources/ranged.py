@@ -40,7 +40,9 @@ class Window:
 
     def get(self, at: int, n: int) -> bytes:
         """``n`` bytes from ``at``, fewer at the file's end."""
-        n = max(0, min(n, self.size - at))
+        if at >= self.size:
+            return b""
+        n = min(n, self.size - at)
         if at < self.start or at + n > self.start + len(self.held):
             self.start, self.held = at, self.read_at(min(max(n, self.step if at else self.width), self.size - at), at)
         return self.held[at - self.start : at - self.start + n]
