@@ -28,13 +28,40 @@ def camera_rows(images: DataFrame, model: str = "simple-radial", single: bool =
     return rows.select("name", number.alias("model"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), cameras.params(number, f, F.col("width"), F.col("height")).alias("params"), cameras.focal_source(F.col("film_focal")).alias("focal_source"))
 
 
+#: Names that are sent to all tasks (some 50 bytes each); of more, those that one row in so many has are, and the others are shuffled.
+BROADCAST_NAMES, HOT_NAMES = 1_000_000, 1000
+
+
+def _looked_up(pairs: DataFrame, name: str, known: DataFrame, hot: DataFrame, number: str) -> DataFrame:
+    """``pairs`` with the number of the name in column ``name``, null where it is unknown. Rows of ``hot`` names (name, image_id) aren't shuffled."""
+    few = F.broadcast(hot.select(F.col("name").alias("__name"), F.col("image_id").alias(number)))
+    own = known.select(F.col("name").alias("__name"), F.col("image_id").alias(number))
+    same = F.col(name) == F.col("__name")
+    rest = pairs.join(few.select("__name"), same, "left_anti").join(own, same, "left")
+    return pairs.join(few, same).unionByName(rest).drop("__name")
+
+
 def resolved(matches: DataFrame, names: DataFrame) -> DataFrame:
-    """``matches`` (name1, name2, ...) with image_id1 and image_id2; an unknown name has a null id."""
-    # one map under one pair of names, so that where it is small enough it is sent out once for both joins
+    """``matches`` (name1, name2, ...) with image_id1 and image_id2; an unknown or null name has a null id.
+
+    Up to ``BROADCAST_NAMES`` names are sent to all tasks. Of more, the different pairs of names alone are looked up, hot names by broadcast, and
+    what the matches hold is shuffled once, by both names together.
+    """
     own = names.select(F.col("name").alias("__name"), F.col("image_id").alias("__id"))
+    if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        for k in (1, 2):
+            matches = matches.join(F.broadcast(own), F.col(f"name{k}") == F.col("__name"), "left").withColumnRenamed("__id", f"image_id{k}").drop("__name")
+        return matches
+    # in each side's count a task has a row for each name that it meets
+    pairs = matches.select("name1", "name2").distinct()
+    counts = pairs.select(F.explode(F.array("name1", "name2")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    most = pairs.count() // HOT_NAMES
+    hot = counts.where((F.col("n") > max(1, most)) & F.col("name").isNotNull()).join(names.select("name", "image_id"), "name").select("name", "image_id")
     for k in (1, 2):
-        matches = matches.join(own, F.col(f"name{k}") == F.col("__name"), "left").withColumnRenamed("__id", f"image_id{k}").drop("__name")
-    return matches
+        pairs = _looked_up(pairs, f"name{k}", names, hot, f"image_id{k}")
+    found = pairs.select(F.col("name1").alias("__1"), F.col("name2").alias("__2"), "image_id1", "image_id2")
+    same = F.col("name1").eqNullSafe(F.col("__1")) & F.col("name2").eqNullSafe(F.col("__2"))
+    return matches.join(found, same, "left").drop("__1", "__2")
 
 
 def unresolved(matches: DataFrame, names: DataFrame) -> DataFrame:

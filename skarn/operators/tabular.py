@@ -34,6 +34,34 @@ def multimap(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.transform(packed, lambda x: x["v"]).alias("values"))
 
 
+#: Values of a multimap's row; longer lists go on in further rows.
+CHUNK_VALUES = 10_000
+
+
+def multimap_chunks(df: DataFrame, key: str, value: str, order: list[str], size: int = CHUNK_VALUES) -> DataFrame:
+    """(key, chunk, values): each key's values in the order of ``order``, which must tell them apart, in rows of ``size`` values.
+
+    Rows are sorted by ranges of key and order and written, so a key of any size lies in as many ranges as it fills. A value's place is
+    its place in its range and the key's values in the ranges before; only keys that go over a range's end have such, so those sums are
+    sent to all tasks. A null key is a key like others.
+    """
+    spark = df.sparkSession
+    path = hadoop.new_path(spark, "multimap")
+    rows = df.select(F.col(key).alias("k"), F.col(value).alias("v"), F.struct(*order).alias("o"))
+    rows.repartitionByRange(F.col("k").asc_nulls_first(), "o").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    own = ranges.withColumn("place", F.row_number().over(Window.partitionBy("part", "k").orderBy("o")).cast("long") - 1)
+    ends = ranges.groupBy("part").agg(F.min(F.struct(F.col("k").isNotNull(), "k")).alias("low"), F.max(F.struct(F.col("k").isNotNull(), "k")).alias("high"))
+    ends = ends.select("part", F.explode(F.array_distinct(F.array(F.col("low")["k"], F.col("high")["k"]))).alias("k"))  # two keys of a range may go on
+    counts = ranges.join(F.broadcast(ends.withColumnsRenamed({"part": "p", "k": "e"})), (F.col("part") == F.col("p")) & F.col("k").eqNullSafe(F.col("e")), "left_semi").groupBy("part", "k").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("part").alias("p"), F.col("k").alias("e"), earlier.alias("before")).where("before > 0")
+    placed = own.join(F.broadcast(before), (F.col("part") == F.col("p")) & F.col("k").eqNullSafe(F.col("e")), "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0)))
+    packed = F.array_sort(F.collect_list(F.struct("place", "v")))
+    found = placed.groupBy(F.col("k").alias(key), F.expr(f"place div {size}").alias("chunk")).agg(F.transform(packed, lambda x: x["v"]).alias("values"))
+    return found
+
+
 def with_ids(df: DataFrame, id_col: str, order: list[Column], first: int = 1, rows: int | None = None) -> DataFrame:
     """``df`` numbered from ``first`` in ``order``.
 
