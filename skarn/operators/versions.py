@@ -105,22 +105,37 @@ class VersionedTables:
         return self._last(table)["next_id"]
 
     @contextmanager
-    def transaction(self) -> Iterator[None]:
-        """All writes within become visible to others together at the end; if anything raises, none does, and its files go."""
+    def transaction(self, source: str | None = None, number: int = 0) -> Iterator[bool]:
+        """All writes within become visible to others together at the end; if anything raises, none does, and its files go.
+
+        ``source``: who writes, and the number of what it writes. The version says the last number of each source; one that isn't
+        greater was written before, so False is given, and nothing that is written then counts.
+        """
         if self._open is not None:  # within another one
-            yield
+            if source is not None:
+                raise ValueError("a numbered transaction can't be within another one")
+            yield True
             return
         self._open, self._log, self._made = self._stored(), [], []
         try:
-            yield
-            self._publish()
+            new = source is None or self._open.get("sources", {}).get(source, -1) < number
+            if new and source is not None:
+                self._apply("number", source, number)
+            yield new
+            if new:
+                self._publish()
+            else:
+                self._clear()
         except BaseException:
-            for path in self._made:
-                hadoop.remove(self.spark, path)
+            self._clear()
             raise
         finally:
             self._open, self._log, self._made = None, [], []
 
+    def _clear(self) -> None:
+        for path in self._made:
+            hadoop.remove(self.spark, path)
+
     def _publish(self) -> None:
         for attempt in range(RETRIES + 1):
             if not self._log:
@@ -139,6 +154,8 @@ class VersionedTables:
         """What this transaction does, on another writer's version: its keys are checked against what that has and ours hadn't."""
         log, before = self._log, self._open
         self._open, self._log = now, []
+        if any(kind == "number" and now.get("sources", {}).get(source, -1) >= what[0] for kind, source, *what in log):
+            return self._clear()  # another attempt at the same has won
         for kind, table, *what in log:
             if kind == "create":
                 if table not in self._open["tables"]:
@@ -159,6 +176,9 @@ class VersionedTables:
     def _apply(self, kind: str, table: str, *what) -> None:
         """Do one step on the open state, and keep it in the log."""
         self._log.append((kind, table, *what))
+        if kind == "number":
+            self._open = self._open | {"sources": self._open.get("sources", {}) | {table: what[0]}}
+            return
         if kind == "create":
             new = {"folders": [], "deletes": [], "next_id": 1, "clock": 0}
         else:

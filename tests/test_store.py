@@ -341,13 +341,29 @@ def test_hdf5(spark, tmp_path, monkeypatch):
 def test_stream(spark, tmp_path, store):
     schema = "image_id1 long, image_id2 long, matches array<struct<idx1:long,idx2:long>>, n int"
     src = str(tmp_path / "in")
-    for k, rows in enumerate(([(2, 1, [(1, 2)], 0), (1, 2, [(5, 5)], 1)], [(1, 2, [(7, 7)], 2), (3, 1, [], 3)])):
-        frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(src)
+    store.add_matches(frame(spark, [(9, 8, [(3, 4)])], "image_id1 long, image_id2 long, matches array<struct<idx1:long,idx2:long>>"))
+
+    def run():
         q = stream_matches(spark.readStream.schema(schema).parquet(src), store, ["n"], str(tmp_path / "check"), str(tmp_path / "again")).trigger(availableNow=True).start()
         q.awaitTermination()
-    assert [tuple(r) for r in store.select_matches(1, 2)] == [(2, 1)] and store.table("matches").count() == 2
-    again = spark.read.parquet(str(tmp_path / "again")).orderBy("batch")
-    assert [(r["batch"], r["pair_id"], r["n_dups"], r["known"]) for r in again.collect()] == [(0, MAX_ID + 2, 1, False), (1, MAX_ID + 2, 0, True)]
+
+    for rows in ([(2, 1, [(1, 2)], 0), (1, 2, [(5, 5)], 1), (None, 2, [], 0)], [(1, 2, [(7, 7)], 2), (3, 1, [], 3), (4, 5, None, 1), (8, 9, [(0, 0)], 0)]):
+        frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(src)
+        run()
+    assert [tuple(r) for r in store.select_matches(1, 2)] == [(2, 1)] and [tuple(r) for r in store.select_matches(8, 9)] == [(4, 3)]
+    assert store.table("matches").count() == 4
+    again = spark.read.parquet(str(tmp_path / "again")).orderBy("batch", "pair_id")
+    assert [(r["batch"], r["pair_id"], r["n_dups"], r["known"]) for r in again.collect()] == [(0, MAX_ID + 2, 1, False), (1, MAX_ID + 2, 0, True), (1, 8 * MAX_ID + 9, 0, True)]
+    # a batch that was written, but whose end wasn't noted, comes again
+    commits = sorted((tmp_path / "check" / "commits").glob("[0-9]*"))
+    for p in (tmp_path / "check" / "commits").glob(f"*{commits[-1].name}*"):
+        p.unlink()
+    before = store._state()["version"]
+    run()
+    assert store._state()["version"] == before and store.table("matches").count() == 4
+    frame(spark, [(1, 2, [(7, 7)], 2), (6, 7, [(1, 1)], 0)], schema).coalesce(1).write.mode("append").parquet(src)
+    run()  # late duplicates are told from state
+    assert store.table("matches").count() == 5 and [tuple(r) for r in store.select_matches(1, 2)] == [(2, 1)]
 
 
 def test_frustum(spark):

@@ -194,3 +194,19 @@ def test_against_a_dict(spark, tables, monkeypatch):
     assert {r["id"]: r["x"] for r in tables.rows_by_key("t", range(30)).collect()} == {k: x for k, x in want.items() if k < 30}
     tables.vacuum()
     assert live(again(tables)) == want and len(list(Path(tables.root, "manifests").glob("*.json"))) == 1
+
+
+def test_numbered_writes_count_once(spark, tables):
+    for number, ids, want in ((0, [1], True), (0, [2], False), (2, [3], True), (1, [4], False)):
+        with tables.transaction("stream", number) as new:
+            assert new == want
+            tables.append("t", rows(spark, ids))
+    with tables.transaction("other", 0):
+        tables.append("t", rows(spark, [5]))
+    files = set(stored(tables))
+    with tables.transaction("stream", 3):  # a second attempt at the same, as after a lost driver
+        tables.append("t", rows(spark, [6]))
+        with again(tables).transaction("stream", 3) as new:
+            assert new
+    assert live(tables) == dict.fromkeys([1, 3, 5], 0.0)
+    assert {p for p in stored(tables) if "manifests" not in str(p)} == {p for p in files if "manifests" not in str(p)}
