@@ -26,6 +26,8 @@ from .common import slices
 
 #: Words, and pre-tokens, that each of the two generations of what a worker remembers holds: some 150 MB in all.
 WORDS, PIECES = 280_000, 180_000
+#: Characters of the longest of them that is remembered: what a worker keeps is bounded in bytes.
+WORD_LENGTH = 64
 #: Lists of ids decoded at a time.
 SLICE = 512
 #: Ids that are decoded at a time.
@@ -124,6 +126,8 @@ class _Known(dict):
         self.resolve, self.most, self.old = resolve, most, {}
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > WORD_LENGTH:
+            return self.resolve(word)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

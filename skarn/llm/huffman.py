@@ -36,6 +36,8 @@ BLOCK_IDS = 1 << 16
 NULL_BUCKETS = 256
 #: Words in each of the two generations that a worker remembers, and texts encoded at a time at most.
 WORDS, SLICE = 250_000, 8192
+#: Characters of the longest word that is remembered, which bounds what a worker keeps in bytes.
+WORD_LENGTH = 64
 #: Bytes of texts encoded at a time: the more, the more words come again.
 SLICE_TEXT = 4 << 20
 #: Words encoded as one text, and what stands between them there.
@@ -99,7 +101,7 @@ class _WordIds:
         found = self._together(words)
         if len(self.young) + len(found) > WORDS:
             self.young, self.old = {}, self.young
-        self.young.update(zip(words, found, strict=True))
+        self.young.update((w, x) for w, x in zip(words, found, strict=True) if len(w) <= WORD_LENGTH)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

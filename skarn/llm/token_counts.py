@@ -29,6 +29,8 @@ UNIT = 1e-6
 COUNT_BITS = 32
 #: Pre-tokens in each of the two generations whose counts a worker stores, nodes of its trie (some 150 bytes each), and texts taken at a time at most.
 WORDS, NODES, SLICE = 400_000, 500_000, 4096
+#: Characters of a pre-token that get nodes, and of the longest whose count is stored. Those behind them are scored without nodes.
+WORD_LENGTH = 64
 
 
 def read_pieces(path: str) -> dict[str, int]:
@@ -59,24 +61,40 @@ class Trie:
 
     def insert(self, word: str) -> int:
         """The forward score of ``word``; nodes that are there already aren't computed again."""
-        if len(self.score) + len(word) > self.most:
+        head = word[:WORD_LENGTH]
+        if len(self.score) + len(head) > self.most:
             self.clear()
-        child, score, get, lengths = self.child, self.score, self.pieces.get, self.lengths
+        child, score = self.child, self.score
         node, path = 0, [0]  # the scores of the prefixes so far
-        for end, c in enumerate(word, 1):
+        for end, c in enumerate(head, 1):
             key = node << 21 | ord(c)
             node = child.get(key)
             if node is None:
-                least = path[-1] + self.byte * len(c.encode("utf-8"))
-                for n in lengths:
-                    if n > end:
-                        break
-                    w = get(word[end - n : end])
-                    if w is not None and (x := path[end - n] + w) < least:
-                        least = x
                 node = child[key] = len(score)
-                score.append(least)
+                score.append(self._least(word, end, path, 0))
             path.append(score[node])
+        return path[-1] if len(head) == len(word) else self._rest(word, path)
+
+    def _least(self, word: str, end: int, path: list[int], start: int) -> int:
+        """The least cost up to ``end``; ``path``: the scores of the prefixes from ``start`` characters on."""
+        get = self.pieces.get
+        least = path[-1] + self.byte * len(word[end - 1].encode("utf-8"))
+        for n in self.lengths:
+            if n > end:
+                break
+            w = get(word[end - n : end])
+            if w is not None and (x := path[end - n - start] + w) < least:
+                least = x
+        return least
+
+    def _rest(self, word: str, path: list[int]) -> int:
+        """The score of a long word, of which ``path`` has the first characters'; no more scores are kept than a piece may reach back."""
+        start, reach = 0, max(self.lengths, default=1)
+        for end in range(len(path), len(word) + 1):
+            path.append(self._least(word, end, path, start))
+            if len(path) > 4096 + reach:
+                start += len(path) - reach
+                del path[:-reach]
         return path[-1]
 
 
@@ -93,7 +111,9 @@ class Counter:
         found, insert = [], self.trie.insert
         for w in words:
             n = self.young.get(w)
-            if n is None:
+            if n is None and len(w) > WORD_LENGTH:
+                n = insert(BLANK + w) & ((1 << COUNT_BITS) - 1)
+            elif n is None:
                 if len(self.young) >= WORDS:
                     self.young, self.old = {}, self.young
                 n = self.old.get(w)

@@ -179,6 +179,15 @@ def test_trie_shares_prefixes():
     assert len(trie.score) == len({(token_counts.BLANK + w)[:k] for w in words for k in range(len(w) + 2)})
 
 
+def test_long_words_get_few_nodes():
+    counter = token_counts.Counter(token_counts.read_pieces(MODEL))
+    rng = random.Random(4)
+    words = ["".join(rng.choices("theandoé日", k=n)) for n in (63, 64, 65, 200, 20_000)]
+    words.append(words[-1] + "x")
+    assert counter.count(words) == [slow_count(counter.trie, w) for w in words]
+    assert len(counter.trie.score) <= 1 + len(words) * token_counts.WORD_LENGTH and max(map(len, counter.young)) <= token_counts.WORD_LENGTH
+
+
 # --- WARC ------------------------------------------------------------------------------------------
 
 
