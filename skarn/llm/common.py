@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,22 +96,42 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 4096,
 RANGES, MOST_RANGES = 4, 4096
 
 
-def id_buckets(rows: DataFrame, id_col: str) -> Column:
-    """Number of the range that a row's id (a whole number) lies in, in ascending order; null ids have none.
-
-    The bounds are the ids' percentiles, so that each range has about as many rows, however the ids lie.
-    """
+def _percentiles(rows: DataFrame, id_col: str) -> list[int]:
+    """The ids' percentiles in order; an id that holds several ranges' rows comes again."""
     parts = min(MOST_RANGES, RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / parts for k in range(1, parts)], 50 * parts)).first()[0]
-    bounds = sorted(set(found or []))
+    return sorted(rows.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / parts for k in range(1, parts)], 50 * parts)).first()[0] or [])
+
+
+def _numbers(own: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>")
+
+
+def _bucket(id_col: str, bounds: list[int]) -> Column:
     if not bounds:
         return F.when(F.col(id_col).isNotNull(), 0)
     # every so many bounds first, then those from there on
     step = math.isqrt(len(bounds)) + 1
+    coarse = F.size(F.filter(_numbers(bounds[::step]), lambda b: b <= F.col(id_col)))
+    near = F.size(F.filter(F.slice(_numbers(bounds), F.greatest(coarse - 1, F.lit(0)) * step + 1, step), lambda b: b <= F.col(id_col)))
+    return F.when(F.col(id_col).isNotNull(), F.greatest(coarse - 1, F.lit(0)) * step + near)
 
-    def array(own: list[int]) -> Column:
-        return F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>")
 
-    coarse = F.size(F.filter(array(bounds[::step]), lambda b: b <= F.col(id_col)))
-    near = F.size(F.filter(F.slice(array(bounds), F.greatest(coarse - 1, F.lit(0)) * step + 1, step), lambda b: b <= F.col(id_col)))
-    return F.when(F.col(id_col).isNotNull(), F.greatest(coarse - 1, F.lit(0)) * step + near)
+def id_buckets(rows: DataFrame, id_col: str) -> Column:
+    """Number of the range that a row's id (a whole number) lies in, in ascending order; null ids have none.
+
+    The bounds are the ids' percentiles, so that each range has about as many rows, however the ids lie.
+    """
+    return _bucket(id_col, sorted(set(_percentiles(rows, id_col))))
+
+
+def split_buckets(rows: DataFrame, id_col: str, salt: Column) -> Column:
+    """As ``id_buckets``, but an id that holds several ranges' rows has as many buckets, to which ``salt`` deals its rows; those of greater ids
+    in its range come after them."""
+    found = _percentiles(rows, id_col)
+    times = Counter(found)
+    hot = sorted(v for v, n in times.items() if n > 1)
+    bucket = _bucket(id_col, sorted(times)).cast("long") * (MOST_RANGES + 1)
+    if not hot:
+        return bucket
+    at = F.array_position(_numbers(hot), F.col(id_col).cast("long"))
+    return bucket + F.when(at > 0, F.pmod(salt.cast("long"), F.get(_numbers([times[v] for v in hot]), (at - 1).cast("int")))).otherwise(MOST_RANGES)

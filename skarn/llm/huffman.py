@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_buckets, removed, slices, written
+from .common import removed, slices, split_buckets, written
 
 #: Longest code, and bits that index the decoding table.
 LONGEST = 18
@@ -38,6 +38,8 @@ NULL_BUCKETS = 256
 WORDS, SLICE = 250_000, 8192
 #: Characters of the longest word that is remembered, which bounds what a worker keeps in bytes.
 WORD_LENGTH = 64
+#: Numbers that rows get in turn, to spread those of one id.
+SALTS = 1 << 12
 #: Bytes of texts encoded at a time: the more, the more words come again.
 SLICE_TEXT = 4 << 20
 #: Words encoded as one text, and what stands between them there.
@@ -162,21 +164,23 @@ def id_width(tokenizer_path: str, end_id: int) -> int:
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): each row's ids and ``end_id``, as bytes of ``id_width`` an id, least first. Null texts are empty and have
-    the end id only. The tokenizer's file is read on the driver."""
+    """(id, ids, salt): each row's ids and ``end_id``, as bytes of ``id_width`` an id, least first, and its number in its task, which repeats. Null
+    texts are empty and have the end id only. The tokenizer's file is read on the driver."""
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     width = id_width(tokenizer_path, end_id)
     rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_ids(tokenizer_json).encode
+        encode, at = _word_ids(tokenizer_json).encode, 0
         for own in slices(batches, 1, SLICE, SLICE_TEXT):
             sizes, ids = encode(own.column(1))
             ids = np.insert(ids, np.cumsum(sizes), end_id)
-            yield pa.RecordBatch.from_arrays([own.column(0), _packed(ids, sizes + 1, width)], names=[id_col, "ids"])
+            salt = (np.arange(own.num_rows) + at) % SALTS
+            at += own.num_rows
+            yield pa.RecordBatch.from_arrays([own.column(0), _packed(ids, sizes + 1, width), pa.array(salt, pa.int32())], names=[id_col, "ids", "salt"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("ids", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("ids", T.BinaryType()), T.StructField("salt", T.IntegerType())]))
 
 
 # --- code ----------------------------------------------------------------------------------------
@@ -283,7 +287,8 @@ def counts(encoded: DataFrame, width: int) -> dict[int, int]:
 
 
 def write(encoded: DataFrame, path: str, width: int, id_col: str = "doc_id", longest: int = LONGEST) -> None:
-    """The file of ``encoded`` (id, packed ids) in ascending order of id, ties in the order of their bytes.
+    """The file of ``encoded`` (id, packed ids, salt) in ascending order of id; ties in the order of their buckets and bytes. ``salt``, a
+    number that equal rows don't share (by default a hash of the ids), deals the rows of a frequent id to several buckets.
 
     ``path/code`` has the code's lengths, ``path/blocks`` the blocks. Null ids come first, in the order of
     their buckets and bytes. A bucket holds neighbouring documents, as many in one as in another; where its
@@ -295,8 +300,9 @@ def write(encoded: DataFrame, path: str, width: int, id_col: str = "doc_id", lon
     spark.createDataFrame(pa.table({"id": ids, "length": sizes}), "id long, length long").coalesce(1).write.parquet(f"{path}/code")
     size, code = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64), np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     size[ids], code[ids] = sizes, codes
-    # rows of null id, which come first, are spread by what they hold
-    bucket = F.coalesce(id_buckets(encoded, id_col), -1 - F.pmod(F.xxhash64("ids"), F.lit(NULL_BUCKETS)).cast("int"))
+    # rows of null id, which come first, and those of one id that very many have are spread
+    salt = F.col("salt") if "salt" in encoded.columns else F.xxhash64("ids")
+    bucket = F.coalesce(split_buckets(encoded, id_col, salt), -1 - F.pmod(salt, F.lit(NULL_BUCKETS)).cast("int"))
     rows = encoded.select(bucket.cast("long").alias("bucket"), F.col(id_col).cast("long").alias("id"), "ids")
     starts = _starts(rows.groupBy("bucket").agg(F.sum(F.expr(f"octet_length(ids) div {width}")).alias("n")))
 

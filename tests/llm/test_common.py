@@ -79,3 +79,17 @@ def test_rules_of_a_tokenizer_are_read():
     split["behavior"] = "Isolated"
     assert huffman._rules(rule) == (False, False)
     assert huffman._rules({"normalizer": None, "pre_tokenizer": None}) == (False, False)
+
+
+def test_a_hot_id_has_many_buckets(spark):
+    ids = [*range(0, 2000, 2), *[501] * 3000, *[700] * 1500]
+    rows = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "i long, k int").repartition(3)
+    got = sorted((r["b"], r["i"]) for r in rows.select("i", common.split_buckets(rows, "i", F.col("k")).alias("b")).collect())
+    assert [i for _, i in got] == sorted(ids)  # ascending with the ids
+    sizes, of = {}, {}
+    for b, i in got:
+        sizes[b] = sizes.get(b, 0) + 1
+        of.setdefault(i, set()).add(b)
+    assert len(of[501]) >= 6 and len(of[700]) >= 3 and max(sizes.values()) < len(ids) / 8
+    none = rows.where("i is null")
+    assert none.select(common.split_buckets(none, "i", F.col("k"))).count() == 0

@@ -63,3 +63,25 @@ def test_empty_and_repeated(spark, tmp_path):
     same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
     got = sorted((r["start"], r["n_tokens"]) for r in huffman.round_trip(same, PATH, 1, str(tmp_path / "s")).collect())
     assert got == [(0, 2), (2, 2), (4, 2)]
+
+
+def test_one_id_on_very_many_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(huffman, "BLOCK_IDS", 200)
+    long_ = "word " * 30_000
+    rows = [(5, "the same text")] * 900 + [(k, f"text number {k}") for k in range(300)] + [(5, f"of five {k}") for k in range(300)] + [(None, "none")] * 200 + [(6, long_)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = str(tmp_path / "f")
+    got = huffman.round_trip(docs, PATH, 1, path).collect()
+    t = Tokenizer.from_file(PATH)
+    sizes = {x: len(t.encode(x, add_special_tokens=False).ids) + 1 for _, x in rows}
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i is not None, i or 0, sizes[x]) for i, x in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == [None] * 200 + sorted(i for i, _ in rows if i is not None)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    hot = {r["bucket"]: sum(d == 5 for d in r["doc_ids"]) for r in blocks.collect() if 5 in r["doc_ids"]}
+    assert len(hot) >= 6
+    assert blocks.where("bucket < 0").select("bucket").distinct().count() > 30
