@@ -50,6 +50,11 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_digests(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in their classes of near duplicates, of op9's fingerprints."""
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -67,7 +72,7 @@ def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_merkle": op4_merkle, "op5_huffman": op5_huffman, "op6_decontaminate": op6_decontaminate, "op7_suffix_array": op7_suffix_array, "op8_token_counts": op8_token_counts, "op9_spotsigs": op9_spotsigs, "op10_byte_bpe": op10_byte_bpe, "op11_main_text": op11_main_text, "op12_importance": op12_importance, "op13_variants": op13_variants}
+    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_merkle": op4_merkle, "op5_huffman": op5_huffman, "op6_decontaminate": op6_decontaminate, "op7_suffix_array": op7_suffix_array, "op8_token_counts": op8_token_counts, "op9_spotsigs": op9_spotsigs, "op10_byte_bpe": op10_byte_bpe, "op11_main_text": op11_main_text, "op12_importance": op12_importance, "op13_variants": op13_variants, "spotsigs_classes": spotsigs_classes}
 
 
 _CRLF = "chr(13) || chr(10)"

@@ -30,8 +30,8 @@ SIMILARITY = 0.8
 LEVELS = 1 << 16
 #: Length classes to a partition; a class holds lengths within the similarity of each other.
 BANDS = 4
-#: Sets up to which a group that its pivot doesn't settle is compared as it is.
-LARGE = 64
+#: Sets up to which a group that its pivots don't settle is compared as it is, and pivots that it gets before.
+LARGE, PIVOTS = 64, 3
 #: What separates words: all but letters and digits.
 _BREAK = r"[^\p{L}\p{N}]+"
 #: A character that no word holds, written after an anchor instead of a blank.
@@ -124,7 +124,32 @@ def classes(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARGE)
     return joined_by_key(rows, class_ids(sets, similarity, large), ["c"]).select("id", "class_id")
 
 
-def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARGE) -> DataFrame:
+def _sketch(s: Column, k: int) -> Column:
+    """64 bits, each of which says whether an odd number of the set's hashes fall on it: sets that differ in d hashes differ in d bits at most."""
+    return F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.call_function("shiftright", x, F.lit(6 * k)), F.lit(64)))))
+
+
+def _linked(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``reps`` (c, s, ...) that are similar enough. Lengths and sketches are compared first: for pairs that reach the
+    similarity neither the lengths nor, in the two sketches, the bits can differ by more than their hashes may. Only what is left fetches its sets."""
+    pairs = written(pairs.distinct(), "pairs")
+    light = reps.select("c", F.size("s").alias("len"), "k0", "k1")
+    often = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    met = joined_by_key(pairs, light.toDF("b", "len_b", "k0_b", "k1_b").join(often, "b"), ["b"]).join(light.toDF("a", "len_a", "k0_a", "k1_a"), "a")
+    apart = (F.col("len_a") + F.col("len_b")) * (1 - similarity) / (1 + similarity) + 1e-6
+    bits = F.greatest(*(F.bit_count(F.col(f"k{k}_a").bitwiseXOR(F.col(f"k{k}_b"))) for k in range(2)))
+    met = met.where((F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * similarity - 1e-9) & (bits <= apart))
+    near = written(met.select("a", "b"), "near")
+    often = near.groupBy("b").agg(F.count("*").alias("n"))
+    both = joined_by_key(near, reps.select(F.col("c").alias("b"), F.col("s").alias("sb")).join(often, "b"), ["b"])
+    both = both.join(reps.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+    found = written(both.where(jaccard(F.col("sa"), F.col("sb")) >= similarity - 1e-9).select("a", "b"), "links")
+    for table in (pairs, near):
+        removed(reps.sparkSession, table)
+    return found
+
+
+def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARGE, rounds: int = PIVOTS) -> DataFrame:
     """(c, n, class_id): for each distinct set its 64-bit hash, how many of ``sets`` (id, s) are equal to it, and its class.
 
     Sets are partitioned by the logarithm of their length; those whose partners can be in the next
@@ -133,58 +158,73 @@ def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARG
     similarity shares one of the first few, as many as leave fewer than the pair must share. Equal
     sets (by a 64-bit hash) are one, empty sets too.
 
-    Each group of a signature and a partition has a pivot. Who is similar to it needs no other link
-    in the group but to those who aren't, so a large group of near copies costs a comparison for each. For
-    those who aren't, groups of more than ``large`` sets are parted by a second signature, which a pair
-    must share as well if the prefix is one longer; no pair is left out.
+    Each group of a signature and a partition has a pivot, another one in each of ``rounds`` rounds, to which those are compared that
+    aren't in one component with it yet; groups that lie within one component are done. So a large group of near copies costs a
+    comparison for each. Of the groups that are still open, those in different components are compared with each other; groups of more
+    than ``large`` sets are parted by a second signature first, which a pair must share as well if the prefix is one longer. No pair
+    that would join two components is left out.
     """
+    spark = sets.sparkSession
     sets = sets.withColumn("c", F.xxhash64("s"))
-    reps = written(sets.groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("s").alias("s")), "classes")
+    reps = sets.groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("s").alias("s"))
+    reps = written(reps.withColumns({f"k{k}": _sketch(F.col("s"), k) for k in range(2)}), "classes")
     levels, n = _levels(reps), F.size("s")
     keyed = F.sort_array(F.transform("s", lambda x: F.get(levels, F.pmod(x, F.lit(LEVELS))).cast("long") * F.lit(1 << 32) + x.cast("long").bitwiseAND(F.lit((1 << 32) - 1))))
     band = F.floor(F.log(n) / log(1 / similarity) + 1e-9).cast("int")
     prefix = n - F.ceil(n * similarity - 1e-9).cast("int") + 1
     part = F.floor(band / BANDS).cast("int")
     parts = F.when(F.pmod(band, F.lit(BANDS)) == BANDS - 1, F.array(part, part + 1)).otherwise(F.array(part))
-    ordered = reps.where(n > 0).select("c", prefix.alias("prefix"), parts.alias("parts"), F.slice(keyed, 1, prefix + 1).alias("head"))
+    ordered = reps.where(n > 0).select("c", n.alias("len"), prefix.alias("prefix"), parts.alias("parts"), F.slice(keyed, 1, prefix + 1).alias("head"))
     ordered = written(ordered, "ordered")
-    heads = ordered.select("c", "parts", F.explode(F.slice("head", 1, F.col("prefix"))).alias("sig")).select("c", "sig", F.explode("parts").alias("part"))
+    heads = ordered.select("c", "len", "parts", F.explode(F.slice("head", 1, F.col("prefix"))).alias("sig")).select("c", "len", "sig", F.explode("parts").alias("part"))
     total = ordered.agg(F.coalesce(F.sum(F.least("prefix", F.size("head")) * F.size("parts")), F.lit(0))).first()[0]
-    groups = heads.groupBy("sig", "part").agg(F.min("c").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    placed = joined_by_key(heads, groups.withColumn("size", F.col("n")), ["sig", "part"], total).where("c <> pivot")
-    placed = written(placed.select("sig", "part", "c", "pivot", "size"), "placed")
-    tails = reps.select("c", F.size("s").alias("n"), "s")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar enough."""
-        pairs = written(pairs.distinct(), "pairs")
-        often = pairs.groupBy("b").agg(F.count("*").alias("n"))
-        met = joined_by_key(pairs, tails.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(often, "b"), ["b"])
-        met = met.join(tails.toDF("a", "na", "sa"), "a").where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9)
-        return met.where(jaccard(F.col("sa"), F.col("sb")) >= similarity - 1e-9).select("a", "b")
-
-    first = written(linked(placed.select(F.col("c").alias("a"), F.col("pivot").alias("b"))), "links")
-    apart = placed.join(first, (F.col("c") == first["a"]) & (F.col("pivot") == first["b"]), "left_anti")
-    apart = written(apart.select("sig", "part", "c", "size"), "apart")
-
-    def met(some: DataFrame, every: DataFrame, on: list[str]) -> DataFrame:
-        """Pairs of those apart with all others of their group, the pivot excepted."""
-        x, y = some.select(*on, F.col("c").alias("x")), every.select(*on, F.col("c").alias("y"))
-        return x.join(y, on).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-
-    def seconds(rows: DataFrame) -> DataFrame:
-        more = ordered.select(F.col("c").alias("o"), "head")
-        return rows.where(F.col("size") > large).join(more, F.col("c") == F.col("o")).select("sig", "part", "c", F.explode("head").alias("second")).where("second <> sig")
-
-    open_ = placed.join(apart.select("sig", "part").distinct(), ["sig", "part"], "left_semi")
-    few = met(apart.where(F.col("size") <= large), open_.where(F.col("size") <= large), ["sig", "part"])
-    many = met(seconds(apart), seconds(open_), ["sig", "part", "second"])
-    second = linked(few.unionByName(many))
-    edges = first.unionByName(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    roots = components(edges)
+    group = ["sig", "part"]
+    groups = heads.groupBy(*group).agg(F.min("c").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = written(joined_by_key(heads, groups.withColumn("size", F.col("n")), group, total).select(*group, "c", "len", "size", "pivot"), "members")
+    links = _linked(members.where("c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")), reps, similarity)
+    members, roots = members.drop("pivot"), components(links)
+
+    def opened(rows: DataFrame, number: int) -> DataFrame:
+        """The members of groups that lie in several components, each with its root, and the pivot of round ``number`` with its own."""
+        rooted = rows.join(roots, F.col("c") == F.col("v"), "left").select(*group, "c", "len", "size", F.coalesce("m", "c").alias("root"))
+        rooted = written(rooted, "rooted")
+        pick = F.min(F.struct(F.xxhash64("c", F.lit(number)).alias("h"), "c", "root"))
+        some = rooted.groupBy(*group).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), pick.alias("one")).where("low <> high")
+        some = some.select(*group, "n", F.col("one")["c"].alias("pivot"), F.col("one")["root"].alias("pivot_root"))
+        return written(joined_by_key(rooted, written(some, "open"), group), "members")
+
+    for number in range(1, rounds):
+        members = opened(members, number)
+        asked = members.where("root <> pivot_root").select(F.greatest("c", "pivot").alias("a"), F.least("c", "pivot").alias("b"))
+        more = _linked(asked, reps, similarity)
+        members = members.select(*group, "c", "len", "size")
+        if not more.limit(1).count():
+            break
+        links = written(roots.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(more), "links")
+        roots = components(links)
+    members = opened(members, rounds)
+
+    def met(rows: DataFrame, on: list[str]) -> DataFrame:
+        """Pairs of a group that are in different components, of those outside the pivot's one with all."""
+        x = rows.where("root <> pivot_root").select(*on, F.col("c").alias("x"), F.col("root").alias("rx"), F.col("len").alias("lx"))
+        y = rows.select(*on, F.col("c").alias("y"), F.col("root").alias("ry"), F.col("len").alias("ly"))
+        near = (F.col("rx") != F.col("ry")) & (F.least("lx", "ly") >= F.greatest("lx", "ly") * similarity - 1e-9)
+        x, y = x.alias("p"), y.alias("q")
+        same = F.lit(True)
+        for k in on:
+            same = same & (F.col(f"p.{k}") == F.col(f"q.{k}"))
+        return x.join(y, same & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    heads_of = ordered.select(F.col("c").alias("o"), "head")
+    seconds = members.where(F.col("size") > large).join(heads_of, F.col("c") == F.col("o")).select("sig", "part", "c", "len", "root", "pivot_root", F.explode("head").alias("second")).where("second <> sig")
+    last = _linked(met(members.where(F.col("size") <= large), group).unionByName(met(seconds, [*group, "second"])), reps, similarity)
+    roots = components(roots.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(last))
     joined = reps.join(roots, reps["c"] == roots["v"], "left").select("c", "copies", "least", F.coalesce("m", "c").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
-    return written(joined.join(least, "root").select("c", F.col("copies").alias("n"), "class_id"), "class-ids")
+    out = written(joined.join(least, "root").select("c", F.col("copies").alias("n"), "class_id"), "class-ids")
+    for table in (reps, ordered, members):
+        removed(spark, table)
+    return out
 
 
 def _with_next(rows: DataFrame) -> DataFrame:

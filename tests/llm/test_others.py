@@ -86,6 +86,38 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(small[1000 + i] == 1000 + i for i in range(1, 20)) and {small[2000 + i] for i in range(3)} == {2000}
 
 
+def test_classes_of_a_large_group_that_is_not_all_alike(spark):
+    """Near copies about as similar as the threshold: which are linked with which decides the classes."""
+    rng = random.Random(12)
+    base, far = rng.sample(range(10**6), 60), rng.sample(range(10**6), 60)
+    sets = []
+    for k in range(160):
+        own = list(base if k % 4 else far)
+        for i in rng.sample(range(12, 60), rng.choice([2, 5, 8, 30])):
+            own[i] = rng.randrange(10**6)
+        sets.append(sorted(set(own)))
+    chain = [list(range(k, k + 40)) for k in range(5_000_000, 5_000_100, 4)]  # each like the next one only
+    sets += chain
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    whole = [set(x) for x in sets]
+    for i, a in enumerate(whole):
+        for j in range(i):
+            if len(a & whole[j]) / len(a | whole[j]) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, s array<int>").repartition(4)
+    for large in (64, 8):
+        got = {r["id"]: r["class_id"] for r in spotsigs.classes(rows, large=large).collect()}
+        assert [got[i] for i in range(len(sets))] == [find(i) for i in range(len(sets))]
+    assert len({got[160 + k] for k in range(len(chain))}) == 1 and len(set(got.values())) > 20
+
+
 def spots(text, anchors, sparse=16):
     """Signatures by brute force, as tuples of words."""
     w = [x for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x]
