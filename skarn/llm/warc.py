@@ -14,7 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, written
@@ -24,30 +24,37 @@ FANOUT = 16
 RANGE = 1 << 16
 #: Ids to a file, and files that rows without an id are spread over.
 FILE_IDS, NULL_FILES = 256, 256
+#: Records of a piece of a file, which is read as one value.
+PIECE = 10_000
+#: Pieces whose starts (some 80 bytes each) are sent to all tasks; more are joined by shuffle.
+BROADCAST_PIECES = 500_000
 _CRLF = "\r\n"
 _END = b"\r\n\r\n"
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(id, warc_file, record): each row as a WARC resource record. Null urls and bodies are empty; a null
+    """(id, warc_file, place, record): each row as a WARC resource record. Null urls and bodies are empty; a null
     id's record has no number and stands in a file below 0, told by its body. Other columns are not read.
-    Rows that repeat an id stand in one file."""
+    Rows that repeat an id stand in one file; ``place``, a hash of the url, deals them to its pieces."""
     body = F.coalesce(body_col, F.lit(""))
     head = [
         F.lit(f"WARC/1.0{_CRLF}WARC-Type: resource{_CRLF}WARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f">{_CRLF}WARC-Target-URI: "),
         F.coalesce(url_col, F.lit("")), F.lit(f"{_CRLF}Content-Type: text/html{_CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(_CRLF * 2),
     ]
     file = F.coalesce(F.expr(f"{id_col} div {FILE_IDS}"), -1 - F.pmod(F.xxhash64(url_col, body), F.lit(NULL_FILES)))
-    return pages.select(id_col, file.cast("long").alias("warc_file"), F.concat(*head, body, F.lit(_CRLF * 2)).alias("record"))
+    return pages.select(id_col, file.cast("long").alias("warc_file"), F.xxhash64(F.coalesce(url_col, F.lit(""))).alias("place"), F.concat(*head, body, F.lit(_CRLF * 2)).alias("record"))
 
 
 def write(recs: DataFrame, path: str, id_col: str = "page_id", compressed: bool = False) -> None:
-    """WARC files ``path/warc_file=N/...``, records in order of id, then bytes; ``compressed``: by gzip. Each ends with the
-    separator that text files get. An empty table makes an empty folder."""
+    """WARC files ``path/warc_file=N/...``, records in order of id, then place, then bytes; ``compressed``: by gzip. A file is written in
+    pieces, whose names are in its order: the records are sorted by ranges, so that a file of any size, also of one id, is
+    many tasks' work, and a piece has ``PIECE`` records at most. Each ends with the separator that text files get. An empty table makes
+    an empty folder."""
     end = F.octet_length(F.lit(_CRLF * 2))
-    lines = recs.select("warc_file", id_col, F.substring(F.col("record"), F.lit(1), F.length("record") - end).alias("value"))
-    dealt = lines.repartition("warc_file").sortWithinPartitions("warc_file", id_col, "value").select("warc_file", "value")
-    dealt.write.partitionBy("warc_file").option("lineSep", _CRLF * 2).option("compression", "gzip" if compressed else "none").text(path)
+    keys = ["warc_file", id_col, "place"]
+    lines = recs.select(*keys, F.substring(F.col("record"), F.lit(1), F.length("record") - end).alias("value"))
+    dealt = lines.repartitionByRange(*keys).sortWithinPartitions(*keys, "value").select("warc_file", "value")
+    dealt.write.partitionBy("warc_file").option("maxRecordsPerFile", PIECE).option("lineSep", _CRLF * 2).option("compression", "gzip" if compressed else "none").text(path)
 
 
 def _parsed(raw: bytes) -> Iterator[tuple[int, int, dict[str, str] | None]]:
@@ -75,17 +82,17 @@ def _number(head: dict[str, str]) -> str:
     return head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-    """(number, bytes) of each file, one at a time."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, bytes]]:
+    """(number of its file, name, bytes) of each piece, one at a time."""
     for batch in batches:
         for k in range(batch.num_rows):
-            raw = batch.column(1)[k].as_py()
-            yield batch.column(0)[k].as_py(), gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+            raw = batch.column(2)[k].as_py()
+            yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     number = F.regexp_extract("path", "warc_file=(-?[0-9]+)", 1).cast("long")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(number.alias("warc_file"), "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(number.alias("warc_file"), F.element_at(F.split("path", "/"), -1).alias("piece"), "content")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +101,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
-        for _, raw in _contents(batches):
+        for _, _, raw in _contents(batches):
             out = []
             for at, size, head in _parsed(raw):
                 if head:
@@ -106,20 +113,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "page_id long, url string, html string")
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(warc_file, offset, length, record_sha256, page_id, whole): the records where they stand. What is no record
-    or is cut off is one row to its file's end, not ``whole``."""
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """As ``scan``, with the piece that a record stands in, and its offset there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("warc_file", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("record_sha256", pa.string()), ("page_id", pa.int64()), ("whole", pa.bool_())])
-        for file, raw in _contents(batches):
+        schema = pa.schema([("warc_file", pa.int64()), ("piece", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_sha256", pa.string()), ("page_id", pa.int64()), ("whole", pa.bool_())])
+        for file, name, raw in _contents(batches):
             out = []
             for at, size, head in _parsed(raw):
                 number = _number(head) if head else ""
-                out.append({"warc_file": file, "offset": at, "length": size, "record_sha256": hashlib.sha256(raw[at : at + size]).hexdigest(), "page_id": int(number) if number else None, "whole": head is not None})
+                out.append({"warc_file": file, "piece": name, "offset": at, "length": size, "record_sha256": hashlib.sha256(raw[at : at + size]).hexdigest(), "page_id": int(number) if number else None, "whole": head is not None})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return _files(spark, path).mapInArrow(run, "warc_file long, offset long, length long, record_sha256 string, page_id long, whole boolean")
+    return _files(spark, path).mapInArrow(run, "warc_file long, piece string, offset long, length long, record_sha256 string, page_id long, whole boolean")
+
+
+def _placed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` of ``_pieces`` with the offsets in their files: a piece starts where those before it end. ``by``: what tells folders apart. Only
+    pieces that aren't their file's first are joined, by broadcast up to ``BROADCAST_PIECES``."""
+    file = [*by, "warc_file"]
+    sizes = rows.groupBy(*file, "piece").agg(F.max(F.col("offset") + F.col("length")).alias("size"))
+    several = sizes.groupBy(*file).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    before = F.sum("size").over(Window.partitionBy(*file).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written(sizes.join(several, file, "left_semi").select(*file, "piece", before.alias("start")).where("start > 0"), "pieces", rows=1)
+    few = starts.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES
+    return rows.join(F.broadcast(starts) if few else starts, [*file, "piece"], "left").withColumn("offset", F.col("offset") + F.coalesce("start", F.lit(0))).drop("start", "piece")
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """(warc_file, offset, length, record_sha256, page_id, whole): the records where they stand. What is no record
+    or is cut off is one row to its piece's end, not ``whole``."""
+    return _placed(written(_pieces(spark, path), "scan"), []).select("warc_file", "offset", "length", "record_sha256", "page_id", "whole")
 
 
 def _up(level: int, offset_levels: int) -> tuple[Column, Column]:
@@ -143,7 +167,7 @@ def trees(leaves: DataFrame) -> tuple[list[DataFrame], int]:
     children = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("file", "slot", "digest"))), lambda x: F.concat_ws(":", x["file"].cast("string"), x["slot"].cast("string"), x["digest"])))
     while low is not None and (len(levels) <= 1 + offset_levels or high > 0 or low < 0):
         if len(levels) > 1 + offset_levels:
-            low, high = int(low / FANOUT), high // FANOUT
+            low, high = -(-low // FANOUT) if low < 0 else low // FANOUT, high // FANOUT  # as Spark divides
         file, slot = _up(len(levels) - 1, offset_levels)
         up = levels[-1].groupBy("replica", file.alias("upper"), slot.alias("place")).agg(F.sha2(children.cast("binary"), 256).alias("digest"))
         levels.append(written(up.select("replica", F.col("upper").alias("file"), F.col("place").alias("slot"), "digest"), "merkle"))
@@ -174,8 +198,8 @@ def fixity(spark: SparkSession, primary: str, replica: str) -> DataFrame:
     there is a row 'malformed' without an id (in the primary too). Rows that repeat an id are told apart by their bytes;
     records without an id count as one id. Empty folders: all of the other's records are lost or added.
     """
-    both = scan(spark, primary).withColumn("replica", F.lit(False)).unionByName(scan(spark, replica).withColumn("replica", F.lit(True)))
-    both = written(both, "records")
+    both = _pieces(spark, primary).withColumn("replica", F.lit(False)).unionByName(_pieces(spark, replica).withColumn("replica", F.lit(True)))
+    both = written(_placed(written(both, "pieces"), ["replica"]), "records")
     levels, offset_levels = trees(both)
     bad = written(audit(levels, offset_levels).toDF("f", "s"), "mismatch")
     differ = both.join(bad, (both["warc_file"] == bad["f"]) & (both["offset"] == bad["s"]), "left")

@@ -246,6 +246,27 @@ def test_warc_files(spark, tmp_path):
     assert {r["status"] for r in warc.fixity(spark, str(tmp_path / "wFalse"), str(tmp_path / "wTrue")).collect()} == {"intact"}
 
 
+def test_files_in_pieces(spark, tmp_path, monkeypatch):
+    """A file of one id on very many rows is many pieces, and offsets go on from one to the next."""
+    monkeypatch.setattr(warc, "PIECE", 7)
+    rows = [(5, f"u{k % 40}", f"body {k}" * 20) for k in range(300)] + [(5, "same", "same")] * 60 + [(k, "", "x") for k in range(0, 1500, 100)] + [(None, None, None)] * 9
+    recs = warc.records(spark.createDataFrame(rows, PAGES).repartition(5))
+    for name in "ab":
+        warc.write(recs, str(tmp_path / name), compressed=name == "b")
+    pieces = sorted((tmp_path / "a" / "warc_file=0").glob("part-*"))
+    assert len(pieces) >= 40
+    raw = b"".join(p.read_bytes() for p in pieces)
+    found = warc.scan(spark, str(tmp_path / "a")).where("warc_file = 0").orderBy("offset").collect()
+    at = 0
+    for r in found:
+        assert r["offset"] == at and hashlib.sha256(raw[at : at + r["length"]]).hexdigest() == r["record_sha256"]
+        at += r["length"]
+    assert at == len(raw) and [r["page_id"] for r in found] == sorted(r["page_id"] for r in found)
+    assert sorted(map(str, warc.read(spark, str(tmp_path / "b")).collect())) == sorted(map(str, spark.createDataFrame([(i, u or "", h or "") for i, u, h in rows], PAGES).collect()))
+    status = warc.fixity(spark, str(tmp_path / "a"), str(tmp_path / "b")).groupBy("status").count().collect()
+    assert [tuple(r) for r in status] == [("intact", len(rows))]
+
+
 def test_corrupt_bytes(spark, tmp_path):
     rows = [(i, f"u{i}", "body " * 400 + str(i)) for i in range(300)] + [(9, "u9", "twice"), (9, "u9", "twice"), (None, None, None)]
     recs = warc.records(spark.createDataFrame(rows, PAGES))
