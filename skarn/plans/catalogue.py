@@ -6,6 +6,7 @@ keypoints of their users, embeddings for descriptors, customers for images and l
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import cameras, ids, options
 from ..functions import geometry as g
 from ..operators import embed, ingest, scene, tabular
-from ..operators.store import SceneStore, valid_layout
+from ..operators.store import ConstraintError, SceneStore, valid_layout
 from ..sources import files, hadoop
-from ..sources.schema import MAX_ID, columns
+from ..sources.schema import MAX_ID, THRESHOLDS, columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,6 +85,21 @@ def multimap(spark, d):
     return tabular.multimap(_t(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey").select(F.col("o_custkey").alias("k"), F.posexplode("values").alias("idx", "v"))
 
 
+@query("SELECT event_type AS k, (rn - 1) // 100 AS chunk, CAST((rn - 1) % 100 AS INTEGER) AS idx, event_id AS v FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events)")
+def multimap_hot(spark, d):
+    """A few keys that all rows share, in rows of a hundred values."""
+    found = tabular.multimap_chunks(_t(spark, d, "events"), "event_type", "event_id", ["event_id"], 100)
+    return found.select(F.col("event_type").alias("k"), "chunk", F.posexplode("values").alias("idx", "v"))
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS dataset, c_mktsegment AS scene, c_name AS thresholds FROM customer")
+def csv_labels(spark, d):
+    """Customers written as CSV under other names, and read as a label table."""
+    path = hadoop.new_path(spark, "labels")
+    _t(spark, d, "customer").select(F.col("c_nationkey").alias("a"), F.col("c_mktsegment").alias("b"), F.col("c_name").alias("c")).write.csv(path, header=True)
+    return files.read_csv(spark, path, THRESHOLDS)
+
+
 # --- pair ids --------------------------------------------------------------------------------------
 
 
@@ -381,6 +397,58 @@ def select_image(spark, d):
     return _stored_images(spark, d).rows_of("images", 5).select("image_id", "name", "camera_id")
 
 
+def _named(spark: SparkSession, d: str, rest: int) -> DataFrame:
+    """The customers whose key leaves ``rest`` when divided by three, as images."""
+    return _t(spark, d, "customer").where(F.col("c_custkey") % 3 == rest).select(F.col("c_custkey").alias("image_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("camera_id"))
+
+
+@query("SELECT c_custkey AS image_id, c_name AS name, c_nationkey AS camera_id FROM customer WHERE c_custkey % 3 <> 1")
+def transactions(spark, d):
+    """Of three parts the first is written at once, the second in a transaction that fails, the last by a source that writes it twice."""
+    store = _store(spark)
+    store.add_images(_named(spark, d, 0))
+    with contextlib.suppress(ConstraintError), store.transaction():
+        store.add_images(_named(spark, d, 1))
+        store.add_images(_named(spark, d, 0))
+    for _ in range(2):
+        with store.transaction("customers", 1) as new:
+            if new:
+                store.add_images(_named(spark, d, 2))
+    return store.table("images").select("image_id", "name", "camera_id")
+
+
+@query("SELECT c_custkey AS image_id, c_name AS name, c_nationkey AS camera_id FROM customer WHERE c_custkey % 3 <> 1")
+def rejected_appends(spark, d):
+    """Appends of which any id or name is there already add nothing."""
+    store = _store(spark)
+    store.add_images(_named(spark, d, 0).unionByName(_named(spark, d, 2)))
+    for same in ("image_id", "name"):
+        other = {"image_id": F.col("image_id") + 10_000_000, "name": F.concat(F.lit("x"), F.col("name"))}
+        rows = _named(spark, d, 1).unionByName(_named(spark, d, 2).withColumns({k: v for k, v in other.items() if k != same}))
+        with contextlib.suppress(ConstraintError):
+            store.add_images(rows)
+    return store.table("images").select("image_id", "name", "camera_id")
+
+
+@query("WITH u AS (SELECT DISTINCT user_id FROM events), i AS (SELECT user_id, row_number() OVER (ORDER BY 'u' || user_id) AS image_id FROM u) "
+    f"SELECT least(a.image_id, b.image_id) * {_M} + greatest(a.image_id, b.image_id) AS pair_id, a.user_id AS low, b.user_id AS high, CAST(100 + a.user_id AS INTEGER) AS width FROM i a JOIN i b ON b.user_id = a.user_id + 1")
+def import_scene(spark, d):
+    """A whole import: each user an image with its events as keypoints, matched with the next user's, and its camera."""
+    users = _t(spark, d, "events").select("user_id").distinct()
+    name = F.concat(F.lit("u"), F.col("user_id"))
+    photos = users.select(name.alias("name"), (F.col("user_id") + 100).cast("int").alias("width"), F.lit(50).alias("height"), F.lit(None).cast("int").alias("film_focal"))
+    kps = _keypoints(spark, d).select(F.concat(F.lit("u"), F.col("image_id")).alias("name"), F.col("data").alias("kps"))
+    nexts = users.join(users.select((F.col("user_id") - 1).alias("user_id")), "user_id")
+    pairs = nexts.select(F.concat(F.lit("u"), F.col("user_id") + 1).alias("name1"), name.alias("name2"), F.array(F.array((F.col("user_id") + 1).cast("int"), F.col("user_id").cast("int"))).alias("matches"))
+    root = hadoop.new_path(spark, "scene")
+    ingest.import_scene(spark, root, photos, kps, pairs)
+    store = SceneStore(spark, root)
+    named = store.table("images").select("camera_id", F.substring("name", 2, 20).cast("long").alias("low")).join(store.table("cameras").select("camera_id", "width"), "camera_id")
+    match = F.col("matches")[0]
+    rows = store.table("matches").select("pair_id", F.least(match["idx1"], match["idx2"]).alias("low"), F.greatest(match["idx1"], match["idx2"]).alias("high"))
+    return rows.join(named, "low").select("pair_id", "low", "high", "width")
+
+
 _FIRST = f"SELECT {_PAIR} AS pair_id, {', '.join(_ORDER)}, row_number() OVER (PARTITION BY {_PAIR} ORDER BY {', '.join(_ORDER)}) AS rn FROM lineitem"
 _STORED = f"SELECT pair_id, CASE WHEN l_partkey > l_suppkey THEN l_linenumber ELSE l_orderkey END AS idx1, CASE WHEN l_partkey > l_suppkey THEN l_orderkey ELSE l_linenumber END AS idx2 FROM ({_FIRST}) WHERE rn = 1"
 

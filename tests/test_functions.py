@@ -98,3 +98,26 @@ def test_figures(spark):
     assert f(1) == mine and f(1, fig=None) == mine and f(1, fig=mine) is mine and h(fig=None) is None and h() == mine
     rows = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0, 1.0, 1.0, "red")], "x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, rgb string")
     assert draw(rows)["data"][0]["x"] == [0.0, 1.0]
+
+
+def test_traces_in_subplots(spark):
+    from skarn.functions import geometry as g
+    from skarn.operators import scene
+    from skarn.plans import figure
+
+    df = spark.createDataFrame([(1,)], "id int")
+    rect = F.array(*(g.point(F.lit(x), F.lit(y), F.lit(1.0)) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))))
+    origin = g.point(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    fig = figure.init_subplots(2, 3)
+    assert [n for n in fig["layout"] if n.startswith("scene")] == ["scene", *(f"scene{k}" for k in range(2, 7))]
+    assert fig["layout"]["scene5"]["domain"] == {"x": [1 / 3, 2 / 3], "y": [0.0, 0.5]}
+    figure.draw(scene.frustum_edges(df, ["id"], origin, rect), fig=fig, row=2, col=2)
+    figure.draw(scene.frustum_faces(df, ["id"], rect), fig=fig, row=2, col=2)
+    figure.draw(scene.rays(df, ["id"], origin, rect), fig=fig, row=1, col=1, name="ray", hoverinfo="skip")
+    edges, mesh, ray = fig["data"][0], fig["data"][4], fig["data"][5]
+    assert (edges["name"], edges["showlegend"], edges["scene"], mesh["scene"], mesh["type"]) == ("Pyramid", False, "scene5", "scene5", "mesh3d")
+    assert (ray["name"], ray["showlegend"], ray["scene"], ray["hoverinfo"]) == ("ray", False, "scene", "skip")
+    plain = figure.draw(scene.points(df, origin))
+    assert "showlegend" not in plain["data"][0] and "scene" not in plain["data"][0]
+    with pytest.raises(ValueError, match="no cell"):
+        figure.draw(scene.points(df, origin), fig=fig, row=3, col=1)
