@@ -7,7 +7,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,15 +147,15 @@ def image_headers(spark: SparkSession, root: str) -> DataFrame:
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """(origin, height, width, data): pixels in rows of red, green, blue. An unreadable file raises on use."""
 
-    @F.pandas_udf("binary")
-    def rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
-        def one(raw: bytes, n: int) -> bytes:
-            pixels = np.frombuffer(raw, np.uint8).reshape(-1, n)
-            return (np.repeat(pixels, 3, axis=1) if n == 1 else pixels[:, 2::-1]).tobytes()
-
-        return pd.Series([one(r, n) for r, n in zip(data, channels, strict=True)])
-
     rows = spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.*")
     bad = F.raise_error(F.concat(F.lit("not an image: "), F.col("origin"))).cast("int")
     rows = rows.withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(bad))
-    return rows.select("origin", "height", "width", rgb("data", "nChannels").alias("data"))
+
+    def rgb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # an image at a time
+                pixels = np.frombuffer(batch.column(3)[k].as_py(), np.uint8).reshape(-1, batch.column(4)[k].as_py())
+                own = (np.repeat(pixels, 3, axis=1) if pixels.shape[1] == 1 else pixels[:, 2::-1]).tobytes()
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(k, 1) for j in range(3)), pa.array([own], pa.binary())], names=["origin", "height", "width", "data"])
+
+    return rows.select("origin", "height", "width", "data", "nChannels").mapInArrow(rgb, "origin string, height int, width int, data binary")

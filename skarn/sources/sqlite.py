@@ -97,17 +97,20 @@ class SceneWriter(DataSourceWriter):
         return _Part(part)
 
     def commit(self, messages) -> None:
+        """SQLite copies the tasks' tables itself, first all into one, then that in one transaction; no row passes through Python."""
         columns = ", ".join(map(_quoted, self.names))
-        db = sqlite3.connect(self.path, timeout=600)
+        parts = [m.path for m in messages if m is not None]
         try:
-            with db:
-                db.execute("BEGIN IMMEDIATE")
-                for m in messages:
-                    part = sqlite3.connect(m.path)
-                    db.executemany(f"INSERT INTO {_quoted(self.table)} ({columns}) VALUES ({', '.join('?' * len(self.names))})", part.execute("SELECT * FROM part"))
-                    part.close()
+            for target, name, sources in [(parts[0], "part", parts[1:]), (self.path, self.table, parts[:1])] if parts else []:
+                db = sqlite3.connect(target, timeout=600, isolation_level=None)
+                try:
+                    for source in sources:
+                        db.execute("ATTACH ? AS tasks", (source,))
+                        db.execute(f"INSERT INTO main.{_quoted(name)} ({columns}) SELECT {columns} FROM tasks.part")
+                        db.execute("DETACH tasks")
+                finally:
+                    db.close()
         finally:
-            db.close()
             self.abort(messages)
 
     def abort(self, messages) -> None:
