@@ -26,8 +26,11 @@ THRESHOLD = 4
 #: (lowest bit, width) of the segments: one more than THRESHOLD halves to 1 bit each.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 CODE_BITS = 15
-#: Fingerprints at home at one anchor beyond which that anchor's work is split among tasks.
+#: Fingerprints at home at one anchor beyond which they are told apart by their other bits as well, and beyond which
+#: what still stands together is split among tasks.
 HOT_HOMES = 4096
+#: Blocks of the other bits that are asked to be equal, by the homes of an anchor, in ``HOT_HOMES``.
+BLOCK_LEVELS = (1, 1 << 9, 1 << 15)
 #: Hot anchors are broadcast up to this many rows (16 bytes each), joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -129,6 +132,31 @@ def _links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int,
     return fps[child], fps[label[child]]
 
 
+def block_masks(segment: int, equal: int) -> list[int]:
+    """Of a segment's other bits, cut into ``THRESHOLD`` + ``equal`` blocks, any ``equal`` blocks, as signed 64-bit masks: two fingerprints within
+    the threshold have the bits of one of these masks in common."""
+    low, width = SEGMENTS[segment]
+    others = [i for i in range(64) if not low <= i < low + width]
+    blocks = THRESHOLD + equal
+    bits = [sum(1 << i for i in others[len(others) * b // blocks : len(others) * (b + 1) // blocks]) for b in range(blocks)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(own) for own in combinations(bits, equal))]
+
+
+def _told_apart(placed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(k, fp, home, hot): rows of ``hot`` anchors (k, homes) go to a key of their own for each mask, made of anchor and masked bits. Keys are
+    hashes: where two are equal by chance more is compared, but nothing else linked."""
+
+    def masks(equal: int) -> Column:
+        every = F.array(*(F.array(*(F.lit(m).cast("long") for m in block_masks(n, equal))) for n in range(len(SEGMENTS))))
+        return F.element_at(every, F.shiftright("k", 40).cast("int") + 1)
+
+    level: Column = F.when(F.col("homes") > HOT_HOMES * BLOCK_LEVELS[2], masks(3)).when(F.col("homes") > HOT_HOMES * BLOCK_LEVELS[1], masks(2)).otherwise(masks(1))
+    few = hot.count() <= BROADCAST_ROWS
+    rows = placed.join(F.broadcast(hot) if few else hot, "k", "left")
+    keys = F.transform(level, lambda m, i: F.xxhash64(F.col("k"), i, F.col("fp").bitwiseAND(m)))
+    return rows.select(F.explode(F.when(F.col("homes").isNull(), F.array("k")).otherwise(keys)).alias("k"), "fp", "home", F.col("homes").isNotNull().alias("hot"))
+
+
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): edges between the distinct values of ``fps`` (fp) that connect just what pairs within
     ``threshold`` bits connect: per anchor a spanning forest, at most one edge for each copy there.
@@ -139,11 +167,14 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         raise ValueError(f"threshold must be 0 to {THRESHOLD}")
     spark = fps.sparkSession
     placed = _at_anchors(fps)
-    hot = written(placed.where("home").groupBy("k").count().where(F.col("count") > HOT_HOMES).select("k", F.ceil(F.col("count") / HOT_HOMES).cast("int").alias("parts")), "hot-anchors")
-    few = hot.count()
-    if few:
-        placed = placed.join(F.broadcast(hot) if few <= BROADCAST_ROWS else hot, "k", "left")
-        # the homes of a hot anchor are dealt among its parts; every part gets all others to compare with
+    counts = placed.where("home").groupBy("k").agg(F.count("*").alias("homes"))
+    hot = written(counts.where(F.col("homes") > HOT_HOMES), "hot-anchors", rows=1)
+    if hot.limit(1).count():
+        placed = _told_apart(placed, hot)
+        counts = placed.where("home and hot").groupBy("k").agg(F.count("*").alias("homes")).where(F.col("homes") > HOT_HOMES)
+        still = written(counts.select("k", F.ceil(F.col("homes") / HOT_HOMES).cast("int").alias("parts")), "hot-anchors", rows=1)
+        placed = placed.join(F.broadcast(still) if still.count() <= BROADCAST_ROWS else still, "k", "left")
+        # the homes that stand together are dealt among parts; every part gets all others to compare with
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         placed = placed.select("k", "fp", "home", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("part"), own.alias("own"))
         placed = placed.select("k", "part", "fp", (F.col("home") & (F.col("own").isNull() | (F.col("own") == F.col("part")))).alias("home"))
@@ -154,6 +185,9 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         # runs are sorted; a run that reaches over a batch's end waits for the next batch
         rest: list[pa.RecordBatch] = []
 
+        def ends(batch: pa.RecordBatch) -> tuple[tuple, tuple]:
+            return tuple((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()) for k in (0, batch.num_rows - 1))
+
         def out(tables: list[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(tables).combine_chunks()
             k, part = t["k"].to_numpy(), t["part"].to_numpy()
@@ -165,7 +199,12 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            if batch.num_rows:
+            if not batch.num_rows:
+                continue
+            first, last = ends(batch)
+            if rest and first == last == ends(rest[0])[0]:  # the run goes on: nothing is copied yet
+                rest.append(batch)
+            else:
                 yield from out([*rest, batch], False)
         if rest:
             yield from out(list(rest), True)

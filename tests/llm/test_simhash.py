@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 import xxhash
 
 from skarn.llm import simhash
@@ -81,6 +82,45 @@ def test_close_fingerprints_in_a_large_group(spark, monkeypatch):
     assert [got[i] for i in range(len(fps))] == brute(fps)
 
 
+def test_masks_leave_no_pair_out():
+    rng = random.Random(2)
+    for segment in range(3):
+        for equal in (1, 2, 3):
+            masks = [m & (1 << 64) - 1 for m in simhash.block_masks(segment, equal)]
+            low, width = simhash.SEGMENTS[segment]
+            assert all(not m & ((1 << width) - 1) << low for m in masks)
+            for _ in range(200):
+                flips = sum(1 << i for i in rng.sample(range(64), rng.randint(0, 4)))
+                assert any(not flips & m for m in masks)
+
+
+@pytest.mark.parametrize("levels", [(1, 1 << 9, 1 << 15), (1, 2, 4), (0, 0, 0)])
+def test_hot_anchors_are_told_apart(spark, monkeypatch, levels):
+    monkeypatch.setattr(simhash, "HOT_HOMES", 3)
+    monkeypatch.setattr(simhash, "BLOCK_LEVELS", levels)
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = [rng.getrandbits(64) for _ in range(100)]
+    fps += [base ^ sum(1 << i for i in rng.sample(range(21), rng.randint(0, 2))) ^ rng.getrandbits(20) << 42 for _ in range(150)]  # one anchor's
+    fps += [f ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 5))) for f in rng.choices(fps, k=150)]
+    fps = sorted(set(fps))
+    rows = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "doc_id long, fp long").repartition(3)
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 4:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(rows).collect()}
+    assert [got[k] for k in range(len(fps))] == [find(k) for k in range(len(fps))]
+
+
 def test_keep_one(spark):
     docs = spark.createDataFrame([(3, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, None), (4, ""), (None, "other words")], "doc_id long, text string")
     assert sorted((r["doc_id"] for r in simhash.keep_one(docs).collect()), key=str) == [1, 2, None]
