@@ -14,6 +14,7 @@ checks its keys against what that added, and tries again. Readers keep what they
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
@@ -33,8 +34,8 @@ FILE_ROWS, BROADCAST_KEYS = 1_000_000, 1_000_000
 SMALL_FOLDERS, DELETES = 32, 32
 #: A Bloom filter's block: bits, bits set for a key, and keys that it is made for.
 BLOCK_BITS, KEY_BITS, BLOCK_KEYS = 1024, 5, 80
-#: Times that a lost race is run again.
-RETRIES = 20
+#: Times that a lost race is run again, and times and seconds that a manifest is waited for which another writer has begun.
+RETRIES, WAITS, WAIT_S = 20, 10, 0.2
 
 
 class ConstraintError(ValueError):
@@ -84,8 +85,22 @@ class VersionedTables:
     # --- versions --------------------------------------------------------------------------------
 
     def _stored(self) -> dict:
+        """The last version. A manifest that is cut off is waited for; if it stays so, as its writer died, it counts as the version before."""
         names = [n for n in hadoop.children(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
-        return json.loads(hadoop.read_text(self.spark, f"{self.root}/manifests/{names[-1]}")) if names else {"version": -1, "tables": {}}
+        for k, name in enumerate(reversed(names)):
+            for _ in range(1 if k else WAITS):
+                try:
+                    return json.loads(hadoop.read_text(self.spark, f"{self.root}/manifests/{name}")) | {"version": int(names[-1].removesuffix(".json"))}
+                except ValueError:
+                    time.sleep(WAIT_S)
+        return {"version": int(names[-1].removesuffix(".json")) if names else -1, "tables": {}}
+
+    def _manifest(self, name: str) -> dict:
+        """A manifest, empty if it is cut off."""
+        try:
+            return json.loads(hadoop.read_text(self.spark, f"{self.root}/manifests/{name}"))
+        except ValueError:
+            return {"tables": {}}
 
     def _state(self) -> dict:
         """{"version", "tables": {name: {"folders", "deletes", "next_id", "clock"}}} as it is now."""
@@ -206,8 +221,10 @@ class VersionedTables:
         """Delete the files that none of the last ``versions`` versions names, and older manifests. No other writer may be at work."""
         names = [n for n in hadoop.children(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
         kept: dict[str, set[str]] = {}
+        good = [n for n in names if self._manifest(n)["tables"]]
+        names = good if good else names
         for n in names[-versions:]:
-            for table, state in json.loads(hadoop.read_text(self.spark, f"{self.root}/manifests/{n}"))["tables"].items():
+            for table, state in self._manifest(n)["tables"].items():
                 own = kept.setdefault(table, set())
                 for f in state["folders"]:
                     own |= {f["name"], *(b["name"] for b in f.get("blooms", {}).values()), *([f["stats"]] if "stats" in f else [])}

@@ -210,3 +210,14 @@ def test_numbered_writes_count_once(spark, tables):
             assert new
     assert live(tables) == dict.fromkeys([1, 3, 5], 0.0)
     assert {p for p in stored(tables) if "manifests" not in str(p)} == {p for p in files if "manifests" not in str(p)}
+
+
+def test_a_manifest_whose_writer_died(spark, tables, monkeypatch):
+    monkeypatch.setattr(versions, "WAIT_S", 0.01)
+    tables.append("t", rows(spark, [1]))
+    version = tables._state()["version"]
+    Path(tables.root, "manifests", f"{version + 1:010d}.json").write_text('{"version": 2, "tab')
+    other = again(tables)
+    assert live(other) == {1: 0.0}
+    other.append("t", rows(spark, [2]))
+    assert live(tables) == {1: 0.0, 2: 0.0} and tables._state()["version"] == version + 2
