@@ -269,8 +269,14 @@ def _chosen(tree: _Tree) -> list[bool]:
     roots = {root}
     least = min((density[k] for k in path if tree.tag[k] not in ("html", "#page")), default=0.0)
     titled = any(tree.tag[k] == "h1" and not dropped[k] and _within(tree, k, root) for k in range(root, n))
-    if not titled:  # a title that stands before the article
-        heads = [k for k in range(1, root) if tree.tag[k] == "h1" and text[k] and not dropped[k] and tree.parent[k] in on_path]
+    if not titled:  # a title that stands before the article, in a part of the page that they share
+        def shared(node: int) -> int:
+            while node not in on_path:
+                node = tree.parent[node]
+            return node
+
+        heads = [k for k in range(1, root) if tree.tag[k] == "h1" and text[k] and not dropped[k]]
+        heads = [k for k in heads if tree.parent[k] in on_path or tree.tag[shared(k)] not in ("body", "html", "#page")]
         roots |= set(heads[-1:])
     if not declared[root]:
         blocks = _BLOCK - {"br", "hr", "body", "html"}

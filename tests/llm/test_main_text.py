@@ -48,6 +48,12 @@ def test_sections_that_are_as_dense_belong_to_it():
     assert main_text.main_text(page(body)) == f"{x} {y}"
 
 
+def test_title_before_the_article():
+    inner, want = paragraphs(4)
+    body = f"<div><h1>Site</h1><ul>{LINKS}</ul></div><div class='post'><div class='post-header'><h1>Bridge</h1></div><div class='post-body'>{inner}</div><div class='post-comments'>{TEXT * 9}</div></div>"
+    assert main_text.main_text(page(body)) == f"Bridge {want}"
+
+
 def test_references_space_and_blocks():
     body = "<article><p>a &lt;b&gt; &amp;amp; caf&eacute; &#8212;&#x41; &copy 5 < 6 &unknown;</p><p>one<b>two</b>  three\n\tfour&nbsp;five<br>six<i>seven</p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table><pre>a\n b</pre>"
     assert main_text.main_text(body) == "a <b> &amp; café —A © 5 < 6 &unknown; onetwo three four five sixseven x y 1 2 a b"
