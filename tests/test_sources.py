@@ -103,6 +103,23 @@ def test_packed_by_shape_and_bytes():
     assert max(len(own) for _, own in got) == 3
 
 
+def test_what_waits_is_bounded():
+    rng = np.random.default_rng(4)
+    given, taken, most = 0, 0, 0
+
+    def images():
+        nonlocal given, most
+        for k in range(3000):
+            h, w = (int(x) for x in rng.integers(1, 12, 2))
+            given += h * w * 3
+            most = max(most, given - taken)
+            yield k, h, w, bytes(h * w * 3)
+
+    for (h, w), own in embed.packed(images(), 6000, 50):
+        taken += len(own) * h * w * 3
+    assert given == taken and most <= 6000 + 11 * 11 * 3
+
+
 class Counting(embed.MeanColour):
     """Tells by its vectors how many images came together, and fails on some."""
 
