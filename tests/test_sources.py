@@ -1,4 +1,3 @@
-import json
 import math
 import struct
 import sys
@@ -6,13 +5,12 @@ import types
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from skarn.operators import embed
 from skarn.sources import files, hdf5, ranged
 from skarn.sources.ranged import Window
 
-from .test_store import FakeH5, png  # noqa: F401
+from .test_store import png
 
 
 def jpeg(width, height, before=0, focal=None, pixels=0):
@@ -76,24 +74,6 @@ def test_ranges_cover_each_dataset_once(sizes, parts):
     assert got == every and len(found) <= parts and all(r.n <= math.ceil(sum(sizes) / parts) for r in found)
 
 
-def test_one_hot_group_in_many_partitions(spark, tmp_path, monkeypatch):
-    import inspect
-
-    (tmp_path / "h5py.py").write_text(f"import json\nimport numpy as np\n\n\n{inspect.getsource(FakeH5)}\nFile = FakeH5\n")
-    monkeypatch.syspath_prepend(str(tmp_path))
-    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
-    tree = {"hot": {f"o{k:04d}": [[k, k + 1]] for k in range(900)}, "b": {"x": [[1, 2], [3, 4]]}, "empty": {}, "c": {"y": [[5, 6]]}}
-    path = tmp_path / "m.h5"
-    path.write_text(json.dumps(tree))
-    got = hdf5.matches(spark, str(path), 6)
-    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(a, b, m) for a, own in tree.items() for b, m in own.items()], got.schema).collect()))
-    spread = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
-    assert len(spread) == 6 and max(spread) <= 151
-    (tmp_path / "k.h5").write_text(json.dumps({f"i{k}": [[k, 0.5]] for k in range(20)}))
-    kps = hdf5.keypoints(spark, str(tmp_path / "k.h5"), 3)
-    assert {r["name"]: r["kps"] for r in kps.collect()} == {f"i{k}": [[float(k), 0.5]] for k in range(20)} and kps.rdd.getNumPartitions() == 3
-
-
 def test_packed_by_shape_and_bytes():
     images = [(k, h, 2, b"\0" * (h * 6)) for k, h in enumerate([1, 2, 1, 1, 50, 2, 1, 1, 1, 3, 3, 1])]
     got = list(embed.packed(iter(images), 36, 3))

@@ -336,6 +336,16 @@ def test_hdf5(spark, tmp_path, monkeypatch):
     sizes = frame(spark, [("a.png", 4, 4, None), ("b.png", 4, 4, None)], "name string, width int, height int, film_focal int")
     ingest.import_scene(spark, str(tmp_path / "s"), sizes, kps, pairs)
     assert [tuple(m) for m in SceneStore(spark, str(tmp_path / "s")).select_matches(2, 1)] == [(0, 0), (1, 0)]
+    # one hot group in many partitions
+    tree = {"hot": {f"o{k:04d}": [[k, k + 1]] for k in range(900)}, "b": {"x": [[1, 2], [3, 4]]}, "empty": {}, "c": {"y": [[5, 6]]}}
+    (tmp_path / "m.h5").write_text(json.dumps(tree))
+    got = hdf5.matches(spark, str(tmp_path / "m.h5"), 6)
+    assert sorted(map(str, got.collect())) == sorted(map(str, frame(spark, [(a, b, m) for a, own in tree.items() for b, m in own.items()], got.schema).collect()))
+    spread = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(spread) == 6 and max(spread) <= 151
+    (tmp_path / "k.h5").write_text(json.dumps({f"i{k}": [[k, 0.5]] for k in range(20)}))
+    kps = hdf5.keypoints(spark, str(tmp_path / "k.h5"), 3)
+    assert {r["name"]: r["kps"] for r in kps.collect()} == {f"i{k}": [[float(k), 0.5]] for k in range(20)} and kps.rdd.getNumPartitions() == 3
 
 
 def test_stream(spark, tmp_path, store):
