@@ -129,6 +129,13 @@ def _sketch(s: Column, k: int) -> Column:
     return F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.call_function("shiftright", x, F.lit(6 * k)), F.lit(64)))))
 
 
+def _may_reach(similarity: float, a: str, b: str) -> Column:
+    """Whether lengths (len) and sketches (k0, k1) let two sets reach the similarity; ``a``, ``b``: how their columns are called."""
+    x, y = (F.col(n.format("len")) for n in (a, b))
+    bits = F.greatest(*(F.bit_count(F.col(a.format(k)).bitwiseXOR(F.col(b.format(k)))) for k in ("k0", "k1")))
+    return (F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9) & (bits <= (x + y) * (1 - similarity) / (1 + similarity) + 1e-6)
+
+
 def _linked(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of ``reps`` (c, s, ...) that are similar enough. Lengths and sketches are compared first: for pairs that reach the
     similarity neither the lengths nor, in the two sketches, the bits can differ by more than their hashes may. Only what is left fetches its sets."""
@@ -136,9 +143,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     light = reps.select("c", F.size("s").alias("len"), "k0", "k1")
     often = pairs.groupBy("b").agg(F.count("*").alias("n"))
     met = joined_by_key(pairs, light.toDF("b", "len_b", "k0_b", "k1_b").join(often, "b"), ["b"]).join(light.toDF("a", "len_a", "k0_a", "k1_a"), "a")
-    apart = (F.col("len_a") + F.col("len_b")) * (1 - similarity) / (1 + similarity) + 1e-6
-    bits = F.greatest(*(F.bit_count(F.col(f"k{k}_a").bitwiseXOR(F.col(f"k{k}_b"))) for k in range(2)))
-    met = met.where((F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * similarity - 1e-9) & (bits <= apart))
+    met = met.where(_may_reach(similarity, "{}_a", "{}_b"))
     near = written(met.select("a", "b"), "near")
     often = near.groupBy("b").agg(F.count("*").alias("n"))
     both = joined_by_key(near, reps.select(F.col("c").alias("b"), F.col("s").alias("sb")).join(often, "b"), ["b"])
@@ -174,7 +179,7 @@ def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARG
     prefix = n - F.ceil(n * similarity - 1e-9).cast("int") + 1
     part = F.floor(band / BANDS).cast("int")
     parts = F.when(F.pmod(band, F.lit(BANDS)) == BANDS - 1, F.array(part, part + 1)).otherwise(F.array(part))
-    ordered = reps.where(n > 0).select("c", n.alias("len"), prefix.alias("prefix"), parts.alias("parts"), F.slice(keyed, 1, prefix + 1).alias("head"))
+    ordered = reps.where(n > 0).select("c", n.alias("len"), prefix.alias("prefix"), parts.alias("parts"), F.slice(keyed, 1, prefix + 1).alias("head"), "k0", "k1")
     ordered = written(ordered, "ordered")
     heads = ordered.select("c", "len", "parts", F.explode(F.slice("head", 1, F.col("prefix"))).alias("sig")).select("c", "len", "sig", F.explode("parts").alias("part"))
     total = ordered.agg(F.coalesce(F.sum(F.least("prefix", F.size("head")) * F.size("parts")), F.lit(0))).first()[0]
@@ -203,26 +208,26 @@ def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARG
         links = written(roots.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(more), "links")
         roots = components(links)
     members = opened(members, rounds)
+    kept = members
 
     def met(rows: DataFrame, on: list[str]) -> DataFrame:
-        """Pairs of a group that are in different components, of those outside the pivot's one with all."""
-        x = rows.where("root <> pivot_root").select(*on, F.col("c").alias("x"), F.col("root").alias("rx"), F.col("len").alias("lx"))
-        y = rows.select(*on, F.col("c").alias("y"), F.col("root").alias("ry"), F.col("len").alias("ly"))
-        near = (F.col("rx") != F.col("ry")) & (F.least("lx", "ly") >= F.greatest("lx", "ly") * similarity - 1e-9)
-        x, y = x.alias("p"), y.alias("q")
-        same = F.lit(True)
+        """Pairs of a group that are in different components, of those outside the pivot's one with all, and may be similar enough."""
+        x, y = rows.where("root <> pivot_root").alias("p"), rows.alias("q")
+        same = (F.col("p.root") != F.col("q.root")) & _may_reach(similarity, "p.{}", "q.{}")
         for k in on:
             same = same & (F.col(f"p.{k}") == F.col(f"q.{k}"))
-        return x.join(y, same & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        return x.join(y, same).select(F.greatest("p.c", "q.c").alias("a"), F.least("p.c", "q.c").alias("b"))
 
-    heads_of = ordered.select(F.col("c").alias("o"), "head")
-    seconds = members.where(F.col("size") > large).join(heads_of, F.col("c") == F.col("o")).select("sig", "part", "c", "len", "root", "pivot_root", F.explode("head").alias("second")).where("second <> sig")
+    more = ordered.select(F.col("c").alias("o"), "head", "k0", "k1")
+    members = members.join(more, F.col("c") == F.col("o")).select(*group, "c", "len", "size", "root", "pivot_root", "k0", "k1", "head")
+    seconds = members.where(F.col("size") > large).withColumn("second", F.explode("head")).drop("head").where("second <> sig")
+    members = members.drop("head")
     last = _linked(met(members.where(F.col("size") <= large), group).unionByName(met(seconds, [*group, "second"])), reps, similarity)
     roots = components(roots.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(last))
     joined = reps.join(roots, reps["c"] == roots["v"], "left").select("c", "copies", "least", F.coalesce("m", "c").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     out = written(joined.join(least, "root").select("c", F.col("copies").alias("n"), "class_id"), "class-ids")
-    for table in (reps, ordered, members):
+    for table in (reps, ordered, kept):
         removed(spark, table)
     return out
 
