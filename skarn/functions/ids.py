@@ -13,18 +13,22 @@ def _long(x: Column | str | int) -> Column:
 
 
 def pair_id(a: Column | str | int, b: Column | str | int) -> Column:
-    """One number for a pair of ids in whatever order; ids are 0 to MAX_ID - 1."""
+    """One number for a pair of ids in whatever order, another one for each pair of ids that are at most MAX_ID apart."""
     a, b = _long(a), _long(b)
     return F.least(a, b) * F.lit(MAX_ID).cast("long") + F.greatest(a, b)
 
 
 def first_of(pair: str) -> Column:
-    """The smaller id, by whole-number division: ``/`` would go by way of doubles and lose the lowest digits."""
-    return F.expr(f"{pair} div {MAX_ID}L")
+    """The smaller id, by whole-number division: ``/`` would go by way of doubles and lose the lowest digits.
+
+    A pair's number is the smaller id MAX_ID + 1 times and the distance of the two, so ids of MAX_ID and more, which images
+    don't have, come back too.
+    """
+    return F.expr(f"{pair} div {MAX_ID + 1}L")
 
 
 def second_of(pair: str) -> Column:
-    return F.expr(f"{pair} % {MAX_ID}L")
+    return F.expr(f"{pair} - {pair} div {MAX_ID + 1}L * {MAX_ID}L")
 
 
 def pairs_with_first(k: int, pair: str = "pair_id") -> Column:

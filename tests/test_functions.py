@@ -18,6 +18,13 @@ def test_pair_ids(spark):
         assert (r["x"], r["y"]) == (min(r["a"], r["b"]), max(r["a"], r["b"]))
 
 
+def test_pair_ids_beyond_the_range_of_images(spark):
+    pairs = [(MAX_ID + d, MAX_ID - e) for d in (0, 1, 5, 2_000_000) for e in (-2_000_000, -1, 0, 1, 20_000)] + [(0, MAX_ID), (7, MAX_ID + 7), (MAX_ID - 1, 2 * MAX_ID - 1)]
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("p", ids.pair_id("a", "b"))
+    for r in df.select("*", ids.first_of("p").alias("x"), ids.second_of("p").alias("y")).collect():
+        assert (r["x"], r["y"]) == (min(r["a"], r["b"]), max(r["a"], r["b"]))
+
+
 def test_prefix_range_is_pushed(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.createDataFrame([(a * MAX_ID + b,) for a in range(5) for b in range(a, 9)], "pair_id long").write.parquet(path)
