@@ -32,33 +32,49 @@ def camera_rows(images: DataFrame, model: str = "simple-radial", single: bool =
 BROADCAST_NAMES, HOT_NAMES = 1_000_000, 1000
 
 
-def _looked_up(pairs: DataFrame, name: str, known: DataFrame, hot: DataFrame, number: str) -> DataFrame:
-    """``pairs`` with the number of the name in column ``name``, null where it is unknown. Rows of ``hot`` names (name, image_id) aren't shuffled."""
-    few = F.broadcast(hot.select(F.col("name").alias("__name"), F.col("image_id").alias(number)))
-    own = known.select(F.col("name").alias("__name"), F.col("image_id").alias(number))
-    same = F.col(name) == F.col("__name")
-    rest = pairs.join(few.select("__name"), same, "left_anti").join(own, same, "left")
-    return pairs.join(few, same).unionByName(rest).drop("__name")
+def _hot_names(matches: DataFrame) -> DataFrame:
+    """(name): those that more than one in ``HOT_NAMES`` rows have in one of the two columns, by a sketch of bounded size for each task. The sketch
+    may take others for hot or miss one; where a name is looked up doesn't change what is found."""
+    sketch = "approx_top_k({}, %d, %d)" % (2 * HOT_NAMES, 10 * HOT_NAMES)
+    found = matches.agg(F.count("*").alias("rows"), *(F.expr(sketch.format(f"name{k}")).alias(f"top{k}") for k in (1, 2)))
+    top = found.select("rows", F.explode(F.concat("top1", "top2")).alias("top"))
+    return top.where((F.col("top")["count"] > F.greatest(F.lit(1), F.expr(f"rows div {HOT_NAMES}"))) & F.col("top")["item"].isNotNull()).select(F.col("top")["item"].alias("name")).distinct()
+
+
+def _looked_up(rows: DataFrame, k: int, names: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with image_id1 or 2 (``k``), null where the name is unknown. ``hot``: (__hot, __hot_id), names whose rows find theirs in a broadcast.
+
+    Those rows and those of null names are spread over all partitions of the join that looks the others up, so ``rows`` are read and shuffled once.
+    """
+    name, number = F.col(f"name{k}"), f"image_id{k}"
+    rows = rows.join(F.broadcast(hot), name == F.col("__hot"), "left")
+    cold = name.isNotNull() & F.col("__hot").isNull()
+    # the second key only spreads rows whose first is null; a task that runs again sends them to the same places
+    spread = -1 - F.pmod(F.xxhash64(F.spark_partition_id(), "name1", "name2"), F.lit(1 << 20)).cast("int")
+    rows = rows.withColumns({"__key": F.when(cold, name), "__place": F.when(cold, F.length(name.cast("string"))).otherwise(spread)}).drop("__hot")
+    own = names.select(F.col("name").alias("__name"), F.length(F.col("name").cast("string")).alias("__length"), F.col("image_id").alias("__id"))
+    rows = rows.join(own, (F.col("__key") == F.col("__name")) & (F.col("__place") == F.col("__length")), "left")
+    return rows.withColumn(number, F.coalesce("__id", "__hot_id")).drop("__hot_id", "__key", "__place", "__name", "__length", "__id")
 
 
 def resolved(matches: DataFrame, names: DataFrame) -> DataFrame:
     """``matches`` (name1, name2, ...) with image_id1 and image_id2; an unknown or null name has a null id.
 
-    Up to ``BROADCAST_NAMES`` names are sent to all tasks. Of more, the different pairs of names alone are looked up, hot names by broadcast, and
-    what the matches hold is shuffled once, by both names together.
+    Up to ``BROADCAST_NAMES`` names are sent to all tasks. Of more, rows that hold nothing but two names are shuffled by each of them, hot names but
+    spread. Of rows that hold more the different pairs of names alone are looked up so, and what the matches hold is shuffled once, by both names together.
     """
     own = names.select(F.col("name").alias("__name"), F.col("image_id").alias("__id"))
     if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
         for k in (1, 2):
             matches = matches.join(F.broadcast(own), F.col(f"name{k}") == F.col("__name"), "left").withColumnRenamed("__id", f"image_id{k}").drop("__name")
         return matches
-    # in each side's count a task has a row for each name that it meets
-    pairs = matches.select("name1", "name2").distinct()
-    counts = pairs.select(F.explode(F.array("name1", "name2")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    most = pairs.count() // HOT_NAMES
-    hot = counts.where((F.col("n") > max(1, most)) & F.col("name").isNotNull()).join(names.select("name", "image_id"), "name").select("name", "image_id")
+    hot = _hot_names(matches).join(own, F.col("name") == F.col("__name"), "left").select(F.col("name").alias("__hot"), F.col("__id").alias("__hot_id"))
+    alone = set(matches.columns) == {"name1", "name2"}
+    pairs = matches if alone else matches.select("name1", "name2").distinct()
     for k in (1, 2):
-        pairs = _looked_up(pairs, f"name{k}", names, hot, f"image_id{k}")
+        pairs = _looked_up(pairs, k, names, hot)
+    if alone:
+        return pairs
     found = pairs.select(F.col("name1").alias("__1"), F.col("name2").alias("__2"), "image_id1", "image_id2")
     same = F.col("name1").eqNullSafe(F.col("__1")) & F.col("name2").eqNullSafe(F.col("__2"))
     return matches.join(found, same, "left").drop("__1", "__2")

@@ -29,6 +29,28 @@ def test_hot_rows_are_not_shuffled(spark, monkeypatch):
     assert got.where("image_id1 = -1 and name2 = concat('n', image_id2)").count() == 20_000
 
 
+def test_pairs_of_names_are_shuffled_by_each_name_once(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "BROADCAST_NAMES", 0)
+    monkeypatch.setattr(ingest, "HOT_NAMES", 4)
+    options = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [("n0", "n1")] * 2000 + [(None, "lost")] * 2000 + [(f"n{k}", f"n{k + 1}") for k in range(40)]
+        names = {f"n{k}": k for k in range(40)}
+        got = ingest.resolved(spark.createDataFrame(rows, "name1 string, name2 string").repartition(8), spark.createDataFrame(list(names.items()), "name string, image_id long"))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((a, b, names.get(a), names.get(b))) for a, b in rows)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # each lookup's rows and names, and for the broadcast of hot names their count, their names and all names
+        assert plan.count("Exchange hashpartitioning") <= 2 * (2 + 3)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < len(rows) / 2  # hot, unknown and null names don't meet in one task
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize(("size", "parts"), [(7, "5"), (1000, "16"), (1, "3")])
 def test_multimap_of_a_hot_key(spark, size, parts):
     rng = random.Random(2)
