@@ -5,7 +5,7 @@ Parquet enforces neither keys nor ranges, so each write checks them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +39,9 @@ class SceneStore(VersionedTables):
 
     # --- writes ----------------------------------------------------------------------------------
 
-    def _append(self, table: str, df: DataFrame) -> None:
+    def _append(self, table: str, df: DataFrame, constants: Mapping[str, Column] = {}) -> None:
         rules = {"image_id out of range": ~ids.valid_image_id("image_id")} if table == "images" else {}
-        self.append(table, df, NUMBERED.get(table), rules)
+        self.append(table, df, NUMBERED.get(table), rules, constants=constants)
 
     def _numbered(self, table: str, df: DataFrame, order: Sequence[str]) -> DataFrame:
         """Rows without a number get the next ones, in ``order``; given numbers stay and are never given again."""
@@ -62,7 +62,7 @@ class SceneStore(VersionedTables):
     def add_images(self, df: DataFrame, order: Sequence[str] = ("name",)) -> None:
         """(name, camera_id, [priors], [image_id]); priors that are missing are zeros."""
         priors = {f.name: F.lit(0.0) for f in TABLES["images"] if f.name.startswith("prior_") and f.name not in df.columns}
-        self._append("images", self._numbered("images", df.withColumns(priors) if priors else df, order))
+        self._append("images", self._numbered("images", df, order), priors)
 
     def add_camera(self, model: int, width: int, height: int, params: Sequence[float], prior_focal_length: bool = False, camera_id: int | None = None) -> int:
         number = self.next_id("cameras") if camera_id is None else camera_id
@@ -125,9 +125,10 @@ class SceneStore(VersionedTables):
         """As matches, with config (2 by default) and F, E, H (9 by rows, identities by default), which are kept as given
         where the pair is turned round."""
         missing = {m: F.array(*map(F.lit, IDENTITY)) for m in "FEH" if m not in df.columns} | ({} if "config" in df.columns else {"config": F.lit(2)})
-        df = df.withColumns(missing) if missing else df
-        none_of(df, (F.size("F") != 9) | (F.size("E") != 9) | (F.size("H") != 9), "two_view_geometries: matrices have 9 values")
-        self._append("two_view_geometries", self._pairs(df))
+        for m in "FEH":
+            if m not in missing:
+                none_of(df, F.size(m) != 9, "two_view_geometries: matrices have 9 values")
+        self._append("two_view_geometries", self._pairs(df), missing)
 
     # --- reads -----------------------------------------------------------------------------------
 

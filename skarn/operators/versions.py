@@ -304,10 +304,13 @@ class VersionedTables:
             if name:
                 hadoop.remove(self.spark, f"{self.root}/{table}/{name}")
 
-    def _save(self, table: str, df: DataFrame) -> str:
+    def _save(self, table: str, df: DataFrame, constants: Mapping[str, Column] = {}) -> str:
+        """Sort and write rows; ``constants``, which take next to nothing in a shuffle but their full size in a sort, are put in behind it."""
         name, key = self._new(table, "data"), self.unique[table][0]
-        rows = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[table]])
-        rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.root}/{table}/{name}")
+        rows = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[table] if f.name not in constants])
+        rows = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+        rows = rows.select([constants.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in self.schemas[table]])
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.root}/{table}/{name}")
         return name
 
     def _described(self, table: str, name: str, bad: Mapping[str, Column] = {}) -> dict:
@@ -382,11 +385,12 @@ class VersionedTables:
             live = self._rows(table, [(f, [f["name"]]) for f in some])
         none_of(live.select(key).join(doubtful.distinct(), key, "left_semi"), F.lit(True), f"{table}: {key} exists")
 
-    def append(self, table: str, df: DataFrame, number: str | None = None, bad: Mapping[str, Column] = {}, checked: bool = True) -> None:
-        """Add rows. ``number``: the column that the next number follows; ``bad``: rules that no row may meet; ``checked``: keys may not be there yet."""
+    def append(self, table: str, df: DataFrame, number: str | None = None, bad: Mapping[str, Column] = {}, checked: bool = True, constants: Mapping[str, Column] = {}) -> None:
+        """Add rows. ``number``: the column that the next number follows; ``bad``: rules that no row may meet; ``checked``: keys may not be there yet;
+        ``constants``: values of columns that are the same in all rows."""
         with self.transaction():
             last = self._last(table)
-            entry = self._described(table, self._save(table, df), bad)
+            entry = self._described(table, self._save(table, df, constants), bad)
             if checked:
                 new = self._read(table, [entry["name"]])
                 for key in self.unique[table]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skarn import cli
 from skarn.functions import blobs
 from skarn.operators import embed, ingest, scene, tabular
-from skarn.operators.store import ConstraintError, SceneStore
+from skarn.operators.store import IDENTITY, ConstraintError, SceneStore
 from skarn.plans import figure
 from skarn.sources import files, hdf5, sqlite
 from skarn.sources.schema import MAX_ID, THRESHOLDS
@@ -390,3 +390,20 @@ def test_frustum(spark):
     assert [r["rgb"] for r in short] == ["red", "blue"]
     axes = scene.axes(df, ["id"], g.point(F.lit(0), F.lit(0), F.lit(0)), [g.point(F.lit(1), F.lit(0), F.lit(0))] * 3, options={"color": "x", "yaxis:name": "up", "width": 3}).collect()
     assert [(r["axis"], r["color"]) for r in axes] == [("xaxis", "x"), ("up", "x"), ("zaxis", "x")]
+
+
+def test_constants_are_not_sorted(spark, tmp_path, monkeypatch):
+    kind, sorted_columns = type(spark.range(1)), []
+    own = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda df, *by, **kw: sorted_columns.append(df.columns) or own(df, *by, **kw))
+    store = SceneStore(spark, str(tmp_path / "s"))
+    store.create_tables()
+    store.add_two_view_geometries(spark.createDataFrame([(5, 2, [(1, 9)], [2.0] * 9)], "image_id1 long, image_id2 long, matches array<struct<idx1:long,idx2:long>>, E array<double>"))
+    store.add_images(spark.createDataFrame([("a", 1, 0.5)], "name string, camera_id long, prior_tx double"))
+    views, images = sorted_columns
+    assert "E" in views and not {"F", "H", "config"} & set(views)
+    assert "prior_tx" in images and not {"prior_qw", "prior_tz"} & set(images)
+    r = store.table("two_view_geometries").first()
+    assert (r["config"], r["E"], r["F"], r["H"]) == (2, [2.0] * 9, IDENTITY, IDENTITY)
+    r = store.table("images").first()
+    assert (r["prior_tx"], r["prior_qw"], r["prior_tz"]) == (0.5, 0.0, 0.0)
