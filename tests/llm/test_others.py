@@ -1,7 +1,9 @@
 """SpotSigs, token counts, WARC audit."""
 
+import gzip
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import pandas as pd
@@ -306,6 +308,18 @@ def test_audit_reads_nothing_below_equal_nodes(spark):
     assert [tuple(r) for r in warc.audit(levels, offset_levels).collect()] == [(1, 1_200_000)]
 
 
+def test_warc_files_take_the_fastest_compression(spark, tmp_path):
+    rng = random.Random(9)
+    pages = spark.createDataFrame([(i, f"u{i}", prose(rng, 400)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.records(pages), str(tmp_path / "w"), compressed=True)
+    packed = [f.read_bytes() for f in tmp_path.glob("w/*/*.gz")]
+    raw = [gzip.decompress(x) for x in packed]
+    assert sum(x.count(b"WARC/1.0") for x in raw) == 60
+    least, usual = (sum(len(zlib.compress(x, level)) for x in raw) for level in (1, 6))
+    assert abs(sum(map(len, packed)) - least) < (least - usual) / 2
+    assert sorted(map(tuple, warc.read(spark, str(tmp_path / "w")).collect())) == sorted(map(tuple, pages.collect()))
+
+
 def test_merkle_query_against_sql(spark, tmp_path):
     import duckdb
 
