@@ -11,7 +11,9 @@ other. DataFrame operations only.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ ENOUGH = 8
 #: Words after an anchor beyond which each word starts a chain, up to the next anchor.
 SPARSE = 16
 SIMILARITY = 0.8
-#: Values of the lowest bits that signatures are counted by.
-LEVELS = 1 << 16
+#: 64-bit words of a set's sketch.
+SKETCH = [f"k{k}" for k in range(8)]
 #: Length classes to a partition; a class holds lengths within the similarity of each other.
 BANDS = 4
 #: Sets up to which a group that its pivots don't settle is compared as it is, and pivots that it gets before.
@@ -108,41 +110,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(written(sets, "signatures"), similarity).withColumnRenamed("id", id_col)
 
 
-def _levels(sets: DataFrame) -> Column:
-    """How often signatures come that share their lowest bits: an array of logarithms, one for each value of those bits."""
-    sig = sets.select(F.explode("s").alias("sig"))
-    found = sig.groupBy(F.pmod("sig", F.lit(LEVELS)).alias("k")).agg(F.floor(F.log2(F.count("*"))).alias("level")).collect()  # LEVELS rows at most
-    level = [0] * LEVELS
-    for r in found:
-        level[r["k"]] = r["level"]
-    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<int>")
-
-
 def classes(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARGE) -> DataFrame:
     """(id, class_id) of ``sets`` (id, s: sorted distinct hashes): as ``near_duplicates``, from signatures that are there already."""
     rows = sets.select("id", F.xxhash64("s").alias("c"))
     return joined_by_key(rows, class_ids(sets, similarity, large), ["c"]).select("id", "class_id")
 
 
-def _sketch(s: Column, k: int) -> Column:
-    """64 bits, each of which says whether an odd number of the set's hashes fall on it: sets that differ in d hashes differ in d bits at most."""
-    return F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.call_function("shiftright", x, F.lit(6 * k)), F.lit(64)))))
+def _sketch(s: Column) -> list[Column]:
+    """The words of a sketch, each bit of which says whether an odd number of the set's hashes fall on it: sets that differ in d hashes differ in d bits at most."""
+
+    def word(k: int) -> Column:
+        own = F.filter(s, lambda x: F.pmod(F.call_function("shiftright", x, F.lit(6)), F.lit(len(SKETCH))) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)))))
+
+    return [word(k).alias(name) for k, name in enumerate(SKETCH)]
 
 
 def _may_reach(similarity: float, a: str, b: str) -> Column:
-    """Whether lengths (len) and sketches (k0, k1) let two sets reach the similarity; ``a``, ``b``: how their columns are called."""
+    """Whether lengths (len) and sketches let two sets reach the similarity; ``a``, ``b``: how their columns are called."""
     x, y = (F.col(n.format("len")) for n in (a, b))
-    bits = F.greatest(*(F.bit_count(F.col(a.format(k)).bitwiseXOR(F.col(b.format(k)))) for k in ("k0", "k1")))
+    bits = reduce(add, (F.bit_count(F.col(a.format(k)).bitwiseXOR(F.col(b.format(k)))) for k in SKETCH))
     return (F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9) & (bits <= (x + y) * (1 - similarity) / (1 + similarity) + 1e-6)
 
 
+def _shared_heads(reps: DataFrame, similarity: float) -> DataFrame:
+    """(c, prefix, head) of the ``reps`` (c, s) whose prefix, in the order of how many sets hold a signature and then of the signature, has
+    signatures that other sets hold too: those in order, up to one behind the prefix, and how many are within it.
+
+    Signatures of one set alone come first and meet none, so they are only counted.
+    """
+    sigs = reps.select("c", F.size("s").alias("len"), F.explode("s").alias("sig"))
+    total = reps.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
+    counts = written(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig", "n", F.col("n").alias("k")), "counts")
+    # a list is as long as its set at most
+    lists = joined_by_key(sigs, counts, ["sig"], total).groupBy("c", "len").agg(F.sort_array(F.collect_list(F.struct("k", "sig"))).alias("list"))
+    prefix = F.col("len") - F.ceil(F.col("len") * similarity - 1e-9).cast("int") + 1 - (F.col("len") - F.size("list"))
+    lists = lists.withColumn("prefix", prefix).where("prefix > 0").select("c", "prefix", F.slice("list", 1, F.col("prefix") + 1)["sig"].alias("head"))
+    out = written(lists, "heads")
+    removed(reps.sparkSession, counts)
+    return out
+
+
 def _linked(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ``reps`` (c, s, ...) that are similar enough. Lengths and sketches are compared first: for pairs that reach the
-    similarity neither the lengths nor, in the two sketches, the bits can differ by more than their hashes may. Only what is left fetches its sets."""
+    """The pairs (a, b) of ``reps`` (c, len, s, sketch) that are similar enough. Lengths and sketches are compared first: for pairs that reach the
+    similarity neither the lengths nor the sketches' bits can differ by more than their hashes may. Only what is left fetches its sets."""
     pairs = written(pairs.distinct(), "pairs")
-    light = reps.select("c", F.size("s").alias("len"), "k0", "k1")
+    names = ["len", *SKETCH]
+    light = reps.select("c", *names)
     often = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    met = joined_by_key(pairs, light.toDF("b", "len_b", "k0_b", "k1_b").join(often, "b"), ["b"]).join(light.toDF("a", "len_a", "k0_a", "k1_a"), "a")
+    met = joined_by_key(pairs, light.toDF("b", *(f"{k}_b" for k in names)).join(often, "b"), ["b"]).join(light.toDF("a", *(f"{k}_a" for k in names)), "a")
     met = met.where(_may_reach(similarity, "{}_a", "{}_b"))
     near = written(met.select("a", "b"), "near")
     often = near.groupBy("b").agg(F.count("*").alias("n"))
@@ -160,8 +176,9 @@ def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARG
     Sets are partitioned by the logarithm of their length; those whose partners can be in the next
     partition are offered there too. Within a partition only sets are compared that share one of their
     prefix signatures: in an order of all signatures, rare ones first, a pair that reaches the
-    similarity shares one of the first few, as many as leave fewer than the pair must share. Equal
-    sets (by a 64-bit hash) are one, empty sets too.
+    similarity shares one of the first few, as many as leave fewer than the pair must share. How
+    many sets hold a signature is counted, whatever their number; sets that share none of their
+    prefix with others go no further. Equal sets (by a 64-bit hash) are one, empty sets too.
 
     Each group of a signature and a partition has a pivot, another one in each of ``rounds`` rounds, to which those are compared that
     aren't in one component with it yet; groups that lie within one component are done. So a large group of near copies costs a
@@ -172,21 +189,18 @@ def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARG
     spark = sets.sparkSession
     sets = sets.withColumn("c", F.xxhash64("s"))
     reps = sets.groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("s").alias("s"))
-    reps = written(reps.withColumns({f"k{k}": _sketch(F.col("s"), k) for k in range(2)}), "classes")
-    levels, n = _levels(reps), F.size("s")
-    keyed = F.sort_array(F.transform("s", lambda x: F.get(levels, F.pmod(x, F.lit(LEVELS))).cast("long") * F.lit(1 << 32) + x.cast("long").bitwiseAND(F.lit((1 << 32) - 1))))
+    reps, n = written(reps, "classes"), F.size("s")
     band = F.floor(F.log(n) / log(1 / similarity) + 1e-9).cast("int")
-    prefix = n - F.ceil(n * similarity - 1e-9).cast("int") + 1
     part = F.floor(band / BANDS).cast("int")
     parts = F.when(F.pmod(band, F.lit(BANDS)) == BANDS - 1, F.array(part, part + 1)).otherwise(F.array(part))
-    ordered = reps.where(n > 0).select("c", n.alias("len"), prefix.alias("prefix"), parts.alias("parts"), F.slice(keyed, 1, prefix + 1).alias("head"), "k0", "k1")
-    ordered = written(ordered, "ordered")
+    shared = _shared_heads(reps, similarity)
+    ordered = written(reps.join(shared, "c").select("c", "s", n.alias("len"), "prefix", parts.alias("parts"), "head", *_sketch(F.col("s"))), "ordered")
     heads = ordered.select("c", "len", "parts", F.explode(F.slice("head", 1, F.col("prefix"))).alias("sig")).select("c", "len", "sig", F.explode("parts").alias("part"))
     total = ordered.agg(F.coalesce(F.sum(F.least("prefix", F.size("head")) * F.size("parts")), F.lit(0))).first()[0]
     group = ["sig", "part"]
     groups = heads.groupBy(*group).agg(F.min("c").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = written(joined_by_key(heads, groups.withColumn("size", F.col("n")), group, total).select(*group, "c", "len", "size", "pivot"), "members")
-    links = _linked(members.where("c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")), reps, similarity)
+    links = _linked(members.where("c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")), ordered, similarity)
     members, roots = members.drop("pivot"), components(links)
 
     def opened(rows: DataFrame, number: int) -> DataFrame:
@@ -201,7 +215,7 @@ def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARG
     for number in range(1, rounds):
         members = opened(members, number)
         asked = members.where("root <> pivot_root").select(F.greatest("c", "pivot").alias("a"), F.least("c", "pivot").alias("b"))
-        more = _linked(asked, reps, similarity)
+        more = _linked(asked, ordered, similarity)
         members = members.select(*group, "c", "len", "size")
         if not more.limit(1).count():
             break
@@ -218,16 +232,16 @@ def class_ids(sets: DataFrame, similarity: float = SIMILARITY, large: int = LARG
             same = same & (F.col(f"p.{k}") == F.col(f"q.{k}"))
         return x.join(y, same).select(F.greatest("p.c", "q.c").alias("a"), F.least("p.c", "q.c").alias("b"))
 
-    more = ordered.select(F.col("c").alias("o"), "head", "k0", "k1")
-    members = members.join(more, F.col("c") == F.col("o")).select(*group, "c", "len", "size", "root", "pivot_root", "k0", "k1", "head")
+    more = ordered.select(F.col("c").alias("o"), "head", *SKETCH)
+    members = members.join(more, F.col("c") == F.col("o")).select(*group, "c", "len", "size", "root", "pivot_root", *SKETCH, "head")
     seconds = members.where(F.col("size") > large).withColumn("second", F.explode("head")).drop("head").where("second <> sig")
     members = members.drop("head")
-    last = _linked(met(members.where(F.col("size") <= large), group).unionByName(met(seconds, [*group, "second"])), reps, similarity)
+    last = _linked(met(members.where(F.col("size") <= large), group).unionByName(met(seconds, [*group, "second"])), ordered, similarity)
     roots = components(roots.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(last))
     joined = reps.join(roots, reps["c"] == roots["v"], "left").select("c", "copies", "least", F.coalesce("m", "c").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     out = written(joined.join(least, "root").select("c", F.col("copies").alias("n"), "class_id"), "class-ids")
-    for table in (reps, ordered, kept):
+    for table in (reps, shared, ordered, kept):
         removed(spark, table)
     return out
 

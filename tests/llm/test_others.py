@@ -120,6 +120,30 @@ def test_classes_of_a_large_group_that_is_not_all_alike(spark):
     assert len({got[160 + k] for k in range(len(chain))}) == 1 and len(set(got.values())) > 20
 
 
+def test_classes_compare_few_pairs(spark, monkeypatch):
+    """Signatures of one set alone are told from frequent ones whatever their bits, and sets that are too unlike aren't fetched."""
+    common = [k << 16 for k in range(10)]
+    apart = [sorted([*common, *((1000 * (i + 1) + k) << 16 for k in range(50))]) for i in range(30)]
+    rng, rows = random.Random(7), {}
+    unlike = [sorted(rng.sample(range(10**6, 10**6 + 600), 300)) for _ in range(30)]
+    unlike.append(sorted({*unlike[3][5:], *range(5)}))
+    plain = spotsigs.written
+
+    def written(df, name, *args, **kwargs):
+        out = plain(df, name, *args, **kwargs)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(spotsigs, "written", written)
+    got = spotsigs.classes(spark.createDataFrame(list(enumerate(apart)), "id long, s array<int>")).collect()
+    assert {r["id"]: r["class_id"] for r in got} == {i: i for i in range(30)}
+    assert sum(rows["members"]) == 0
+    rows.clear()
+    got = spotsigs.classes(spark.createDataFrame(list(enumerate(unlike)), "id long, s array<int>")).collect()
+    assert {r["id"]: r["class_id"] for r in got} == {i: i for i in range(30)} | {30: 3}
+    assert sum(rows["pairs"]) > 30 and sum(rows["near"]) == 1
+
+
 def spots(text, anchors, sparse=16):
     """Signatures by brute force, as tuples of words."""
     w = [x for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x]
